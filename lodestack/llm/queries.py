@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestack.llm.leaks import leaks
 from lodestack.llm.shared_spans import shared_spans
 from lodestack.llm.split_groups import assign, related
 from lodestack.sources.tables import table
@@ -19,6 +20,10 @@ def p4_sides(spark: SparkSession, d: str) -> DataFrame:
     return assign(table(spark, d, "manifest_sample"), table(spark, d, "dataset_version"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(table(spark, d, "documents"))
 
@@ -26,6 +31,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_sides": p4_sides,
+    "p8_found": p8_found,
     "p9_found": p9_found,
 }
 
