@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.leaks import leaks
+from lodestack.llm.near_duplicates import alike_groups
 from lodestack.llm.shared_spans import shared_spans
 from lodestack.llm.split_groups import assign, related
+from lodestack.llm.split_overlap import found, overlaps, report
 from lodestack.sources.tables import table
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps(table(spark, d, "manifest_sample"), table(spark, d, "dataset_version"), table(spark, d, "exported_sample"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return found(_overlaps(spark, d))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return report(_overlaps(spark, d), table(spark, d, "manifest_sample"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return related(table(spark, d, "manifest_sample"))
 
@@ -20,6 +34,11 @@ def p4_sides(spark: SparkSession, d: str) -> DataFrame:
     return assign(table(spark, d, "manifest_sample"), table(spark, d, "dataset_version"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    samples = table(spark, d, "exported_sample").withColumnRenamed("sample_id", "id").select("id", "text")
+    return alike_groups(samples).withColumnRenamed("id", "sample_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -29,8 +48,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_sides": p4_sides,
+    "p6_found": p6_found,
     "p8_found": p8_found,
     "p9_found": p9_found,
 }
