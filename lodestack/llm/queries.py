@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestack.llm import encodings, personal_data
 from lodestack.llm.leaks import leaks
 from lodestack.llm.near_duplicates import alike_groups
 from lodestack.llm.shared_spans import shared_spans
@@ -14,6 +15,14 @@ from lodestack.llm.split_overlap import found, overlaps, report
 from lodestack.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.found(table(spark, d, "exported_sample"))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.restored(table(spark, d, "exported_sample")).distinct()
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlaps(table(spark, d, "manifest_sample"), table(spark, d, "dataset_version"), table(spark, d, "exported_sample"))
 
@@ -34,6 +43,14 @@ def p4_sides(spark: SparkSession, d: str) -> DataFrame:
     return assign(table(spark, d, "manifest_sample"), table(spark, d, "dataset_version"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.found(table(spark, d, "exported_sample"), table(spark, d, "name_list"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.redacted(table(spark, d, "exported_sample"), table(spark, d, "name_list"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     samples = table(spark, d, "exported_sample").withColumnRenamed("sample_id", "id").select("id", "text")
     return alike_groups(samples).withColumnRenamed("id", "sample_id")
@@ -48,10 +65,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_sides": p4_sides,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_found": p6_found,
     "p8_found": p8_found,
     "p9_found": p9_found,
