@@ -14,6 +14,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,13 +28,17 @@ from pyspark.sql import functions as F
 TRAIN = 4000
 BUCKETS = 1 << 14
 #: log odds that a stretch must overcome, about those of a garbled text among others
-PRIOR = 6.0
+PRIOR = 4.0
+#: the same for chains of two single-byte encodings, where every character is some other
+BYTES_PRIOR = 8.0
 #: the same for a further stretch of a text in which that chain was undone already
 AGAIN = 0.5
 _BROKEN = -12.0
 
 LOST = "�"
 _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f \t\r\n][^ \t\r\n]*")
+_LETTER = re.compile("[A-Za-z]")
+_OTHER = re.compile("[^\\x00-\u017f\u2010-\u2122\u2190-\u2bff]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -138,11 +143,12 @@ class Classifier:
 
     ``odds``: log P(bigram | chain) - log P(bigram | not garbled) of hashed byte bigrams, a row per chain. ``follow``: log P(byte | byte before) in words that
     are not garbled; as a chain only renames characters, what it undoes must read better than what stood there. A word
-    speaks for a chain as far as both do.
+    speaks for a chain as far as both do. ``shares``: log shares of whole words, which
+    stand for what their bytes tell where they are larger, and alone for words without a Latin letter.
     """
 
-    def __init__(self, odds: np.ndarray, follow: np.ndarray) -> None:
-        self.odds, self.follow = odds, follow
+    def __init__(self, odds: np.ndarray, follow: np.ndarray, shares: dict[str, float]) -> None:
+        self.odds, self.follow, self.shares = odds, follow, shares
         self._known: dict[str, list[tuple[float, str | None]]] = {}
 
     @classmethod
@@ -165,11 +171,17 @@ class Classifier:
                     np.add.at(counts[k], _features(bad), n)
         smooth = counts + 0.02
         logs = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-        return cls((logs[1:] - logs[0]).astype(np.float32), np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32))
+        total = sum(words.values()) + 1
+        shares = {t: math.log((n + 0.1) / total) for t, n in words.items()} | {"": math.log(0.1 / total)}
+        return cls((logs[1:] - logs[0]).astype(np.float32), np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32), shares)
 
     def _reads(self, token: str) -> float:
+        share = self.shares.get(token)
+        if not _LETTER.search(token):
+            return self.shares[""] if share is None else share
         raw = _bytes(token)
-        return float(self.follow[raw[:-1], raw[1:]].sum())
+        by_bytes = float(self.follow[raw[:-1], raw[1:]].sum())
+        return by_bytes if share is None else max(by_bytes, share)
 
     def scores(self, token: str) -> list[tuple[float, str | None]]:
         """For every chain what the word adds for it, and the word with the chain undone (None if it does not decode)."""
@@ -192,7 +204,7 @@ class Classifier:
             scores = [self.scores(t.group()) for t in tokens]
             best = (0.0, -1, 0, 0)
             for k, chain in enumerate(CHAINS):
-                prior = AGAIN if chain in undone else PRIOR
+                prior = AGAIN if chain in undone else PRIOR if CHAINS[chain][-1].right == "utf-8" else BYTES_PRIOR
                 # the stretch of words with the largest sum
                 total, start = 0.0, 0
                 for n, s in enumerate(scores):
@@ -217,7 +229,12 @@ class Classifier:
 
 
 def _decodable(token: str) -> bool:
-    return any(undo(token, c) is not None for c, steps in CHAINS.items() if steps[0].right == "utf-8")
+    """Whether some UTF-8 chain decodes the word to Latin letters and signs; other scripts come of it by chance ("’é")."""
+    for chain, steps in CHAINS.items():
+        back = undo(token, chain) if steps[0].right == "utf-8" else None
+        if back is not None and not _OTHER.search(back):
+            return True
+    return False
 
 
 def train(samples: DataFrame, rows: int = TRAIN) -> Classifier:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import encodings, personal_data
+from lodestack.llm import encodings, new_text, personal_data
 from lodestack.llm.leaks import leaks
 from lodestack.llm.near_duplicates import alike_groups
 from lodestack.llm.shared_spans import shared_spans
@@ -15,6 +15,14 @@ from lodestack.llm.split_overlap import found, overlaps, report
 from lodestack.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return new_text.found(table(spark, d, "exported_sample"), table(spark, d, "sample_row"))
+
+
+def p1_reduced(spark: SparkSession, d: str) -> DataFrame:
+    return new_text.reduced(table(spark, d, "exported_sample"), table(spark, d, "sample_row"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return encodings.found(table(spark, d, "exported_sample"))
 
@@ -65,6 +73,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_reduced": p1_reduced,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,
