@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import encodings, new_text, personal_data
+from lodestack.llm import encodings, new_text, packing, personal_data
 from lodestack.llm.leaks import leaks
 from lodestack.llm.near_duplicates import alike_groups
 from lodestack.llm.shared_spans import shared_spans
@@ -64,6 +64,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return alike_groups(samples).withColumnRenamed("id", "sample_id")
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_target"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p7_packed(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -84,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p6_found": p6_found,
+    "p7_packed": p7_packed,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p9_found": p9_found,
 }
