@@ -238,9 +238,14 @@ def _decodable(token: str) -> bool:
 
 
 def train(samples: DataFrame, rows: int = TRAIN) -> Classifier:
-    """Fit on at most ``rows`` texts."""
-    some = samples.where("text is not null and text <> ''").select("sample_id", "text").orderBy(F.xxhash64("sample_id"), "sample_id").limit(rows)
-    return Classifier.fit([r.text for r in some.select("text").collect()])
+    """Fit on at most ``rows`` texts, those of the least hashes of their ids.
+
+    The hash bound is set by the number of rows, so that about twice as many reach the driver, from however many partitions.
+    """
+    some = samples.where("text is not null and text <> '' and sample_id is not null").withColumn("h", F.pmod(F.xxhash64("sample_id"), F.lit(1 << 30)))
+    bound = int(min(1.0, 2 * rows / max(1, some.count())) * (1 << 30))
+    drawn = some.where(F.col("h") <= bound).select("h", "sample_id", "text").collect()
+    return Classifier.fit([r.text for r in sorted(drawn)[:rows]])
 
 
 def restored(samples: DataFrame, classifier: Classifier | None = None) -> DataFrame:

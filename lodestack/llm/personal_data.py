@@ -99,20 +99,26 @@ def _shaped(word: str) -> bool:
     return len(word) > 3 and word[0].isupper() and (word[1:].islower() or word.isupper())
 
 
+def _name_words(text: str, names: Names) -> list[re.Match]:
+    """The words of a text that are names of either kind."""
+    return [m for m in _WORD.finditer(text) if (w := m.group().lower()) in names.given or w in names.family]
+
+
+_BEFORE = re.compile(rf"(?<![\w@.+-])(?P<word>{_NAME})(?P<gap> (?:{_INITIAL} ?){{0,2}})$")
+_AFTER = re.compile(rf" (?:{_INITIAL} ?){{0,2}}(?P<word>{_NAME})(?![\w@])")
+_INITIALS = re.compile(rf"(?<![\w@.+-])(?:{_INITIAL} ?){{1,3}}$")
+
+
 def beside_names(text: str, names: Names) -> Iterator[tuple[str, str]]:
     """(word, kind) for name-shaped words that stand, given name first, beside a listed name of the other kind."""
-    at = 0
-    while m := PERSON.search(text, at):
-        at = m.start() + 1
-        g, f = m["g"], m["f"]
-        if not g:
-            continue
-        given, family = g.lower() in names.given, f.lower() in names.family
-        if given and not family and _shaped(f):
-            yield f.lower(), "family"
-        elif family and not given and _shaped(g):
-            yield g.lower(), "given"
-        at = max(at, m.start() + len(g))
+    for m in _name_words(text, names):
+        word = m.group().lower()
+        if word in names.given and (n := _AFTER.match(text, m.end())):
+            if n["word"].lower() not in names.family and _shaped(n["word"]):
+                yield n["word"].lower(), "family"
+        if word in names.family and (n := _BEFORE.search(text[max(0, m.start() - 40) : m.start()])):
+            if n["word"].lower() not in names.given and _shaped(n["word"]):
+                yield n["word"].lower(), "given"
 
 
 def learn_names(texts: DataFrame, names: DataFrame) -> Names:
@@ -174,25 +180,27 @@ def detect(text: str | None, names: Names) -> list[tuple[int, int, str]]:
             take(m.start(), m.end(), "identity")
     for m in ADDRESS.finditer(text):
         take(m.start(), m.end(), "address")
-    at = 0
-    while m := PERSON.search(text, at):
-        at = m.start() + 1
+    done = 0
+    for word in _name_words(text, names):
+        if word.start() < done:
+            continue
+        # a person begins with one of the names, or with the initials before it
+        start = word.start()
+        if word.group().lower() in names.family and (before := _INITIALS.search(text[max(0, start - 9) : start])):
+            start -= before.end() - before.start()
+        m = PERSON.match(text, start)
+        if m is None:
+            continue
         if m["g"]:
             g, f = m["g"].lower(), m["f"].lower()
-            if g in names.given and f in names.family or g in names.family and f in names.given:
-                take(m.start(), m.end(), "person")
-                at = m.end()
-            else:
-                at = m.start() + len(m["g"])
+            known = g in names.given and f in names.family or g in names.family and f in names.given
         elif m["i"]:
-            if m["fi"].lower() in names.family:
-                take(m.start(), m.end(), "person")
-                at = m.end()
-        elif m["fc"].lower() in names.family and (m["gc"].endswith(".") and len(m["gc"]) == 2 or m["gc"].split(" ")[0].lower() in names.given):
-            take(m.start(), m.end(), "person")
-            at = m.end()
+            known = m["fi"].lower() in names.family
         else:
-            at = m.start() + len(m["fc"])
+            known = m["fc"].lower() in names.family and (m["gc"].endswith(".") and len(m["gc"]) == 2 or m["gc"].split(" ")[0].lower() in names.given)
+        if known:
+            take(m.start(), m.end(), "person")
+            done = m.end()
     return sorted(taken)
 
 
