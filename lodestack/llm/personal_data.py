@@ -62,14 +62,28 @@ _FR_STREET = r"(?:rue|chemin|avenue|place|boulevard|impasse|allée|quai|route|co
 _ES_STREET = r"(?:calle|avenida|plaza|camino|paseo|ronda|carrera|callejón|travesía|c/|avda\.?|pza\.?)"
 _FR_LINK = r"(?:(?:de la|de l[’']|des|du|de|d[’']|le|la|les|aux|au)\s?)*"
 _ES_LINK = r"(?:(?:de las|de los|de la|del|de|la|los|las)\s)*"
-ADDRESS = re.compile(
-    rf"(?<![\w.-])(?:"
-    rf"{_NUMBER}(?:,)? (?:{_CAP} ){{1,3}}?{_EN_STREET}\b(?:\.(?=,| [a-z]))?"
-    rf"|{_NUMBER}(?: ?(?:bis|ter|quater))?,? (?i:{_FR_STREET}) {_FR_LINK}{_CAP}(?: (?:(?:de|du|des|la|le)\s)*{_CAP})*"
-    rf"|(?i:{_ES_STREET}) {_ES_LINK}{_CAP}(?: (?:(?:de|del|la|los|las)\s)*{_CAP})*,? (?:(?i:n\.?\s?[º°o]\.?|núm\.?)\s?)?{_NUMBER}"
-    rf"|[^\W\d_]*(?i:{_DE_STREET})\.? (?:Nr\. ?)?{_NUMBER}"
-    r")(?![\w-])"
+_ADDRESSES = (
+    re.compile(
+        rf"(?<![\w.-])(?=\d)(?:{_NUMBER}(?:,)? (?:{_CAP} ){{1,3}}?{_EN_STREET}\b(?:\.(?=,| [a-z]))?"
+        rf"|{_NUMBER}(?: ?(?:bis|ter|quater))?,? (?i:{_FR_STREET}) {_FR_LINK}{_CAP}(?: (?:(?:de|du|des|la|le)\s)*{_CAP})*)(?![\w-])"
+    ),
+    re.compile(rf"(?<![\w.-])(?i:{_ES_STREET}) {_ES_LINK}{_CAP}(?: (?:(?:de|del|la|los|las)\s)*{_CAP})*,? (?:(?i:n\.?\s?[º°o]\.?|núm\.?)\s?)?{_NUMBER}(?![\w-])"),
+    # the street's name before its ending is looked up backwards
+    re.compile(rf"(?i:{_DE_STREET})\.? (?:Nr\. ?)?{_NUMBER}(?![\w-])"),
 )
+_STEM = re.compile(r"(?<![\w.-])[^\W\d_]*$")
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    for pattern in _ADDRESSES[:2]:
+        for m in pattern.finditer(text):
+            yield m.span()
+    for m in _ADDRESSES[2].finditer(text):
+        stem = _STEM.search(text[max(0, m.start() - 40) : m.start()])
+        if stem:
+            yield m.start() - len(stem.group()), m.end()
+
+
 _WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _NAME = r"[^\W\d_]{2,}(?:[’'-][^\W\d_]+)*"
 _INITIAL = r"[^\W\d_]\."
@@ -178,8 +192,8 @@ def detect(text: str | None, names: Names) -> list[tuple[int, int, str]]:
         other = [x.end() for x in _OTHER_NUMBERS.finditer(before)]
         if label and (not other or other[-1] < label[-1]) and not re.search(r"[.;!?]\s+\w{3,}|\d", before[label[-1] :]):
             take(m.start(), m.end(), "identity")
-    for m in ADDRESS.finditer(text):
-        take(m.start(), m.end(), "address")
+    for start, end in _addresses(text):
+        take(start, end, "address")
     done = 0
     for word in _name_words(text, names):
         if word.start() < done:
