@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lodestack.functions import values as V
 from lodestack.operators import history, selection, sync, versions, views
@@ -463,3 +462,72 @@ def disagreeing_inputs(t):
 @query("""SELECT sample_id, label_set_id, count(*) AS rows, count(*) FILTER (superseded_at IS NULL) AS standing FROM annotation GROUP BY ALL HAVING count(*) FILTER (superseded_at IS NULL) > 1""")
 def verify_one_standing(t):
     return t.annotation.groupBy("sample_id", "label_set_id").agg(F.count("*").alias("rows"), F.count_if(F.col("superseded_at").isNull()).alias("standing")).where("standing > 1")
+
+
+# sources, sinks, text ----------------------------------------------------------------------------------------
+
+
+@query("""SELECT checksum, media || '/' || subtype AS type, count(a.id) AS rows, max(a.created_at) AS last FROM sample_row s JOIN annotation a ON a.sample_id = s.id WHERE s.deleted_at IS NULL AND a.""" + _SET.format("note_spans") + " GROUP BY ALL")
+def export_answers(t):
+    from lodestack.sources import answers
+
+    made = answers.export_answers(t.sample_row, t.annotation, t.label_set, "note_spans", "cat-local")
+    return made.select("checksum", "type", F.size("rows").cast("bigint").alias("rows"), F.array_max(F.transform("rows", lambda r: r["created_at"])).cast("timestamp_ntz").alias("last"))
+
+
+_BLOBS = "(SELECT checksum, max(length) AS length, min(id) AS first_id FROM sample_row GROUP BY checksum)"
+
+
+@query(f"""WITH b AS (SELECT *, 512 + CAST(ceil(length / 512.0) AS BIGINT) * 512 AS size FROM {_BLOBS}), p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY first_id, checksum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM b),
+  q AS (SELECT *, CAST(floor(at / 8388608) AS BIGINT) AS shard FROM p) SELECT checksum, length, shard, CAST(at - min(at) OVER (PARTITION BY shard) + 512 AS BIGINT) AS "offset" FROM q""")
+def repack_plan(t):
+    from lodestack.sources.files import shard_plan
+
+    blobs = t.sample_row.groupBy("checksum").agg(F.max("length").alias("length"), F.min("id").alias("first_id"))
+    return shard_plan(blobs, 8 << 20)
+
+
+@query()
+def signed_url(t):
+    from lodestack.functions.signing import signed_url as signed
+
+    return t.sample_row.select("id", signed("https://blobs.example", b"secret", F.col("checksum"), F.lit(".txt"), 1_800_000_000).alias("url"))
+
+
+@query()
+def span_remap(t):
+    from lodestack.operators.remap import remap
+
+    spans = views.current(t.annotation).where("get_json_object(value, '$.kind') = 'spans'")
+    texts = t.exported_sample.groupBy("sample_id").agg(F.max("text").alias("old_text"))
+    rows = spans.join(texts, "sample_id").select(F.col("id").alias("item"), "value", "old_text", F.concat(F.lit("Note.\n"), F.col("old_text")).alias("new_text"))
+    return remap(rows)
+
+
+@query("SELECT a.sample_id, a.label_set_id, a.id, a.state, a.source FROM annotation a JOIN (SELECT sample_id, label_set_id, max(id) AS id FROM annotation GROUP BY ALL) m USING (id)")
+def stream_answers(t):
+    import uuid
+
+    from lodestack.streaming.answers import run_to_end
+
+    return run_to_end(t.spark, t.directory, f"answers_{uuid.uuid4().hex}").select("sample_id", "label_set_id", "id", "state", "source")
+
+
+@query("""SELECT checksum, count(DISTINCT media || '/' || subtype) AS types FROM sample_row WHERE deleted_at IS NULL GROUP BY checksum HAVING count(DISTINCT media || '/' || subtype) > 1""")
+def remove_torn_checksums(t):
+    from lodestack.operators.lineage import torn_checksums
+
+    return torn_checksums(t.sample_row)
+
+
+@query("SELECT run_id, source, count(*) AS rows, count(DISTINCT sample_id) AS samples, min(created_at) AS first_at FROM annotation WHERE run_id IS NOT NULL GROUP BY ALL")
+def run_rows(t):
+    return t.annotation.where("run_id is not null").groupBy("run_id", "source").agg(F.count("*").alias("rows"), F.countDistinct("sample_id").alias("samples"), F.min("created_at").alias("first_at"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS inputs, count(*) AS produced, CAST(0 AS BIGINT) AS already, CAST(0 AS BIGINT) AS emptied, count(*) AS outputs, count(DISTINCT text) AS samples FROM (SELECT DISTINCT sha256(text) AS checksum, text FROM exported_sample)")
+def prepare_counts(t):
+    from lodestack.operators import lineage
+
+    inputs = t.exported_sample.select(F.sha2("text", 256).alias("checksum"), F.encode("text", "UTF-8").alias("content"))
+    return lineage.prepare_counts(lineage.prepare(inputs, [lambda data, meta: [(data, meta | {"bytes": len(data)})]]), 0)
