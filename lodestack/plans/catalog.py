@@ -478,8 +478,8 @@ def export_answers(t):
 _BLOBS = "(SELECT checksum, max(length) AS length, min(id) AS first_id FROM sample_row GROUP BY checksum)"
 
 
-@query(f"""WITH b AS (SELECT *, 512 + CAST(ceil(length / 512.0) AS BIGINT) * 512 AS size FROM {_BLOBS}), p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY first_id, checksum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM b),
-  q AS (SELECT *, CAST(floor(at / 8388608) AS BIGINT) AS shard FROM p) SELECT checksum, length, shard, CAST(at - min(at) OVER (PARTITION BY shard) + 512 AS BIGINT) AS "offset" FROM q""")
+@query(f"""WITH b AS (SELECT *, 512 + CAST(ceil(length / 512.0) AS BIGINT) * 512 AS size FROM {_BLOBS}), p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY first_id, checksum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM b),
+  q AS (SELECT *, CAST(floor(reach / 8388608) AS BIGINT) AS shard FROM p) SELECT checksum, length, shard, CAST(reach - min(reach) OVER (PARTITION BY shard) + 512 AS BIGINT) AS "offset" FROM q""")
 def repack_plan(t):
     from lodestack.sources.files import shard_plan
 
