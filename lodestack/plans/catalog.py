@@ -199,7 +199,6 @@ _cond(f"coalesce({_NUM.format('word_count')} AND {_VAL.format('word_count')} <=
 _cond("coalesce(json_type(metadata, '$.arrived_as') = 'VARCHAR' AND json_extract_string(metadata, '$.arrived_as') > 'V', false)", {"key": "arrived_as", "op": ">", "value": "V"}, "select_ordered_string")
 
 _WHERE = {"all": [{"any": [{"key": "word_count", "op": "<=", "value": 150}, {"not": {"key": "lang", "op": "==", "value": "en"}}]}, {"not": {"asserts": "reject", "label_set": "qc"}}, {"key": "fold", "op": "in", "value": [1, 2, 3, "4", 5]}]}
-_MARK = Mark(sample=100_000_000, annotation=100_000_000)
 _SPEC = Spec(types=("text/email", "text/plain"), label_set="mail_spans", collections=("*",), sources=("human", "import", "model"), where=condition(_WHERE))
 _POOL_SQL = f"""WITH ans AS (SELECT sample_id, label_set_id, max(id) AS id FROM annotation GROUP BY ALL),
   a AS (SELECT x.* FROM annotation x JOIN ans USING (id)),
@@ -252,28 +251,32 @@ def watermark(t):
     return selection.watermark({"sample": t.sample_row, "sample_collection": t.sample_collection, "annotation": t.annotation})
 
 
-_HALF = "(SELECT CAST(json_extract_string(watermark, '$.annotation') AS BIGINT) FROM dataset_version WHERE id = 1)"
+_AT = "(SELECT CAST(json_extract_string(watermark, '$.{}') AS BIGINT) FROM dataset_version WHERE id = 1)"
 
 
-@query(f"""SELECT a.sample_id, a.label_set_id, a.state, a.source FROM annotation a JOIN (SELECT sample_id, label_set_id, max(id) AS id FROM annotation WHERE id <= {_HALF} GROUP BY ALL) USING (id)""")
+def _frozen(t) -> Mark:
+    """The watermark of the first version; one row, read so that the bound on ids reaches the scans."""
+    r = t.dataset_version.where("id = 1").select(*[F.get_json_object("watermark", f"$.{k}").cast("bigint").alias(k) for k in ("sample", "annotation")]).first()
+    return Mark(sample=r["sample"], annotation=r["annotation"])
+
+
+@query(f"""SELECT a.sample_id, a.label_set_id, a.state, a.source FROM annotation a JOIN (SELECT sample_id, label_set_id, max(id) AS id FROM annotation WHERE id <= {_AT.format('annotation')} GROUP BY ALL) USING (id)""")
 def answers_asof(t):
-    mark = t.dataset_version.where("id = 1").select(F.get_json_object("watermark", "$.annotation").cast("bigint").alias("mark"))
-    rows = t.annotation.join(F.broadcast(mark), F.col("id") <= F.col("mark"))
-    return selection.answers_asof(rows.drop("mark")).select("sample_id", "label_set_id", "state", "source")
+    return selection.answers_asof(t.annotation, _frozen(t)).select("sample_id", "label_set_id", "state", "source")
 
 
-@query(f"""SELECT id, subtype FROM ({_LIVE}) s WHERE media = 'text' AND (subtype = 'email' OR starts_with(subtype, 'email/')) AND id <= 500
-  AND EXISTS (SELECT 1 FROM sample_collection c WHERE c.sample_id = s.id AND c.id <= 600 AND (c.collection = 'holm' OR starts_with(c.collection, 'holm/')))""")
+@query(f"""SELECT id, subtype FROM ({_LIVE}) s WHERE media = 'text' AND (subtype = 'email' OR starts_with(subtype, 'email/')) AND id <= {_AT.format('sample')}
+  AND EXISTS (SELECT 1 FROM sample_collection c WHERE c.sample_id = s.id AND (c.collection = 'holm' OR starts_with(c.collection, 'holm/')))""")
 def candidates_asof(t):
-    return selection.candidates_asof(t.sample_row, t.sample_collection, ["text/email"], ["holm"], Mark(sample=500, sample_collection=600)).select("id", "subtype")
+    return selection.candidates_asof(t.sample_row, t.sample_collection, ["text/email"], ["holm"], _frozen(t)).select("id", "subtype")
 
 
-@query("""WITH now AS (SELECT sample_id, label_set_id, max(id) AS id FROM annotation GROUP BY ALL), was AS (SELECT sample_id, label_set_id, max(id) AS id FROM annotation WHERE id <= 1000 GROUP BY ALL)
+@query(f"""WITH now AS (SELECT sample_id, label_set_id, max(id) AS id FROM annotation GROUP BY ALL), was AS (SELECT sample_id, label_set_id, max(id) AS id FROM annotation WHERE id <= {_AT.format('annotation')} GROUP BY ALL)
   SELECT coalesce(n.label_set_id, w.label_set_id) AS label_set_id, count(*) FILTER (w.id IS NULL) AS added, count(*) FILTER (n.id <> w.id) AS changed, count(*) FILTER (n.id = w.id) AS same
   FROM now n FULL JOIN was w ON n.sample_id = w.sample_id AND n.label_set_id = w.label_set_id GROUP BY ALL""")
 def replay_diff(t):
     now = selection.answers_asof(t.annotation).select("sample_id", "label_set_id", F.col("id").alias("now"))
-    was = selection.answers_asof(t.annotation, Mark(annotation=1000)).select("sample_id", "label_set_id", F.col("id").alias("was"))
+    was = selection.answers_asof(t.annotation, _frozen(t)).select("sample_id", "label_set_id", F.col("id").alias("was"))
     both = now.join(was, ["sample_id", "label_set_id"], "full")
     return both.groupBy("label_set_id").agg(F.count_if(F.col("was").isNull()).alias("added"), F.count_if(F.col("now") != F.col("was")).alias("changed"), F.count_if(F.col("now") == F.col("was")).alias("same"))
 
