@@ -29,8 +29,8 @@ TRAIN = 4000
 BUCKETS = 1 << 14
 #: log odds that a stretch must overcome, about those of a garbled text among others
 PRIOR = 4.0
-#: the same for chains of two single-byte encodings, where every character is some other
-BYTES_PRIOR = 8.0
+#: the same for chains that are rarely met: a single-byte encoding read as another that is not a DOS code page
+RARE_PRIOR = 8.0
 #: the same for a further stretch of a text in which that chain was undone already
 AGAIN = 0.5
 _BROKEN = -12.0
@@ -101,6 +101,7 @@ CHAINS: dict[str, tuple[Step, ...]] = {
     "cp1252 as cp1251": (Step("cp1252", "cp1251"),),
     "mac_roman as cp1252": (Step("mac_roman", "cp1252"),),
 }
+RARE = {"cp1252 as mac_roman", "cp1252 as cp1251", "mac_roman as cp1252"}
 for _name in ("utf-8 as latin-1", "utf-8 as latin-1 twice"):
     for _step in CHAINS[_name]:
         _step.bytes |= _U["cp1252"].bytes
@@ -153,12 +154,16 @@ class Classifier:
 
     @classmethod
     def fit(cls, texts: list[str]) -> Classifier:
-        words: Counter[str] = Counter()
+        words: dict[str, float] = Counter()
         for text in texts:
             tokens = _TOKEN.findall(text)
             # texts that already hold decodable garbling would teach the wrong class
             if LOST not in text and not any(_decodable(t) for t in tokens):
                 words.update(tokens)
+        # a word may also come in capitals, though that is rarely seen
+        for token, n in list(words.items()):
+            if (high := token.upper()) != token:
+                words[high] = max(words[high], 0.05 * n)
         counts = np.zeros((len(CHAINS) + 1, BUCKETS))
         pairs = np.full((256, 256), 0.01)
         for token, n in words.items():
@@ -204,7 +209,7 @@ class Classifier:
             scores = [self.scores(t.group()) for t in tokens]
             best = (0.0, -1, 0, 0)
             for k, chain in enumerate(CHAINS):
-                prior = AGAIN if chain in undone else PRIOR if CHAINS[chain][-1].right == "utf-8" else BYTES_PRIOR
+                prior = AGAIN if chain in undone else RARE_PRIOR if chain in RARE else PRIOR
                 # the stretch of words with the largest sum
                 total, start = 0.0, 0
                 for n, s in enumerate(scores):
