@@ -31,7 +31,9 @@ ANCHOR = 12
 #: fixed value: the white space that separates words
 GAPS = b" \t\n\r"
 #: words of one FM-index; a shard with more is indexed in several parts of whole anchors
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
+#: texts hashed at once
+SLICE = 1000
 
 
 def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,9 +187,16 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: hashing takes some forty bytes for each byte of text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _anchor_rows(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, texts = _columns(batch, "doc_id", "text")
             words, before = _word_hashes(texts.to_pylist())
             where, grams = anchors(words, before, least, gram)
@@ -202,7 +211,7 @@ def _anchor_rows(least: int, gram: int):
 
 def _pieces(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, texts, copied, hits, grams = _columns(batch, "doc_id", "text", "copied", "pos", "anchor")
             words, before = _word_hashes(texts.to_pylist())
             short = (words >> np.uint64(32)).astype(np.uint32)
