@@ -132,6 +132,136 @@ class Catalog:
         self._commit(at, {"annotation": written, "annotation_conflict": clashes})
         return verdicts
 
+    def import_answers(self, exported: DataFrame, dry_run: bool = False) -> DataFrame:
+        """Take over another catalog's answers (rows as of ``sources.answers``); the verdict of every current row.
+
+        Samples are matched by bytes and type. Current rows are written where the verdict says so, as imported; the history of a written or already
+        held answer arrives with it, marked so that it is never read as an answer. A dry run writes nothing.
+        """
+        from lodestack.session import cut
+
+        if exported.where(F.col("catalog_id") == self.identity()).take(1):
+            raise CatalogError("these answers came from this catalog")
+        at = self.now
+        items = cut(exported.withColumn("item", F.monotonically_increasing_id()))
+        matched = sync.match_samples(items.select("item", "checksum", "type"), S.samples(at)).where("matched = 'matched'").select("item", "sample_id")
+        sets = at.read("label_set").select(F.col("id").alias("label_set_id"), F.col("name").alias("label_set"))
+        rows = items.join(matched, "item").join(sets, "label_set").select("sample_id", "label_set_id", F.explode("rows").alias("r")).select("sample_id", "label_set_id", "r.*")
+        rows = cut(rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).withColumn("superseded_at", F.col("superseded_at").cast("timestamp_ntz")))
+        log = S.annotations(at)
+        current = rows.where("superseded_at is null").select("sample_id", "label_set_id", "state", "value", "source", "created_at")
+        verdicts = cut(sync.import_verdicts(current, log))
+        if dry_run:
+            return verdicts
+        key = ["sample_id", "label_set_id", "created_at", "source", "state", "value"]
+        written = verdicts.where("writes_current").join(rows.where("superseded_at is null").select(*key, "batch").distinct(), [verdicts[k].eqNullSafe(rows[k]) for k in key], "left").select(*[verdicts[k] for k in key], "batch")
+        past = rows.where("superseded_at is not null").join(verdicts.where("writes_history").select("sample_id", "label_set_id").distinct(), ["sample_id", "label_set_id"], "left_semi")
+        held = log.select(*key).distinct()
+        past = past.join(held, [past[k].eqNullSafe(held[k]) for k in key], "left_anti")
+        # history first, so that the answer that stands has the larger id
+        both = past.select(*key, "batch", "superseded_at", F.lit(0).alias("stands")).unionByName(written.withColumn("superseded_at", F.lit(None).cast("timestamp_ntz")).withColumn("stands", F.lit(1)))
+        numbered = cut(S.with_ids(both, at.next_id("annotation"), "stands", "sample_id", "label_set_id", "created_at"))
+        arrived = numbered.where("stands = 0").select(F.lit("arrived").alias("kind"), "sample_id", F.col("id").alias("annotation_id"), _now().alias("at"))
+        self._commit(at, {"annotation": numbered, "event": S.with_ids(arrived, at.next_id("event"), "annotation_id")})
+        return verdicts
+
+    # lists, raw files and preparation ------------------------------------------------------------------------------
+
+    def put_list(self, name: str, checksums: DataFrame, list_type: str | None = None) -> tuple[int, bool]:
+        """The version of a list that holds exactly these checksums: (version, whether it was there already)."""
+        from lodestack.operators.lineage import put_list
+
+        at = self.now
+        held = at.read("list_version").where(F.col("name") == name)
+        made = put_list(held.select("version", "digest"), checksums.select("checksum")).first()
+        if made.reused:
+            return made.version, True
+        media, subtype = split_type(list_type) if list_type else (None, None)
+        number = at.next_id("list_version")
+        header = self.spark.createDataFrame([(number, name, made.version, made.digest, made["size"], media, subtype)], "id bigint, name string, version int, digest string, size bigint, media string, subtype string")
+        self._commit(at, {"list_version": header.withColumn("created_at", _now()), "list_member": checksums.select(F.lit(number).alias("list_id"), "checksum").distinct()})
+        return made.version, False
+
+    def lists(self, refs: list[str]) -> dict[str, DataFrame]:
+        """The members of named list versions, as a selection takes them."""
+        from lodestack.functions.values import parse_ref
+
+        at, out = self.now, {}
+        for ref in refs:
+            name, version = parse_ref(ref)
+            header = at.read("list_version").where((F.col("name") == name) & (F.col("version") == version)).take(1)
+            if not header:
+                raise CatalogError(f"no list {ref}")
+            out[ref] = at.read("list_member").where(F.col("list_id") == header[0].id).select("checksum", F.lit(header[0].media).cast("string").alias("media"), F.lit(header[0].subtype).cast("string").alias("subtype"))
+        return out
+
+    def ingest_raw(self, found: DataFrame, collection: str, producer: str = "ingest") -> dict[str, int]:
+        """Record files (path, checksum, length) under a collection; the run's counts."""
+        from lodestack.sources.files import raw_ingest
+
+        at = self.now
+        added, counts = raw_ingest(found, at.read("raw"), collection)
+        said = counts.first().asDict()
+        number = run_id(datetime.datetime.now(datetime.UTC), os.uname().nodename)
+        run = self.spark.createDataFrame([(number, "ingest", producer, json.dumps(said))], "id string, kind string, producer string, counts string").withColumn("started_at", _now()).withColumn("finished_at", _now())
+        rows = S.with_ids(added.withColumn("collection", F.lit(collection)), at.next_id("raw"), "path").withColumn("run_id", F.lit(number)).withColumn("ingested_at", _now())
+        self._commit(at, {"run": run, "run_input": found.select(F.lit(number).alias("run_id"), "checksum").distinct(), "raw": rows})
+        return said
+
+    def prepare(self, inputs: DataFrame, spec: dict, stages: list, collection: str, continues: str | None = None) -> dict[str, int]:
+        """Run a chain of stages over the inputs (checksum, content) that no run of the same chain was given before, and add what comes out as samples.
+
+        Samples keep the metadata of their first origin. Inputs that a run of another chain was given are refused unless that run lies on the line that is
+        continued.
+        """
+        from lodestack.operators import lineage
+        from lodestack.session import cut
+
+        at, chain = self.now, lineage.chain_identity(spec)
+        media, subtype = split_type(spec["output"]["type"])
+        runs = at.read("run").where("kind = 'prepare'")
+        given = at.read("run_input").join(runs.select(F.col("id").alias("run_id"), "chain"), "run_id").join(inputs.select("checksum").distinct(), "checksum", "left_semi")
+        line = lineage.line_of(runs, continues) if continues else []
+        if others := [r.run_id for r in given.where(F.col("chain") != chain).select("run_id").distinct().collect() if r.run_id not in line]:
+            raise CatalogError(f"prepared before by {sorted(others)}; say which run this continues")
+        done = given.where(F.col("chain") == chain).select("checksum").distinct()
+        outputs = cut(lineage.prepare(inputs, stages, done))
+        counts = lineage.prepare_counts(outputs, done.count()).first().asDict()
+        number = run_id(datetime.datetime.now(datetime.UTC), os.uname().nodename)
+        made = outputs.where("checksum is not null")
+        held = S.samples(at).where((F.col("media") == media) & (F.col("subtype") == subtype)).select("checksum", F.col("id").alias("held"))
+        one = made.groupBy("checksum").agg(F.min_by(F.struct("metadata", F.length("content").alias("length")), F.struct("input", "position")).alias("f")).join(held, "checksum", "left")
+        new = cut(S.with_ids(one.where("held is null"), at.next_id("sample"), "checksum"))
+        ids = new.select("checksum", "id").union(one.where("held is not null").select("checksum", F.col("held").alias("id")))
+        origins = made.join(ids, "checksum").groupBy(F.col("id").alias("sample_id"), "input").agg(F.min(F.struct("position", "metadata")).alias("o"))
+        run = self.spark.createDataFrame([(number, "prepare", spec.get("name", ""), chain, continues, json.dumps(counts))], "id string, kind string, producer string, chain string, continues string, counts string")
+        members = ids.join(at.read("sample_collection").where(F.col("collection") == collection).select(F.col("sample_id").alias("id")), "id", "left_anti")
+        self._commit(at, {
+            "run": run.withColumn("started_at", _now()).withColumn("finished_at", _now()),
+            "run_input": inputs.select(F.lit(number).alias("run_id"), "checksum").distinct(),
+            "sample": new.select("id", "checksum", F.lit(media).alias("media"), F.lit(subtype).alias("subtype"), "f.metadata", "f.length", _now().alias("ingested_at")),
+            "sample_collection": S.with_ids(members.select(F.col("id").alias("sample_id"), F.lit(collection).alias("collection")), at.next_id("sample_collection"), "sample_id").withColumn("added_at", _now()),
+            "origin": S.with_ids(origins, at.next_id("origin"), "input", "sample_id").select("id", "sample_id", F.lit(number).alias("run_id"), F.lit("raw").alias("input_kind"), "input", "o.position", "o.metadata", _now().alias("recorded_at")),
+        })
+        return counts | {"run": number}
+
+    def verify_run(self, number: str) -> list[str]:
+        """What of a run's recorded counts does not meet its tables."""
+        from lodestack.operators.lineage import verify_counts
+
+        at = self.now
+        rows = at.read("run").where(F.col("id") == number).take(1)
+        if not rows:
+            raise CatalogError(f"no run {number}")
+        counts = json.loads(rows[0].counts or "{}")
+        mine = lambda table: at.read(table).where(F.col("run_id") == number)
+        if rows[0].kind == "ingest":
+            counts |= {"inputs_recorded": mine("run_input").count(), "rows": mine("raw").count()}
+        elif rows[0].kind == "prepare":
+            alive = S.samples(at).where("deleted_at is null").select(F.col("id").alias("sample_id"))
+            counts |= {"live_samples": mine("origin").select("sample_id").distinct().join(alive, "sample_id", "left_semi").count()}
+        return verify_counts(rows[0].kind, counts)
+
     # versions --------------------------------------------------------------------------------------------------
 
     def mark(self) -> Mark:

@@ -70,3 +70,50 @@ def test_merging_a_copy(spark, tmp_path, capsys):
     assert main(["--catalog", root, "remove", "--checksum", f"{2:064x}"], spark) == 0
     assert cat.samples().where("deleted_at is null").count() == 2
     assert main(["--catalog", f"file://{tmp_path}/none", "probe"], spark) == 1
+
+
+def test_imports_lists_and_runs(spark, tmp_path):
+    from lodestack.sources.answers import SCHEMA
+
+    cat = Catalog.create(spark, f"file://{tmp_path}/i", "me")
+    cat.ingest(files(spark, *[(f"p{n}", f"{n:064x}", 1, None) for n in range(4)]), "text", "plain")
+    cat.add_label_set("x", {})
+    cat.annotate(frame(spark, "item bigint, sample_id bigint, value string", (1, 1, "a"), (2, 2, "b")), "x", "human")
+    day = "2025-01-0{} 00:00:00".format
+    rows = [("annotated", "q", "model", "b", day(1), day(2)), ("annotated", "z", "human", "b", day(2), None)]
+    other = spark.createDataFrame([(1, "them", "x", f"{n:064x}", None, rows) for n in (0, 2, 3, 9)], SCHEMA)
+    dry = {r.sample_id: r.verdict for r in cat.import_answers(other, dry_run=True).collect()}
+    assert dry == {1: "conflicted", 3: "copied", 4: "copied"}
+    cat.import_answers(other)
+    log = cat.annotations()
+    assert {(r.sample_id, r.value) for r in log.where("superseded_at is null").collect()} == {(1, "a"), (2, "b"), (3, "z"), (4, "z")}
+    assert log.where("sample_id = 3").count() == 2  # its history came along
+    assert {r.verdict for r in cat.import_answers(other).collect()} == {"conflicted", "already"}
+    assert cat.annotations().count() == log.count()
+    with pytest.raises(CatalogError):
+        cat.import_answers(spark.createDataFrame([(1, "me", "x", "0", None, rows)], SCHEMA))
+
+    sums = spark.createDataFrame([(f"{n:064x}",) for n in (0, 1)], "checksum string")
+    assert cat.put_list("l", sums) == (1, False) and cat.put_list("l", sums) == (1, True) and cat.put_list("l", sums.limit(1), "text/plain") == (2, False)
+    assert cat.lists(["l@1"])["l@1"].count() == 2
+    with pytest.raises(CatalogError):
+        cat.lists(["l@3"])
+
+    found = spark.createDataFrame([("a", "1" * 64, 1), ("b", "2" * 64, 1), ("c", "1" * 64, 1)], "path string, checksum string, length bigint")
+    assert cat.ingest_raw(found, "drop")["added"] == 3 and cat.ingest_raw(found, "drop")["held"] == 3
+    for r in cat.now.read("run").where("kind = 'ingest'").collect():
+        assert cat.verify_run(r.id) == []
+
+    def halves(data, meta):
+        return [(part, {"half": n}) for n, part in enumerate(data.split(b"|"))]
+
+    spec = {"name": "halves", "stage": [{"name": "halves"}], "output": {"type": "text/note", "collection": "notes"}}
+    inputs = spark.createDataFrame([("1" * 64, b"a|b"), ("2" * 64, b"b|c")], "checksum string, content binary")
+    said = cat.prepare(inputs, spec, [halves], "notes")
+    assert (said["inputs"], said["produced"], said["outputs"], said["samples"]) == (2, 2, 4, 3) and cat.verify_run(said["run"]) == []
+    again = cat.prepare(inputs, spec, [halves], "notes")
+    assert (again["already"], again["produced"]) == (2, 0)
+    changed = spec | {"stage": [{"name": "halves", "v": 2}]}
+    with pytest.raises(CatalogError):
+        cat.prepare(inputs, changed, [halves], "notes")
+    assert cat.samples().where("subtype = 'note'").count() == 3
