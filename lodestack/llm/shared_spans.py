@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,6 +272,14 @@ def _search(least: int, most: int):
             if done < batch.num_rows:
                 held.append(batch.slice(done))
                 words += int(total[-1] - total[done])
+            # a spread anchor: its index rows came first, its visitors are answered in portions
+            if words >= 3 * most and not batch.column(5)[-1].as_py():
+                if (out := solve(held)) is not None:
+                    yield out
+                table = pa.Table.from_batches(held)
+                keep = pc.and_(pc.and_(pc.equal(table["part"], int(part[-1])), pc.equal(table["anchor"], int(anchor[-1]))), table["inside"])
+                held = table.filter(keep).combine_chunks().to_batches()
+                words = sum(int(h.column(6).nbytes) // 4 for h in held)
         if held and (out := solve(held)) is not None:
             yield out
 
@@ -325,7 +334,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST, gram: int = ANCHOR, h
     spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = F.pmod(F.xxhash64("doc_id", "first"), F.col("parts")) == F.col("part")
     spread = spread.select("part", "anchor", "doc_id", "first", "copied", own.alias("inside"), "words")
-    runs = spread.repartition("anchor", "part").sortWithinPartitions("part", "anchor").mapInArrow(_search(least, SHARD_WORDS), "doc_id bigint, first int, end int")
+    runs = spread.repartition("anchor", "part").sortWithinPartitions("part", "anchor", F.desc("inside")).mapInArrow(_search(least, SHARD_WORDS), "doc_id bigint, first int, end int")
     per_doc = runs.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     merged = per_doc.mapInArrow(_merged, "rep bigint, first_word bigint, last_word bigint")
     return members.join(merged, "rep").select("doc_id", "first_word", "last_word")

@@ -48,13 +48,16 @@ def brute_spans(rows, least):
     return out
 
 
-@pytest.mark.parametrize("gram,hot", [(12, 20_000), (4, 2)])
-def test_shared_spans(spark, gram, hot):
+@pytest.mark.parametrize("gram,hot,words", [(12, 20_000, 500_000), (4, 2, 60)])
+def test_shared_spans(spark, monkeypatch, gram, hot, words):
+    monkeypatch.setattr(shared_spans, "SHARD_WORDS", words)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if words > 60 else 5)
     rows = docs_with_overlap()
     df = frame(spark, "doc_id bigint, text string, anchor int, words string", *[(d, t, 1, "clash") for d, t in rows])
     got = {tuple(r) for r in shared_spans.shared_spans(df, 25, gram, hot).collect()}
     assert got == brute_spans(rows, 25)
     assert shared_spans.shared_spans(df.limit(0)).count() == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
 
 
 def test_index_counts_occurrences():
