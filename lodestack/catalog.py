@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack import store as S
-from lodestack.functions.values import CatalogError, content_hash, host_token, run_id, split_type
+from lodestack.functions.values import CatalogError, content_hash, host_token, run_id, set_digest, split_type
 from lodestack.operators import history, selection, sync, versions
 from lodestack.operators.selection import Mark, Spec
 from lodestack.schema import TABLES
@@ -173,14 +173,14 @@ class Catalog:
 
         at = self.now
         held = at.read("list_version").where(F.col("name") == name)
-        made = put_list(held.select("version", "digest"), checksums.select("checksum")).first()
-        if made.reused:
-            return made.version, True
+        digest, size, version, reused = put_list(held.select("version", "digest"), checksums.select("checksum"))
+        if reused:
+            return version, True
         media, subtype = split_type(list_type) if list_type else (None, None)
         number = at.next_id("list_version")
-        header = self.spark.createDataFrame([(number, name, made.version, made.digest, made["size"], media, subtype)], "id bigint, name string, version int, digest string, size bigint, media string, subtype string")
+        header = self.spark.createDataFrame([(number, name, version, digest, size, media, subtype)], "id bigint, name string, version int, digest string, size bigint, media string, subtype string")
         self._commit(at, {"list_version": header.withColumn("created_at", _now()), "list_member": checksums.select(F.lit(number).alias("list_id"), "checksum").distinct()})
-        return made.version, False
+        return version, False
 
     def lists(self, refs: list[str]) -> dict[str, DataFrame]:
         """The members of named list versions, as a selection takes them."""
@@ -287,8 +287,8 @@ class Catalog:
         sample = at.read("sample")
         answers = selection.answers_asof(at.read("annotation"), mark, at.read("event")).select(F.col("sample_id").alias("sid"), "label_set_id", "state", "source", "value")
         label_set = at.read("label_set").where(F.col("name") == spec.label_set).first().id
-        said = members.join(answers.where(F.col("label_set_id") == label_set), F.col("id") == F.col("sid")).select(F.sha2(F.to_json(F.array(F.col("sid").cast("string"), "state", "source", "value")), 256).alias("d"))
-        digest = said.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256)).first()[0]
+        said = members.join(answers.where(F.col("label_set_id") == label_set), F.col("id") == F.col("sid")).select(F.to_json(F.array(F.col("sid").cast("string"), "state", "source", "value")).alias("said"))
+        digest, _ = set_digest(said, "said")
         past = at.read("dataset").where(F.col("name") == name).orderBy(F.desc("version")).take(1)
         inherited = None
         if past:

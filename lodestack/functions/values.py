@@ -7,10 +7,12 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -94,9 +96,34 @@ def faults(value: Column, schema: Column) -> Column:
     return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(checks))
 
 
-def set_digest(checksums: Column) -> Column:
-    """Aggregate: sha256 over the sorted distinct checksums, a line feed after each; of none, the digest of nothing."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set(checksums)), lambda c: F.concat(c, F.lit("\n"))), ""), 256)
+def set_digests(rows: DataFrame, by: str, item: str) -> DataFrame:
+    """(by, size, digest) for each value of a bigint column: sha256 over the sorted distinct items, a line feed after each.
+
+    The digest is one chain over all items of a group, so a task hashes them in order as they stream past; none is held.
+    """
+    ordered = rows.select(by, item).where(F.col(item).isNotNull()).distinct().repartition(by).sortWithinPartitions(by, item)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, chain, out = None, 0, None, []
+        for batch in batches:
+            for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if chain is None or group != at:
+                    if chain is not None:
+                        out.append((at, size, chain.hexdigest()))
+                    at, size, chain = group, 0, hashlib.sha256()
+                size += 1
+                chain.update(text.encode() + b"\n")
+        if chain is not None:
+            out.append((at, size, chain.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], [by, "size", "digest"])
+
+    return ordered.mapInArrow(run, f"{by} bigint, size bigint, digest string")
+
+
+def set_digest(rows: DataFrame, item: str) -> tuple[str, int]:
+    """The digest and size of all distinct items; of none, the digest of nothing."""
+    made = set_digests(rows.select(F.lit(0).cast("bigint").alias("g"), item), "g", item).take(1)
+    return (made[0].digest, made[0]["size"]) if made else (hashlib.sha256(b"").hexdigest(), 0)
 
 
 def canonical_json(value: object) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestack.functions.values import CatalogError, canonical_text, content_hash, set_digest
 
 
-def put_list(latest: DataFrame | None, checksums: DataFrame) -> DataFrame:
+def put_list(latest: DataFrame | None, checksums: DataFrame) -> tuple[str, int, int, bool]:
     """(digest, size, version, reused) of a list: the latest version again if it holds the same set, else the next.
 
     ``latest`` holds (version, digest) of the list's versions, or nothing.
@@ -19,12 +19,11 @@ def put_list(latest: DataFrame | None, checksums: DataFrame) -> DataFrame:
     bad = checksums.where(~F.col("checksum").rlike("^[0-9a-f]{64}$")).take(1)
     if bad:
         raise CatalogError(f"{bad[0].checksum!r} is not a sha256")
-    made = checksums.agg(set_digest(F.col("checksum")).alias("digest"), F.countDistinct("checksum").alias("size"))
-    if latest is None:
-        return made.select("digest", "size", F.lit(1).alias("version"), F.lit(False).alias("reused"))
-    top = latest.agg(F.max("version").alias("last"), F.max_by("digest", "version").alias("held"))
-    same = F.coalesce(F.col("held") == F.col("digest"), F.lit(False))
-    return made.join(F.broadcast(top)).select("digest", "size", F.when(same, F.col("last")).otherwise(F.coalesce("last", F.lit(0)) + 1).alias("version"), same.alias("reused"))
+    digest, size = set_digest(checksums, "checksum")
+    held = [] if latest is None else latest.orderBy(F.desc("version")).take(1)
+    same = bool(held) and held[0].digest == digest
+    version = held[0].version if same else held[0].version + 1 if held else 1
+    return digest, size, version, same
 
 
 def line_of(runs: DataFrame, run_id: str) -> list[str]:

@@ -286,7 +286,7 @@ def replay_diff(t):
 
 @query("SELECT dataset_id, count(DISTINCT checksum) AS size, sha256(string_agg(checksum || chr(10), '' ORDER BY checksum)) AS digest FROM (SELECT DISTINCT dataset_id, checksum FROM manifest_sample) GROUP BY dataset_id")
 def list_digest(t):
-    return t.manifest_sample.groupBy("dataset_id").agg(F.countDistinct("checksum").alias("size"), V.set_digest(F.col("checksum")).alias("digest"))
+    return V.set_digests(t.manifest_sample, "dataset_id", "checksum")
 
 
 @query("""SELECT checksum, string_agg(media || '/' || subtype, ',' ORDER BY media || '/' || subtype) AS types FROM sample_row GROUP BY checksum HAVING count(DISTINCT media || '/' || subtype) > 1""")

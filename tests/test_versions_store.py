@@ -165,11 +165,12 @@ def test_span_remap():
 
 def test_lists_and_lines(spark):
     sums = spark.createDataFrame([("a" * 64,), ("b" * 64,), ("a" * 64,)], "checksum string")
-    first = lineage.put_list(None, sums).first()
-    assert (first["size"], first.version, first.reused) == (2, 1, False)
-    held = spark.createDataFrame([(1, "x"), (4, first.digest)], "version int, digest string")
-    assert lineage.put_list(held, sums).first().asDict() == {"digest": first.digest, "size": 2, "version": 4, "reused": True}
-    assert lineage.put_list(held, sums.limit(1)).first().version == 5
+    digest, *rest = lineage.put_list(None, sums)
+    assert rest == [2, 1, False] and digest == hashlib.sha256(("a" * 64 + "\n" + "b" * 64 + "\n").encode()).hexdigest()
+    held = spark.createDataFrame([(1, "x"), (4, digest)], "version int, digest string")
+    assert lineage.put_list(held, sums) == (digest, 2, 4, True)
+    assert lineage.put_list(held, sums.limit(1))[2:] == (5, False)
+    assert lineage.put_list(None, sums.limit(0))[:2] == (hashlib.sha256(b"").hexdigest(), 0)
     with pytest.raises(CatalogError):
         lineage.put_list(None, spark.createDataFrame([("x",)], "checksum string"))
     runs = spark.createDataFrame([("r3", "r2"), ("r2", "r1"), ("r1", None), ("c", "c")], "id string, continues string")
