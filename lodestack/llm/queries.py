@@ -98,4 +98,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+#: Alike texts of samples, as the plain definition has it: (a, b), a < b.
+_ALIKE = f"""t AS (SELECT sample_id, min(text) AS text FROM exported_sample WHERE text IS NOT NULL GROUP BY sample_id),
+  w AS (SELECT sample_id, {_WORDS} AS w FROM t),
+  g AS (SELECT DISTINCT sample_id, array_to_string(w[k:k+2], ' ') AS g FROM (SELECT sample_id, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
+  n AS (SELECT sample_id, count(*) AS n FROM g GROUP BY sample_id),
+  both_of AS (SELECT x.sample_id AS a, y.sample_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.sample_id < y.sample_id GROUP BY ALL),
+  alike AS (SELECT a, b FROM both_of JOIN n p ON p.sample_id = a JOIN n q ON q.sample_id = b WHERE c >= 0.6 * (p.n + q.n - c) - 1e-9
+    UNION SELECT x.sample_id, y.sample_id FROM t x JOIN t y ON x.text = y.text AND x.sample_id < y.sample_id)"""
+
+_PAIRS = f"""{_ALIKE}, d AS (SELECT id, given_split->>'$.key' AS key, CAST(given_split->'$.holdout' AS VARCHAR[]) AS holdout, CAST(given_split->'$.val' AS VARCHAR[]) AS val FROM (SELECT id, CAST(given_split AS JSON) AS given_split FROM dataset_version WHERE given_split IS NOT NULL)),
+  m AS (SELECT DISTINCT dataset_id, sample_id, CASE WHEN list_contains(holdout, v) THEN 'holdout' WHEN list_contains(val, v) THEN 'val' ELSE 'train' END AS side
+    FROM (SELECT dataset_id, sample_id, holdout, val, json_extract_string(metadata, '$."' || key || '"') AS v FROM manifest_sample JOIN d ON d.id = dataset_id)),
+  p AS (SELECT x.dataset_id, x.sample_id AS train_id, y.sample_id AS held_id, y.side FROM m x JOIN m y ON x.dataset_id = y.dataset_id AND x.side = 'train' AND y.side <> 'train'
+    JOIN alike ON a = least(x.sample_id, y.sample_id) AND b = greatest(x.sample_id, y.sample_id))"""
+
+_RELATED = """v AS (SELECT entry_id, dataset_id, 'author' AS k, [json_extract_string(metadata, '$.author')] AS v FROM manifest_sample UNION ALL SELECT entry_id, dataset_id, 'source_file', [json_extract_string(metadata, '$.source_file')] FROM manifest_sample
+    UNION ALL SELECT entry_id, dataset_id, 'entity', CASE WHEN json_type(metadata, '$.entity') = 'ARRAY' THEN json_extract_string(metadata, '$.entity[*]') ELSE [json_extract_string(metadata, '$.entity')] END FROM manifest_sample),
+  x AS (SELECT DISTINCT entry_id, dataset_id, k, lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS x FROM (SELECT entry_id, dataset_id, k, unnest(v) AS x FROM v)),
+  e AS (SELECT entry_id AS a, min(entry_id) OVER (PARTITION BY dataset_id, k, x) AS b FROM x WHERE x IS NOT NULL AND x NOT IN ('', 'unknown', 'n/a')),
+  l AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"""
+
+
+def _grouped(edges: str, column: str) -> str:
+    """Groups joined through links l(a, b), by closure: one row per member of a group of two or more."""
+    return f"""WITH RECURSIVE {edges}, r(id, other) AS (SELECT a, a FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other)
+  SELECT id AS {column}, min(other) AS group_id FROM r GROUP BY id HAVING count(*) > 1"""
+
+
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_PAIRS} SELECT DISTINCT dataset_id, least(train_id, held_id) AS sample_a, greatest(train_id, held_id) AS sample_b FROM p",
+    "p3_report": f"""WITH {_PAIRS}, s AS (SELECT dataset_id, sample_id, min(json_extract_string(metadata, '$.collection')) AS source FROM manifest_sample GROUP BY ALL)
+  SELECT p.dataset_id, side, source, count(*) AS pairs, count(DISTINCT held_id) AS held, count(DISTINCT train_id) AS train FROM p LEFT JOIN s ON s.dataset_id = p.dataset_id AND s.sample_id = held_id GROUP BY ALL""",
+    "p4_found": _grouped(_RELATED, "entry_id"),
+    "p6_found": _grouped(f"{_ALIKE}, l AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike)", "sample_id"),
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  dg AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)), ig AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+  SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON ig.g = dg.g""",
+    "p9_found": r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS w FROM documents),
+  g AS (SELECT doc_id, k, md5(array_to_string(w[k:k+24], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 23)) AS k FROM w)),
+  c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 25)) AS pos FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1)),
+  s AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c)
+  SELECT doc_id, min(pos) AS first_word, max(pos) AS last_word FROM s GROUP BY doc_id, run""",
+}
