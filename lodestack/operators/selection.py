@@ -323,3 +323,35 @@ def run_selection(
         pool = pool.join(hits, "id", "left").withColumn(f"list:{ref}", F.coalesce("hit", F.lit(False)) == F.lit(wanted)).drop("hit")
         keep = keep & F.col(f"`list:{ref}`")
     return Selection(found, pool.withColumn("selected", keep), spec, conjuncts)
+
+
+def metadata_keys(samples: DataFrame) -> DataFrame:
+    """(key): every metadata key that occurs."""
+    return samples.where("metadata is not null").select(F.explode(F.json_object_keys("metadata")).alias("key")).distinct()
+
+
+def check_keys(cond, candidates: DataFrame, declared: dict[str, str]) -> None:
+    """Refuse a condition on a key that is neither declared nor found on any candidate, or whose literal is of another kind than declared."""
+
+    def leaves(c):
+        return [x for part in c.of for x in leaves(part)] if isinstance(c, Group) else [c] if isinstance(c, Compare) else []
+
+    kinds = {bool: "boolean", int: "number", float: "number", str: "string"}
+    for leaf in leaves(cond):
+        if (want := declared.get(leaf.key)) and leaf.op != "exists":
+            given = {kinds[type(v)] for v in (leaf.value if leaf.op == "in" else [leaf.value])}
+            if given != {want}:
+                raise CatalogError(f"{leaf.key} is declared as {want}, not {sorted(given)}")
+    wanted = cond.keys() - set(declared)
+    if not wanted:
+        return
+    found = {r.key for r in metadata_keys(candidates).where(F.col("key").isin(*wanted)).collect()}
+    if missing := sorted(wanted - found):
+        known = [r.key for r in metadata_keys(candidates).orderBy("key").limit(30).collect()]
+        raise CatalogError(f"no candidate has {missing}; there are {known}")
+
+
+def default_types(samples: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(type): the plain type of every media of which a live sample has a current answer (rows of one label set)."""
+    answered = annotations.where("superseded_at is null and state = 'annotated'").select(F.col("sample_id").alias("id"))
+    return samples.where("deleted_at is null").join(answered, "id", "left_semi").select(F.concat("media", F.lit("/plain")).alias("type")).distinct()

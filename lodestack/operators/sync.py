@@ -72,3 +72,8 @@ def match_samples(incoming: DataFrame, samples: DataFrame) -> DataFrame:
     every = incoming.select("item").distinct().join(by, "item", "left")
     n = F.coalesce("n", F.lit(0))
     return every.select("item", F.when(n == 1, F.col("sample_id")).alias("sample_id"), F.when(n == 1, "matched").when(n == 0, "unmatched").otherwise("ambiguous").alias("matched"))
+
+
+def disputed(conflicts: DataFrame, samples: DataFrame) -> DataFrame:
+    """The open conflicts (sample_id, label_set_id, other_value, ..) of live samples."""
+    return conflicts.join(samples.where("deleted_at is null").select(F.col("id").alias("sample_id")), "sample_id", "left_semi")

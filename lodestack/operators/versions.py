@@ -99,6 +99,20 @@ class GivenSplit:
         side = F.when(group.isin([f"g:{v}" for v in self.holdout]), "holdout").when(group.isin([f"g:{v}" for v in self.val]), "val").otherwise("train")
         return members.select("id", side.alias("side"))
 
+    def with_lists(self, members: DataFrame, lists: DataFrame) -> DataFrame:
+        """(id, side) as ``sides``, but the bytes that ``lists`` (checksum, side) names take the side named there, whatever their type.
+
+        A checksum on two sides, or a list against the key, is refused.
+        """
+        if twice := [r.checksum for r in torn_bytes(lists).orderBy("checksum").take(20)]:
+            raise CatalogError(f"listed on two sides: {twice}")
+        named = lists.select("checksum", F.col("side").alias("listed")).distinct()
+        keyed = self.sides(members) if self.key else members.select("id", F.lit("train").alias("side"))
+        both = members.select("id", "checksum").join(keyed, "id").join(named, "checksum", "left")
+        if clash := [r.checksum for r in both.where("listed is not null and side <> 'train' and listed <> side").orderBy("checksum").take(20)]:
+            raise CatalogError(f"listed on another side than the key gives: {clash}")
+        return both.select("id", F.coalesce("listed", "side").alias("side"))
+
 
 def torn_bytes(sided: DataFrame) -> DataFrame:
     """(checksum, sides) of the bytes of (checksum, side) that stand on more than one side."""

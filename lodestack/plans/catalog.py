@@ -534,3 +534,25 @@ def prepare_counts(t):
 
     inputs = t.exported_sample.select(F.sha2("text", 256).alias("checksum"), F.encode("text", "UTF-8").alias("content"))
     return lineage.prepare_counts(lineage.prepare(inputs, [lambda data, meta: [(data, meta | {"bytes": len(data)})]]), 0)
+
+
+@query("SELECT DISTINCT unnest(json_keys(metadata)) AS key FROM sample_row WHERE deleted_at IS NULL AND metadata IS NOT NULL")
+def metadata_keys(t):
+    return selection.metadata_keys(views.live(t.sample_row))
+
+
+@query(f"SELECT DISTINCT media || '/plain' AS type FROM ({_LIVE}) s WHERE id IN (SELECT sample_id FROM annotation WHERE superseded_at IS NULL AND state = 'annotated' AND {_QC})")
+def default_types(t):
+    return selection.default_types(t.sample_row, t.of("qc"))
+
+
+@query(f"""WITH {_HELD}, m AS (SELECT sample_id, min_by(value, entry_id) AS value, 'human' AS source FROM manifest_sample WHERE dataset_id = 4 AND value IS NOT NULL GROUP BY sample_id)
+  SELECT m.sample_id, h.value AS kept_value, m.value AS other_value FROM m JOIN held h ON h.sample_id = m.sample_id AND h.{_TRIAGE} JOIN sample_row s ON s.id = m.sample_id
+  WHERE s.deleted_at IS NULL AND h.state = 'annotated' AND h.source = 'human' AND m.value IS DISTINCT FROM h.value""")
+def disputed(t):
+    incoming = t.manifest_sample.where("dataset_id = 4 and value is not null").groupBy("sample_id").agg(F.min_by("value", "entry_id").alias("value"))
+    target = F.broadcast(t.label_set.where("name = 'triage'").select(F.col("id").alias("label_set_id")))
+    incoming = incoming.join(target).select("sample_id", "label_set_id", F.lit("annotated").alias("state"), "value", F.lit("human").alias("source"))
+    clashes = sync.merge_verdicts(incoming, t.annotation).where("verdict = 'conflicted'").withColumnRenamed("value", "other_value")
+    held = views.current(t.of("triage")).groupBy("sample_id").agg(F.max_by("value", "id").alias("kept_value"))
+    return sync.disputed(clashes, t.sample_row).join(held, "sample_id").select("sample_id", "kept_value", "other_value")

@@ -133,3 +133,19 @@ def fetch(located: DataFrame, root: str) -> DataFrame:
 
     rows = located.select("container", "offset", "length", "checksum").repartition("container").sortWithinPartitions("container", "offset")
     return rows.mapInArrow(run, "checksum string, content binary")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(item): the lines of a text file, one checksum or name each; blank ones left out, repeated ones once."""
+    return spark.read.text(path).select(F.trim("value").alias("item")).where("item <> ''").distinct()
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(old, new) of lines "old new"; a line of other shape, or an old checksum paired twice, is refused."""
+    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where("p[0] <> ''")
+    if bad := rows.where(F.size("p") != 2).take(1):
+        raise CatalogError(f"not a pair: {' '.join(bad[0].p)}")
+    pairs = rows.select(F.col("p")[0].alias("old"), F.col("p")[1].alias("new")).distinct()
+    if twice := [r.old for r in pairs.groupBy("old").count().where("count > 1").orderBy("old").take(20)]:
+        raise CatalogError(f"paired twice: {twice}")
+    return pairs

@@ -147,3 +147,12 @@ def test_refs_and_names():
 
 def test_compare_is_a_value():
     assert Compare("a", "==", 1) == Compare("a", "==", 1)
+
+
+def test_key_check(spark):
+    df = frame(spark, "id bigint, metadata string", (1, '{"a":1,"b":null}'), (2, None))
+    S.check_keys(condition({"all": [{"key": "a", "op": ">", "value": 0}, {"not": {"key": "b", "op": "exists"}}]}), df, {})
+    S.check_keys(condition({"key": "c", "op": "==", "value": "x"}), df, {"c": "string"})
+    for cond, declared in (({"key": "z", "op": "exists"}, {}), ({"key": "a", "op": "==", "value": "x"}, {"a": "number"})):
+        with pytest.raises(V.CatalogError):
+            S.check_keys(condition(cond), df, declared)

@@ -195,3 +195,25 @@ def test_prepare_chain(spark):
     out = lineage.prepare(inputs, [drop, split], spark.createDataFrame([("3",)], "checksum string"))
     assert {(r.input, r.position, r.dropped) for r in out.collect()} == {("1", 0, None), ("1", 1, None), ("2", None, "nothing in it")}
     assert lineage.prepare_counts(out, 1).first().asDict() == {"inputs": 3, "produced": 1, "already": 1, "emptied": 1, "outputs": 2, "samples": 2}
+
+
+def test_given_lists(spark):
+    members = frame(spark, "id bigint, checksum string, metadata string", (1, "a", '{"k":"h"}'), (2, "b", None), (3, "b", '{"k":"t"}'), (4, "c", '{"k":"t"}'))
+    given = versions.GivenSplit("k", ("h",), ())
+    lists = frame(spark, "checksum string, side string", ("b", "val"), ("z", "holdout"))
+    assert {r.id: r.side for r in given.with_lists(members, lists).collect()} == {1: "holdout", 2: "val", 3: "val", 4: "train"}
+    for bad in ([("b", "val"), ("b", "holdout")], [("a", "val")]):
+        with pytest.raises(CatalogError):
+            given.with_lists(members, frame(spark, "checksum string, side string", *bad))
+
+
+def test_text_sources(spark, tmp_path):
+    (tmp_path / "l").write_text("a\n\n b \na\n")
+    (tmp_path / "p").write_text("o1 n1\no2  n2\n\n")
+    (tmp_path / "q").write_text("o1 n1\no1 n2\n")
+    (tmp_path / "r").write_text("o1\n")
+    assert {r["item"] for r in files.read_lines(spark, f"{tmp_path}/l").collect()} == {"a", "b"}
+    assert {tuple(r) for r in files.read_pairs(spark, f"{tmp_path}/p").collect()} == {("o1", "n1"), ("o2", "n2")}
+    for bad in ("q", "r"):
+        with pytest.raises(CatalogError):
+            files.read_pairs(spark, f"{tmp_path}/{bad}")
