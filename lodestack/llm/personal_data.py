@@ -34,7 +34,10 @@ KINDS = ("email", "phone", "identity", "address", "person")
 _AT = r"(?:\s?@\s?|[ ]?[\[({]\s?at\s?[\])}][ ]?|[ ]at[ ])"
 _DOT = r"(?:\.|[ ]?[\[({]\s?dot\s?[\])}][ ]?|[ ]dot[ ])"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
-EMAIL = re.compile(rf"(?<![\w.+%-])[^\W_][\w.+%-]*(?:@|{_AT})(?:{_LABEL}{_DOT})+(?:[^\W\d_]{{2,}})(?![\w@])", re.I)
+# an address is looked for at its sign: the local part backwards, the domain onwards
+_SIGN = re.compile(_AT, re.I)
+_LOCAL = re.compile(r"(?<![\w.+%-])[^\W_][\w.+%-]*$")
+_DOMAIN = re.compile(rf"(?:{_LABEL}{_DOT})+(?:[^\W\d_]{{2,}})(?![\w@])", re.I)
 PHONE = re.compile(
     r"(?<![\w+/.,-])(?<!\d )(?:"
     r"(?:\+|00)\d{1,3}[ .]\(?\d{1,4}\)?(?:[ .-]?\d{2,8}){1,5}"  # +44 20 7946 0499, 0049 30 23125261
@@ -68,10 +71,10 @@ _ADDRESSES = (
         rf"|{_NUMBER}(?: ?(?:bis|ter|quater))?,? (?i:{_FR_STREET}) {_FR_LINK}{_CAP}(?: (?:(?:de|du|des|la|le)\s)*{_CAP})*)(?![\w-])"
     ),
     re.compile(rf"(?<![\w.-])(?i:{_ES_STREET}) {_ES_LINK}{_CAP}(?: (?:(?:de|del|la|los|las)\s)*{_CAP})*,? (?:(?i:n\.?\s?[º°o]\.?|núm\.?)\s?)?{_NUMBER}(?![\w-])"),
-    # the street's name before its ending is looked up backwards
-    re.compile(rf"(?i:{_DE_STREET})\.? (?:Nr\. ?)?{_NUMBER}(?![\w-])"),
+    # the street before a number is looked up backwards
+    re.compile(rf" (?:Nr\. ?)?{_NUMBER}(?![\w-])"),
 )
-_STEM = re.compile(r"(?<![\w.-])[^\W\d_]*$")
+_STEM = re.compile(rf"(?<![\w.-])[^\W\d_]*(?i:{_DE_STREET})\.?$")
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
@@ -79,9 +82,9 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         for m in pattern.finditer(text):
             yield m.span()
     for m in _ADDRESSES[2].finditer(text):
-        stem = _STEM.search(text[max(0, m.start() - 40) : m.start()])
-        if stem:
-            yield m.start() - len(stem.group()), m.end()
+        if text[m.start() - 1 : m.start()].isalpha() or text[m.start() - 1 : m.start()] == ".":
+            if stem := _STEM.search(text[max(0, m.start() - 40) : m.start()]):
+                yield m.start() - len(stem.group()), m.end()
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
@@ -115,7 +118,19 @@ def _shaped(word: str) -> bool:
 
 def _name_words(text: str, names: Names) -> list[re.Match]:
     """The words of a text that are names of either kind."""
-    return [m for m in _WORD.finditer(text) if (w := m.group().lower()) in names.given or w in names.family]
+    low = text.lower()
+    if len(low) != len(text):  # a few letters change their length
+        return [m for m in _WORD.finditer(text) if (w := m.group().lower()) in names.given or w in names.family]
+    present = {w for w in _WORD.findall(low) if w in names.given or w in names.family}
+    found = []
+    for name in present:
+        at = low.find(name)
+        while at >= 0:
+            m = _WORD.match(text, at)
+            if m.end() - at == len(name) and not (at and (text[at - 1].isalpha() or text[at - 1] in "’'-" and at > 1 and text[at - 2].isalpha())):
+                found.append(m)
+            at = low.find(name, at + 1)
+    return sorted(found, key=re.Match.start)
 
 
 _BEFORE = re.compile(rf"(?<![\w@.+-])(?P<word>{_NAME})(?P<gap> (?:{_INITIAL} ?){{0,2}})$")
@@ -152,7 +167,7 @@ def learn_names(texts: DataFrame, names: DataFrame) -> Names:
             for text in batch.column(0).to_pylist():
                 if text:
                     pairs.update(beside_names(text, listed))
-                    total.update(w.lower() for w in _WORD.findall(text))
+                    total.update(_WORD.findall(text.lower()))
             keys = [(w, k) for w, k in pairs] + [(w, "") for w in total]
             counts = list(pairs.values()) + list(total.values())
             yield pa.RecordBatch.from_arrays(
@@ -168,6 +183,18 @@ def learn_names(texts: DataFrame, names: DataFrame) -> Names:
     return listed
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    for m in _SIGN.finditer(text):
+        domain = _DOMAIN.match(text, m.end())
+        if domain is None:
+            continue
+        before = text[max(0, m.start() - 80) : m.start()]
+        local = _LOCAL.search(before)
+        # a bare "at" makes an address only where its dots are written out too, or the domain ends like one
+        if local and ("@" in m.group() or m.group().strip()[0] in "[({" or re.search(r"(?i)[\[({ ]dot[\])} ]|\.[a-z]{2,}$", domain.group())):
+            yield m.start() - len(local.group()), domain.end()
+
+
 def detect(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all items, in text order, not overlapping."""
     if not text:
@@ -180,9 +207,8 @@ def detect(text: str | None, names: Names) -> list[tuple[int, int, str]]:
             used[start:end] = b"\1" * (end - start)
             taken.append((start, end, kind))
 
-    for m in EMAIL.finditer(text):
-        if "@" in m.group() or re.search(r"(?i)[\[({]at[\])}]| at ", m.group()) and re.search(r"(?i)[\[({ ]dot[\])} ]|\.[a-z]{2,}$", m.group()):
-            take(m.start(), m.end(), "email")
+    for start, end in _emails(text):
+        take(start, end, "email")
     for m in PHONE.finditer(text):
         if not _NOT_PHONE.search(_before(text, m.start())):
             take(m.start(), m.end(), "phone")
