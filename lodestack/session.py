@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,10 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = os.environ.setdefault("LODESTACK_LOCAL_DIR", tempfile.mkdtemp(prefix="lodestack-"))
-    return f"file://{folder}"
+    if "LODESTACK_LOCAL_DIR" not in os.environ:
+        os.environ["LODESTACK_LOCAL_DIR"] = tempfile.mkdtemp(prefix="lodestack-")
+        atexit.register(shutil.rmtree, os.environ["LODESTACK_LOCAL_DIR"], ignore_errors=True)
+    return f"file://{os.environ['LODESTACK_LOCAL_DIR']}"
 
 
 def cut(df: DataFrame) -> DataFrame:
