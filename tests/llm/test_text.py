@@ -223,6 +223,22 @@ def test_emails_in_spark(spark):
     assert new_text.found(export.limit(0), samples).count() == 0
 
 
+def exports(spark, *texts):
+    return frame(spark, "export_id bigint, sample_id bigint, type string, text string", *[(n, i, "text/email", t) for n, (i, t) in enumerate(texts)])
+
+
+def test_recurring_notices_despite_copies(spark):
+    notice = "Kindly shred this page after a single reading today."
+    texts = [(n, f"Dear old customer.\n\nOpening number {n} is {n * 7}.\n\nBody {n} goes on.\n\n{notice}") for n in range(8)]
+    samples = frame(spark, "id bigint, media string, subtype string, metadata string", (0, "text", "email", None))
+    last = {(n, 7) for n in range(8)}
+    assert {tuple(r) for r in new_text.found(exports(spark, *texts, *texts, *texts), samples).collect()} == last
+    hot = [(100 + n, texts[0][1]) for n in range(40)]
+    assert {tuple(r) for r in new_text.found(exports(spark, *texts, *hot), samples).collect()} == last | {(i, 7) for i, _ in hot}
+    # copies alone make nothing recur
+    assert new_text.found(exports(spark, *hot), samples).count() == 0
+
+
 PII = "Ask Zoretea B. Pryerby or N. Holovwick; write z.p@mail.example or z [at] mail [dot] example, call +44 20 7946 0499. Passport RX1234567, invoice RX7654321, ticket (302) 7478. PRYERBY, ZORETEA lives at 12 Mill Road."
 
 
