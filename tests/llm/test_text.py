@@ -239,6 +239,17 @@ def test_recurring_notices_despite_copies(spark):
     assert new_text.found(exports(spark, *hot), samples).count() == 0
 
 
+@pytest.mark.parametrize("sent", [5_000, 1, 0])
+def test_rare_notices_do_not_depend_on_size(spark, monkeypatch, sent):
+    monkeypatch.setattr(new_text, "NOTICES", sent)
+    notice = ["Kindly shred this page after a single reading today.", "Nothing in here was ever promised by our house."]
+    texts = [(n, f"Opening number {n} is {n * 7}.\n\nBody {n} goes on.\n\n{notice[n % 3 % 2]}") for n in range(18)]
+    many = [(100 + n, f"Line {n} says a thing of its own.") for n in range(14_000)]
+    samples = frame(spark, "id bigint, media string, subtype string, metadata string", (0, "text", "email", None))
+    got = {tuple(r) for r in new_text.found(exports(spark, *texts, *many), samples).collect()}
+    assert got == {(n, 5) for n in range(18)}
+
+
 PII = "Ask Zoretea B. Pryerby or N. Holovwick; write z.p@mail.example or z [at] mail [dot] example, call +44 20 7946 0499. Passport RX1234567, invoice RX7654321, ticket (302) 7478. PRYERBY, ZORETEA lives at 12 Mill Road."
 
 
