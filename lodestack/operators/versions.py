@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,8 @@ def draw(sizes: list[tuple[int, int]], total: int, fixed: dict[str, int], val_ra
 def assign_sides(members: DataFrame, val_ratio: float, holdout_ratio: float, seed: int, inherited: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
     """(id, side) for members (id, grp, checksum). ``inherited`` and ``given`` hold (id, side).
 
-    Given sides stand. A unit with one inherited side takes it, with several train. The draw is sequential over units, so their sizes reach the
-    driver: one number per unit, not per member.
+    Given sides stand. A unit with one inherited side takes it, with several train. The draw is sequential over units, so
+    one task gets their sizes: one number per unit, not per member.
     """
     spark = members.sparkSession
     total = members.count()
@@ -69,8 +71,14 @@ def assign_sides(members: DataFrame, val_ratio: float, holdout_ratio: float, see
     kept = units.join(inherited or none, "id", "left").groupBy("unit").agg(F.count("*").alias("size"), F.collect_set("side").alias("sides"))
     kept = kept.withColumn("side", F.when(F.size("sides") == 1, F.col("sides")[0]).when(F.size("sides") > 1, F.lit("train")))
     counts = {r.side: r.n for r in fixed.select("side").union(units.join(kept.where("side is not null"), "unit").select("side")).groupBy("side").agg(F.count("*").alias("n")).collect()}
-    sizes = [(r.unit, r["size"]) for r in kept.where("side is null").orderBy("unit").select("unit", "size").toLocalIterator()]
-    drawn = spark.createDataFrame(list(draw(sizes, total, counts, val_ratio, holdout_ratio, seed).items()), "unit bigint, drawn string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        decided = draw(sizes, total, counts, val_ratio, holdout_ratio, seed)
+        yield pa.RecordBatch.from_arrays([pa.array(decided.keys(), pa.int64()), pa.array(decided.values(), pa.string())], ["unit", "drawn"])
+
+    open_units = kept.where("side is null").select("unit", "size")
+    drawn = open_units.repartition(1).sortWithinPartitions("unit").mapInArrow(run, "unit bigint, drawn string")
     sided = units.join(kept.select("unit", "side"), "unit").join(drawn, "unit", "left").select("id", F.coalesce("side", "drawn").alias("side"))
     out = fixed.union(sided)
     found = {r.side for r in out.select("side").distinct().collect()}

@@ -392,21 +392,27 @@ def given_sides(t):
     return out
 
 
-def _author_groups(t):
-    return t.manifest_sample.where("dataset_id = 1").select(
-        F.col("sample_id").alias("id"), F.nullif(F.lower(F.trim(F.get_json_object("metadata", "$.author"))), F.lit("")).alias("grp"), "checksum"
-    )
+def _split(t):
+    """(dataset_id, id, grp, side) of the members of every version, by the ratios, the grouping key and the seed it records."""
+    out = None
+    for d in t.dataset_version.join(t.manifest_sample, F.col("id") == F.col("dataset_id"), "left_semi").orderBy("id").collect():
+        group = F.nullif(F.lower(F.trim(F.get_json_object("metadata", f"$['{d.group_by}']"))), F.lit("")) if d.group_by else F.lit(None).cast("string")
+        members = t.manifest_sample.where(F.col("dataset_id") == d.id).select(F.col("sample_id").alias("id"), group.alias("grp"), "checksum")
+        sided = versions.assign_sides(members, d.val_ratio, d.holdout_ratio, d.seed)
+        rows = sided.join(members, "id").select(F.lit(d.id).cast("bigint").alias("dataset_id"), "id", "grp", "side")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query()
 def split_assign(t):
-    return versions.assign_sides(_author_groups(t), 0.1, 0.1, 41).select("id", "side")
+    return _split(t).select("dataset_id", "id", "side")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS cut")
 def split_group_integrity(t):
-    sided = versions.assign_sides(_author_groups(t), 0.1, 0.1, 41).join(_author_groups(t), "id")
-    return versions.groups_cut(sided)
+    # a group is one of its version
+    return versions.groups_cut(_split(t).withColumn("grp", F.concat("dataset_id", F.lit(":"), "grp")))
 
 
 @query("""SELECT dataset_id, count(*) AS cut FROM (SELECT dataset_id, json_extract_string(metadata, '$.author') AS grp FROM manifest_sample WHERE json_extract_string(metadata, '$.author') IS NOT NULL AND split IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1) GROUP BY dataset_id""")
@@ -430,6 +436,13 @@ def features_of_version(t):
     return versions.features(members, _FEATURES, t.sample_row, t.annotation, t.label_set)
 
 
+@query(f"""WITH {_HELD} SELECT m.dataset_id, m.sample_id AS id, json_extract_string(s.metadata, '$.lang') AS lang, json_extract_string(s.metadata, '$.word_count') AS words, h.value AS tone
+  FROM manifest_sample m LEFT JOIN sample_row s ON s.id = m.sample_id LEFT JOIN held h ON h.sample_id = m.sample_id AND h.state = 'annotated' AND h.{_TONE}""")
+def features_of_versions(t):
+    members = t.manifest_sample.select("dataset_id", F.col("sample_id").alias("id"))
+    return versions.features(members, _FEATURES, t.sample_row, t.annotation, t.label_set).select("dataset_id", "id", *_FEATURES)
+
+
 @query("""WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, label_set_id ORDER BY id DESC) AS n FROM annotation WHERE superseded_at IS NULL) WHERE n = 1)
   SELECT m.dataset_id, m.sample_id, h.state, h.source, CASE WHEN h.state = 'annotated' THEN h.value END AS value, CASE WHEN h.state = 'annotated' THEN h.source = 'human' END AS reviewed
   FROM manifest_sample m JOIN dataset_version d ON d.id = m.dataset_id LEFT JOIN h ON h.sample_id = m.sample_id AND h.label_set_id = d.label_set_id""")

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import json
 import tarfile
 
 import pytest
@@ -71,6 +72,25 @@ def test_assign_sides(spark):
         versions.GivenSplit("k", ("a",), ("a",))
 
 
+def test_every_version_is_split(spark, tmp_path):
+    from lodestack.plans.catalog import QUERIES
+
+    rows = [(d, n, f"c{n}", json.dumps({"author": f"a{n // 3}", "lang": f"l{d}"})) for d in (1, 2, 3) for n in range(30)]
+    frame(spark, "dataset_id bigint, sample_id bigint, checksum string, metadata string", *rows).write.parquet(f"{tmp_path}/manifest_sample.parquet")
+    recorded = [(1, 0.1, 0.1, "author", 41), (2, 0.3, 0.0, "author", 42), (3, 0.2, 0.2, None, 43), (4, 0.1, 0.1, "author", 44)]
+    frame(spark, "id bigint, val_ratio double, holdout_ratio double, group_by string, seed bigint", *recorded).write.parquet(f"{tmp_path}/dataset_version.parquet")
+    frame(spark, "id bigint, metadata string", *[(n, '{"lang":"fr"}') for n in range(30)]).write.parquet(f"{tmp_path}/sample_row.parquet")
+    frame(spark, "id bigint, sample_id bigint, label_set_id bigint, state string, value string, superseded_at timestamp", (1, 4, 6, "annotated", "warm", None)).write.parquet(f"{tmp_path}/annotation.parquet")
+    frame(spark, "id bigint, name string", (6, "tone")).write.parquet(f"{tmp_path}/label_set.parquet")
+    got = [tuple(r) for r in QUERIES["split_assign"](spark, str(tmp_path)).collect()]
+    assert {(d, n) for d, n, _ in got} == {(d, n) for d, n, *_ in rows} and len(got) == 90
+    count = lambda d, side: sum(x == d and s == side for x, _, s in got)
+    assert (count(1, "val"), count(1, "holdout")) == (3, 3) and (count(2, "val"), count(2, "holdout")) == (9, 0) and (count(3, "val"), count(3, "holdout")) == (6, 6)
+    assert [r.cut for r in QUERIES["split_group_integrity"](spark, str(tmp_path)).collect()] == [0]
+    made = {(r.dataset_id, r.id): (r.lang, r.tone) for r in QUERIES["features_of_versions"](spark, str(tmp_path)).collect()}
+    assert len(made) == 90 and all(v == ("fr", "warm" if n == 4 else None) for (_, n), v in made.items())
+
+
 def test_inputs_and_combination(spark):
     origins = frame(spark, "id bigint, sample_id bigint, input string, metadata string", (2, 1, "b  c", '{"x":2,"y":null}'), (1, 1, "b c", '{"x":1}'), (3, 2, "p", None), (4, 2, "q", '{"z":"s"}'))
     settled, kept = versions.settle_inputs(origins, "drop")
