@@ -36,7 +36,6 @@ _DOT = r"(?:\.|[ ]?[\[({]\s?dot\s?[\])}][ ]?|[ ]dot[ ])"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 # an address is looked for at its sign: the local part backwards, the domain onwards
 _SIGN = re.compile(_AT, re.I)
-_LOCAL = re.compile(r"(?<![\w.+%-])[^\W_][\w.+%-]*$")
 _DOMAIN = re.compile(rf"(?:{_LABEL}{_DOT})+(?:[^\W\d_]{{2,}})(?![\w@])", re.I)
 PHONE = re.compile(
     r"(?<![\w+/.,-])(?<!\d )(?:"
@@ -83,7 +82,11 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
     for m in _ADDRESSES[2].finditer(text):
         if text[m.start() - 1 : m.start()].isalpha() or text[m.start() - 1 : m.start()] == ".":
-            if stem := _STEM.search(text[max(0, m.start() - 40) : m.start()]):
+            # from the character before the letters on, which may be none of a word
+            start = m.start() - (text[m.start() - 1] == ".")
+            while start and text[start - 1].isalnum() and not text[start - 1].isdecimal():
+                start -= 1
+            if stem := _STEM.search(text[max(0, start - 1) : m.start()]):
                 yield m.start() - len(stem.group()), m.end()
 
 
@@ -188,11 +191,13 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         domain = _DOMAIN.match(text, m.end())
         if domain is None:
             continue
-        before = text[max(0, m.start() - 80) : m.start()]
-        local = _LOCAL.search(before)
+        start = m.start()
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
+            start -= 1
+        local = start < m.start() and text[start].isalnum()
         # a bare "at" makes an address only where its dots are written out too, or the domain ends like one
         if local and ("@" in m.group() or m.group().strip()[0] in "[({" or re.search(r"(?i)[\[({ ]dot[\])} ]|\.[a-z]{2,}$", domain.group())):
-            yield m.start() - len(local.group()), domain.end()
+            yield start, domain.end()
 
 
 def detect(text: str | None, names: Names) -> list[tuple[int, int, str]]:

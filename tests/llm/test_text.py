@@ -269,6 +269,15 @@ def test_personal_data():
     assert personal_data.detect(None, names) == [] and personal_data.replaced("", [], b"") == ("", "")
 
 
+@pytest.mark.parametrize("size", [10, 79, 80, 81, 300])
+def test_long_items_are_found_whole(size):
+    names = personal_data.Names(set(), set())
+    local, street = ("ab.c-" * size)[: size - 1] + "z", "L" + "o" * size + "straße"
+    text = f"Write {local}@mail.example or visit {street} 12 soon, not 4{street} 13."
+    assert [(text[a:b], kind) for a, b, kind in personal_data.detect(text, names)] == [(f"{local}@mail.example", "email"), (f"{street} 12", "address")]
+    assert personal_data.detect(f".{local}@mail.example", names) == []
+
+
 def test_personal_data_in_spark(spark):
     rows = [(1, PII), (1, PII), (2, None), (3, ""), (None, PII)] + [(10 + n, f"Zoretea Unlisted met Nyko Holovwick, line {n}. zoretea unlisted was late.") for n in range(3)]
     df = frame(spark, "sample_id bigint, text string, kind string, word int", *[(i, t, "x", 1) for i, t in rows])
