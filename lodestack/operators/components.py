@@ -1,9 +1,10 @@
 """Connected components by distributed union-find.
 
 Every task builds a forest over the edges it happens to hold and forwards only (node, local root). Nodes
-that got different roots in different tasks become the edges of a much smaller graph over roots, which is
-contracted in the same way; the levels are then unwound by joins. No task holds more than a chunk of
-edges, and nothing but the edge counts of each level reaches the driver.
+that got different roots in different tasks become the edges of a much smaller graph over roots. While that is more than one task
+should hold, it is contracted in rounds, each of which takes away a share of its nodes, so their number grows with the logarithm
+of the edges; the rounds are then unwound by joins. No task holds more than a chunk of edges, and nothing but the edge count of
+each round reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.session import cut
@@ -70,10 +71,6 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     a, b = (F.col(f"`{c}`").cast("bigint") for c in edges.columns[:2])
     pairs = edges.select(a.alias("a"), b.alias("b")).where("a is not null and b is not null")
-    return _level(pairs, chunk)
-
-
-def _level(pairs: DataFrame, chunk: int) -> DataFrame:
     forest = pairs.mapInArrow(_forest, "node bigint, label bigint")
     nodes = cut(forest.groupBy("node").agg(F.min("label").alias("m"), F.collect_set("label").alias("labels")))
     torn = nodes.where(F.size("labels") > 1)
@@ -81,7 +78,41 @@ def _level(pairs: DataFrame, chunk: int) -> DataFrame:
     left = rest.count()
     if not left:
         return nodes.select("node", F.col("m").alias("root"))
-    upper = _level(rest.coalesce(1) if left <= chunk else rest, chunk)
+    upper = _contracted(rest, left, chunk)
     return nodes.join(upper.select(F.col("node").alias("m"), F.col("root").alias("r")), "m", "left").select(
         "node", F.coalesce("r", "m").alias("root")
     )
+
+
+def contraction(pairs: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """One round: (node, to) for every node, and the distinct edges (a, b) left between the nodes gone to.
+
+    Every node goes to the one of itself and its neighbours that a hash drawn anew for the round puts first. So a fixed share of the
+    nodes is expected to go, whatever the order of their ids, also on a chain in ascending order.
+    """
+
+    def rank(c: str) -> Column:
+        return F.struct(F.xxhash64(F.lit(step), F.col(c)).alias("h"), F.col(c).alias("v"))
+
+    both = pairs.union(pairs.select("b", "a"))
+    first = both.groupBy("a").agg(F.min(F.least(rank("a"), rank("b"))).alias("n"))
+    gone = cut(first.select(F.col("a").alias("node"), F.col("n.v").alias("to")))
+    left = pairs.join(gone.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(gone.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+    return gone, cut(left.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+
+
+def _contracted(pairs: DataFrame, left: int, chunk: int) -> DataFrame:
+    """(node, root) of edges between roots of local forests: rounds of contraction until one task can hold what is left."""
+    rounds = []
+    while left > chunk:
+        gone, pairs = contraction(pairs, len(rounds))
+        rounds.append(gone)
+        left = pairs.count()
+    found = pairs.coalesce(1).mapInArrow(_forest, "node bigint, label bigint").withColumnRenamed("label", "root")
+    if not rounds:
+        return found
+    for gone in reversed(rounds):
+        above = found.select(F.col("node").alias("to"), "root")
+        found = cut(gone.join(above, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return found.join(least, "root").select("node", F.col("least").alias("root"))

@@ -42,6 +42,20 @@ def test_components_against_union_find(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_ascending_chain_is_contracted_in_few_rounds(spark, monkeypatch):
+    from lodestack.operators import components as module
+
+    rounds, once = [], module.contraction
+    monkeypatch.setattr(module, "contraction", lambda pairs, step: rounds.append(step) or once(pairs, step))
+    n, chunk = 12_000, 400
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    chain = spark.range(n).selectExpr("id + 5 as a", "id + 6 as b").repartition(30)
+    found = components(chain, chunk).groupBy("root").count().collect()
+    assert [(r.root, r["count"]) for r in found] == [(5, n + 1)]
+    # by halves on average, three quarters at the worst expected
+    assert 2 <= len(rounds) <= 12
+
+
 @given(st.lists(st.integers(1, 9), min_size=3, max_size=40), st.integers(0, 5), st.sampled_from([0.0, 0.1, 0.3]), st.sampled_from([0.1, 0.25]))
 @settings(max_examples=60, deadline=None)
 def test_draw_keeps_units_whole_and_comes_near(sizes, seed, holdout, val):
