@@ -3,9 +3,10 @@
 Detection is by pattern and context; the names in use are learned from the corpus, starting from a list of given and family names:
 a name-shaped word that stands beside a listed name, and seldom elsewhere, is a name of the other kind.
 
-Method of replacement: surrogate generation. Every entity gets a keyed replacement of its own type that keeps language, script, case,
-format and (for given names, by their ending) gender; the same entity gets the same surrogate wherever it stands in a text, two
-entities never share one, and no surrogate equals an entity of the text. Typed placeholders, numbered per entity, are given beside it.
+Method of replacement: surrogate generation. Every entity gets a keyed replacement of its own type that keeps script, case,
+format and (for given names, by their ending) gender; the same entity gets the same surrogate in all texts, two
+entities never share one, a person and the e-mail address made of the same names stay alike, and no surrogate equals an entity of the
+text (the one that would is made anew). Typed placeholders, numbered per entity, are given beside it. An item is reported once it has its surrogate.
 
 Defined results
 * Null and empty texts hold nothing and stay as they are. Items do not span lines.
@@ -17,16 +18,16 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.session import cut
 
 KINDS = ("email", "phone", "identity", "address", "person")
 
@@ -101,6 +102,8 @@ PERSON = re.compile(
 
 LEAST_PAIRS = 2
 LEAST_SHARE = 0.3
+#: learned names sent to every executor (some 100 bytes each there); of more, each text gets its own by joins
+SENT_NAMES = 200_000
 
 
 def fold(text: str) -> str:
@@ -153,11 +156,11 @@ def beside_names(text: str, names: Names) -> Iterator[tuple[str, str]]:
                 yield n["word"].lower(), "given"
 
 
-def learn_names(texts: DataFrame, names: DataFrame) -> Names:
-    """The listed names and those learned from all texts.
+def learn_names(texts: DataFrame, names: DataFrame) -> tuple[Names, DataFrame]:
+    """The listed names, and (word, kind) of those learned from all texts.
 
     A word is learned if it stands beside a listed name of the other kind at least ``LEAST_PAIRS`` times, and that in at least ``LEAST_SHARE`` of
-    its occurrences in any case. What reaches the driver is the vocabulary of names in use.
+    its occurrences in any case. The list of names is a fixed table and is held by the driver; what is learned from the texts is not.
     """
     listed = Names(set(), set())
     for row in names.where("name is not null").select("name", "kind").toLocalIterator():
@@ -181,9 +184,7 @@ def learn_names(texts: DataFrame, names: DataFrame) -> Names:
     n = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     words = counted.groupBy("word").agg(n("given").alias("given"), n("family").alias("family"), n("").alias("total"))
     learned = words.where((F.greatest("given", "family") >= LEAST_PAIRS) & (F.greatest("given", "family") >= LEAST_SHARE * F.col("total")))
-    for row in learned.toLocalIterator():
-        (listed.given if row.given >= row.family else listed.family).add(row.word)
-    return listed
+    return listed, cut(learned.select("word", F.when(F.col("given") >= F.col("family"), "given").otherwise("family").alias("kind")))
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -256,92 +257,156 @@ def _before(text: str, at: int) -> str:
 
 # surrogates ---------------------------------------------------------------------------------------------------
 
-_ONSETS, _VOWELS, _CODAS = ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v"), ("a", "e", "i", "o", "u"), ("l", "n", "r", "s", "")
+# fixed values: letters of made words, spellings of letters beyond a-z, and the letters of other scripts as ranges
+_CONSONANTS, _VOWELS = "bdfghjklmnprstvz", "aeiou"
+_SPELLED = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
+_SCRIPTS = ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x621, 0x64A), (0x915, 0x939), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+_KEPT_LABELS = ("example", "test", "invalid", "localhost")
+_STREET_WORD = re.compile(rf"(?i)^(?:{_EN_STREET}|{_FR_STREET}|{_ES_STREET}|bis|ter|quater|de|du|des|la|le|les|del|los|las|n|nr|núm)$")
+_STREET_END = re.compile(rf"(?i){_DE_STREET}$")
+
+#: salts tried for an entity before its replacement is lengthened
+SALTS = 16
 
 
 class Surrogates:
-    """Keyed replacements of the entities of one text."""
+    """Keyed replacements of the entities of one text.
 
-    def __init__(self, key: bytes, real: set[str]) -> None:
-        self.key, self.real, self.given_out, self.used = key, real, {}, set(real)
+    A digit, a letter or two letters of a word are shifted within their alphabet by an amount that the key and what was read before them
+    decide. Reading back is possible symbol by symbol, so two entities never get one replacement, in whatever texts they stand, and an entity gets
+    the same in all. Words map alike in persons and in e-mail addresses. What was shifted onto an entity of the same text is shifted
+    again by another salt, and lengthened after ``SALTS`` of them.
+    """
 
-    def _stream(self, kind: str, entity: str, salt: int) -> Iterator[int]:
-        block = 0
-        while True:
-            yield from hmac.new(self.key, f"{kind}\0{entity}\0{salt}\0{block}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest()
-            block += 1
+    def __init__(self, key: bytes, items: list[tuple[str, str]]) -> None:
+        if not key:
+            raise ValueError("surrogates need a key")
+        self.key = key if len(key) <= 64 else hashlib.sha256(key).digest()
+        self.made: dict[tuple[str, str], str] = {}
+        self.used: dict[str, tuple[str, str] | None] = {fold(item): None for _, item in items}
+        # the given name behind an initial, where the text has both with one family name
+        self.initials: dict[tuple[str, str], str] = {}
+        for kind, item in items:
+            words = [fold(w) for w in _WORD.findall(item)] if kind == "person" else []
+            for w in words:
+                for other in words:
+                    if len(w) > 1 and other is not w:
+                        self.initials.setdefault((w[0], other), w)
+
+    def _shift(self, salt: int, kind: str, before: str, size: int) -> int:
+        data = f"{salt}\0{kind}\0{before}".encode("utf-8", "surrogatepass")
+        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=8).digest()) % size
 
     def of(self, kind: str, item: str) -> str:
-        entity = _entity(kind, item)
-        salt = 0
-        while (kind, item) not in self.given_out:
-            new = getattr(self, f"_{kind}")(item, entity, salt)
-            # the same entity in another spelling may share its surrogate's words, another entity may not
-            if new not in self.used and fold(new) != fold(item):
-                self.given_out[kind, item] = new
-                self.used.add(new)
-            salt += 1
-        return self.given_out[kind, item]
-
-    def _word(self, kind: str, word: str, salt: int, ending: str = "") -> str:
-        draw = self._stream(kind, fold(word), salt)
-        made = ""
-        while len(made) < max(4, len(word) - len(ending) - 1):
-            made += _ONSETS[next(draw) % 13] + _VOWELS[next(draw) % 5] + _CODAS[next(draw) % 5]
-        made = made[: max(4, len(word) - len(ending))].rstrip("aeiou") + ending if ending else made[: max(4, len(word))]
-        return made.upper() if word.isupper() else made.capitalize() if word[:1].isupper() else made
-
-    def _digits(self, item: str, kind: str, entity: str, salt: int, keep: int = 0, letters: bool = False) -> str:
-        draw, seen, made = self._stream(kind, entity, salt), 0, []
-        for c in item:
-            if c.isdigit():
-                seen += 1
-                made.append(c if seen <= keep else str(next(draw) % 10))
+        """The replacement of an item: never an entity of the text, never that of another entity."""
+        if (kind, item) not in self.made:
+            entity, salt = (kind, _entity(kind, item)), 0
+            while True:
+                new = getattr(self, f"_{kind}")(item, salt)
+                if salt >= SALTS:  # nothing of its own length is free
+                    digits = list(re.finditer(r"\d+", new))
+                    new = new[: digits[-1].end()] + str(salt) + new[digits[-1].end() :] if digits else new + "-" + self._word(chr(97 + salt % 26) * (salt // 26 + 2), salt)
+                if self.used.get(fold(new), entity) == entity and fold(new) != fold(item):
+                    break
+                salt += 1
+            self.made[kind, item] = new
+            self.used[fold(new)] = entity
+        return self.made[kind, item]
+
+    def _word(self, word: str, salt: int) -> str:
+        low = fold(word).translate(_SPELLED)
+        # the gender of a given name shows in its ending
+        ending = low[-1] if len(low) > 2 and low[-1] in "aeo" else ""
+        body, out, at = low[: len(low) - len(ending)], "", 0
+        while at < len(body):
+            a, b = body[at], body[at + 1 : at + 2]
+            if "a" <= a <= "z":
+                if "a" <= b <= "z":
+                    n = (ord(a) - 97) * 26 + ord(b) - 97 + self._shift(salt, "pair", body[:at], 1280)
+                    out += _CONSONANTS[n // 80 % 16] + _VOWELS[n // 16 % 5] + _CONSONANTS[n % 16]
+                    at += 2
+                    continue
+                n = ord(a) - 97 + self._shift(salt, "one", body[:at], 80)
+                out += _CONSONANTS[n // 5 % 16] + _VOWELS[n % 5]
+            else:
+                first, last = next((r for r in _SCRIPTS if r[0] <= ord(a) <= r[1]), (ord(a), ord(a)))
+                out += chr(first + (ord(a) - first + self._shift(salt, "script", body[:at], last - first + 1)) % (last - first + 1))
+            at += 1
+        out += ending
+        return out.upper() if word.isupper() and len(word) > 1 else out.capitalize() if word[:1].isupper() else out
+
+    def _initial(self, letter: str, family: list[str], salt: int) -> str:
+        low = fold(letter)
+        given = next((self.initials[low, f] for f in family if (low, f) in self.initials), None)
+        new = self._word(given, salt)[0] if given else self._word(low * 2, salt)[0]
+        return new.upper() if letter.isupper() else new
+
+    def _digits(self, item: str, kind: str, salt: int, keep: int = 0, letters: bool = False) -> str:
+        """Digits after the first ``keep`` shifted, each by those to its right; with ``letters`` those too."""
+        seen, out, right = sum(c.isdecimal() for c in item), [], ""
+        for c in reversed(item):
+            digit = c.isdecimal() and c.isascii()
+            if c.isdecimal():
+                seen -= 1
+            if digit and seen >= keep:
+                out.append(str((int(c) + self._shift(salt, kind, right, 10)) % 10))
+                right += c
             elif letters and c.isalpha() and c.isascii():
-                made.append(chr(ord("A" if c.isupper() else "a") + next(draw) % 26))
+                base = 65 if c.isupper() else 97
+                out.append(chr(base + (ord(c) - base + self._shift(salt, kind, right, 26)) % 26))
+                right += c
             else:
-                made.append(c)
-        return "".join(made)
-
-    def _phone(self, item: str, entity: str, salt: int) -> str:
-        return self._digits(item, "phone", entity, salt, 2)
+                out.append(c)
+        return "".join(reversed(out))
 
-    def _identity(self, item: str, entity: str, salt: int) -> str:
-        return self._digits(item, "identity", entity, salt, 0, True)
+    def _phone(self, item: str, salt: int) -> str:
+        # the country code or the zero before the number stays; one number in national and international form keeps its tail
+        head = re.match(r"\+(\d{1,3})[ .]|\+(\d\d)|(00\d{1,3})[ .]|(00\d\d)|(0|1-)|(44|49|33|34)(?=\d{9})", item)
+        return self._digits(item, "phone", salt, sum(c.isdecimal() for c in head.group()) if head else 0)
 
-    def _email(self, item: str, entity: str, salt: int) -> str:
-        return re.sub(r"[^\W_]+", lambda m: m.group() if m.group().lower() in ("at", "dot", "com", "org", "net", "example", "test", "invalid") else self._word("email", m.group(), salt), item)
+    def _identity(self, item: str, salt: int) -> str:
+        return self._digits(item, "identity", salt, 0, True)
 
-    def _address(self, item: str, entity: str, salt: int) -> str:
-        street = re.compile(rf"(?i)^(?:{_EN_STREET}|{_FR_STREET}|{_ES_STREET}|bis|ter|quater|de|du|des|la|le|les|del|los|las|n|nr|núm)$")
+    def _email(self, item: str, salt: int) -> str:
+        sign = next(m for m in _SIGN.finditer(item) if _DOMAIN.match(item, m.end()))
+        local, domain = item[: sign.start()], item[sign.end() :]
+        labels = list(_WORD.finditer(domain))
+        names = [fold(w) for w in _WORD.findall(local)]
 
         def swap(m: re.Match) -> str:
+            return self._initial(m.group(), names, salt) if len(m.group()) == 1 else self._word(m.group(), salt)
+
+        def label(m: re.Match) -> str:
             w = m.group()
-            if street.match(w) or len(w) < 3:
-                return w
-            if tail := re.search(rf"(?i){_DE_STREET}$", w):
-                return self._word("address", w[: tail.start()] or "Neue", salt) + tail.group()
-            return self._word("address", w, salt)
+            return w if m.start() == labels[-1].start() or w.lower() == "dot" or w.lower() in _KEPT_LABELS else self._word(w, salt)
 
-        return self._digits(_WORD.sub(swap, item), "number", entity, salt)
+        made = self._digits(_WORD.sub(swap, local), "local", salt)
+        return made + sign.group() + _WORD.sub(label, domain)
 
-    def _person(self, item: str, entity: str, salt: int) -> str:
+    def _address(self, item: str, salt: int) -> str:
         def swap(m: re.Match) -> str:
             w = m.group()
-            if len(w) == 1:
-                draw = chr(ord("A") + next(self._stream("initial", w.lower(), salt)) % 26)
-                return draw if w.isupper() else draw.lower()
-            # the gender of a given name shows in its ending
-            ending = fold(w)[-1] if fold(w)[-1] in "aeo" else ""
-            return self._word("name", w, salt, ending)
+            if _STREET_WORD.match(w) or len(w) < 3:
+                return w
+            if tail := _STREET_END.search(w):
+                return self._word(w[: tail.start()] or "Neue", salt) + tail.group()
+            return self._word(w, salt)
 
-        return _WORD.sub(swap, item)
+        def number(m: re.Match) -> str:
+            first = (int(m.group()[0]) - 1 + self._shift(salt, "house", m.group()[1:], 9)) % 9 + 1 if m.group()[0] != "0" else 0
+            return str(first) + self._digits(m.group()[1:], "house", salt)
+
+        return re.sub(r"[0-9]+", number, _WORD.sub(swap, item))
+
+    def _person(self, item: str, salt: int) -> str:
+        names = [fold(w) for w in _WORD.findall(item) if len(w) > 1]
+        return _WORD.sub(lambda m: self._initial(m.group(), names, salt) if len(m.group()) == 1 else self._word(m.group(), salt), item)
 
 
 def _entity(kind: str, item: str) -> str:
     """What two spellings of one entity have in common."""
     if kind in ("phone", "identity"):
-        return re.sub(r"[^0-9a-z]", "", fold(item))
+        return re.sub(r"[^0-9a-z]", "", fold(item)).removeprefix("00" if kind == "phone" else "")
     if kind == "person":
         return " ".join(sorted(fold(w) for w in _WORD.findall(item) if len(w) > 1))
     return re.sub(r"\W+", " ", fold(item))
@@ -351,7 +416,7 @@ def replaced(text: str | None, items: list[tuple[int, int, str]], key: bytes) ->
     """The text with surrogates, and with typed placeholders numbered per entity, for its items."""
     if not text or not items:
         return text, text
-    surrogates = Surrogates(key, {text[a:b] for a, b, _ in items})
+    surrogates = Surrogates(key, [(kind, text[a:b]) for a, b, kind in items])
     numbers: dict[str, dict[str, int]] = {}
     one, two, at = [], [], 0
     for a, b, kind in items:
@@ -363,40 +428,71 @@ def replaced(text: str | None, items: list[tuple[int, int, str]], key: bytes) ->
     return "".join(one) + text[at:], "".join(two) + text[at:]
 
 
-def _per_text(names: Names, samples: DataFrame):
-    return samples.sparkSession.sparkContext.broadcast(names)
-
-
 def _samples(samples: DataFrame) -> DataFrame:
     return samples.select(F.col("sample_id").cast("bigint").alias("sample_id"), F.col("text").cast("string").alias("text")).where("sample_id is not null")
 
 
-def found(samples: DataFrame, names: DataFrame) -> DataFrame:
-    """(sample_id, kind, found): each distinct item of each sample's texts."""
-    rows = _samples(samples)
-    held = _per_text(learn_names(rows, names), samples)
+def _with_names(rows: DataFrame, names: DataFrame, bound: int, run: Callable[[str | None, Names], list[tuple]], schema: str) -> DataFrame:
+    """``run`` over all texts of (sample_id, text) with the names in use: each of its rows behind the sample_id.
+
+    Up to ``bound`` learned names, as counted, are sent to every executor. If there are more, each text gets those of its own words by joins on the words.
+    """
+    listed, learned = learn_names(rows, names)
+    kinds = [pa.int64(), *({"string": pa.string(), "bigint": pa.int64()}[c.split(" ")[1]] for c in schema.split(", "))]
+    columns = ["sample_id", *(c.split(" ")[0] for c in schema.split(", "))]
+
+    def batch_of(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in made], kind) for n, kind in enumerate(kinds)], columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if learned.count() <= bound:
+        for row in learned.toLocalIterator():
+            getattr(listed, row.kind).add(row.word)
+        held = rows.sparkSession.sparkContext.broadcast(listed)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch_of([(i, *out) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for out in run(t, held.value)])
+
+        return rows.mapInArrow(whole, f"sample_id bigint, {schema}")
+
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+(?:[’'-][\p{L}]+)*)"), F.lit(1))))
+    texts = cut(rows.withColumn("t", F.xxhash64("text")))
+    used = texts.where("text is not null").select("sample_id", "t", words.alias("word")).join(learned, "word")
+    own = used.groupBy("sample_id", "t").agg(F.collect_set(F.struct("kind", "word")).alias("own"))
+    held = rows.sparkSession.sparkContext.broadcast(listed)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {(i, k, t[a:b]): None for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, k in detect(t, held.value)}
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], kind) for n, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["sample_id", "kind", "found"])
+            made = []
+            for i, t, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                mine = Names(held.value.given | {x["word"] for x in own or [] if x["kind"] == "given"}, held.value.family | {x["word"] for x in own or [] if x["kind"] == "family"}) if own else held.value
+                made += [(i, *out) for out in run(t, mine)]
+            yield batch_of(made)
+
+    return texts.join(own, ["sample_id", "t"], "left").select("sample_id", "text", "own").mapInArrow(each, f"sample_id bigint, {schema}")
+
+
+def entities(samples: DataFrame, names: DataFrame, key: bytes, bound: int = SENT_NAMES) -> DataFrame:
+    """(sample_id, kind, found, surrogate): each distinct item of each sample's texts, and what replaces it."""
 
-    return rows.mapInArrow(run, "sample_id bigint, kind string, found string").distinct()
+    def run(text: str | None, known: Names) -> list[tuple]:
+        items = list(dict.fromkeys((kind, text[a:b]) for a, b, kind in detect(text, known)))
+        surrogates = Surrogates(key, items)
+        return [(kind, item, surrogates.of(kind, item)) for kind, item in items]
 
+    return _with_names(_samples(samples), names, bound, run, "kind string, found string, surrogate string")
 
-def redacted(samples: DataFrame, names: DataFrame, key: bytes = b"lodestack") -> DataFrame:
+
+def found(samples: DataFrame, names: DataFrame, key: bytes, bound: int = SENT_NAMES) -> DataFrame:
+    """(sample_id, kind, found): each distinct item of each sample's texts that has been given a surrogate."""
+    return entities(samples, names, key, bound).where("surrogate <> found").select("sample_id", "kind", "found").distinct()
+
+
+def redacted(samples: DataFrame, names: DataFrame, key: bytes, bound: int = SENT_NAMES) -> DataFrame:
     """(sample_id, text, placeholders, items): every row's text with surrogates and with typed placeholders, and how many items were replaced."""
-    rows = _samples(samples)
-    held = _per_text(learn_names(rows, names), samples)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            items = [detect(t, held.value) for t in texts]
-            made = [replaced(t, x, key) for t, x in zip(texts, items)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string()), pa.array([len(x) for x in items], pa.int64())],
-                ["sample_id", "text", "placeholders", "items"],
-            )
+    def run(text: str | None, known: Names) -> list[tuple]:
+        items = detect(text, known)
+        return [(*replaced(text, items, key), len(items))]
 
-    return rows.mapInArrow(run, "sample_id bigint, text string, placeholders string, items bigint")
+    return _with_names(_samples(samples), names, bound, run, "text string, placeholders string, items bigint")

@@ -51,12 +51,16 @@ def p4_sides(spark: SparkSession, d: str) -> DataFrame:
     return assign(table(spark, d, "manifest_sample"), table(spark, d, "dataset_version"))
 
 
+#: the key of the registered queries only; users pass a secret of their own
+QUERY_KEY = b"registered queries"
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal_data.found(table(spark, d, "exported_sample"), table(spark, d, "name_list"))
+    return personal_data.found(table(spark, d, "exported_sample"), table(spark, d, "name_list"), QUERY_KEY)
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return personal_data.redacted(table(spark, d, "exported_sample"), table(spark, d, "name_list"))
+    return personal_data.redacted(table(spark, d, "exported_sample"), table(spark, d, "name_list"), QUERY_KEY)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

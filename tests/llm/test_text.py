@@ -282,11 +282,46 @@ def test_personal_data_in_spark(spark):
     rows = [(1, PII), (1, PII), (2, None), (3, ""), (None, PII)] + [(10 + n, f"Zoretea Unlisted met Nyko Holovwick, line {n}. zoretea unlisted was late.") for n in range(3)]
     df = frame(spark, "sample_id bigint, text string, kind string, word int", *[(i, t, "x", 1) for i, t in rows])
     names = frame(spark, "name_id bigint, name string, kind string", (1, "Zoretea", "given"), (2, "Holovwick", "family"), (3, None, "given"), (4, "X", None))
-    got = {tuple(r) for r in personal_data.found(df, names).collect()}
+    got = {tuple(r) for r in personal_data.found(df, names, b"key").collect()}
+    assert got == {tuple(r) for r in personal_data.found(df, names, b"key", bound=0).collect()}
     assert (1, "identity", "RX1234567") in got and (11, "person", "Zoretea Unlisted") in got and (11, "person", "zoretea unlisted") in got and (12, "person", "Nyko Holovwick") in got
-    out = {r.sample_id: r for r in personal_data.redacted(df, names).collect()}
+    out = {r.sample_id: r for r in personal_data.redacted(df, names, b"key").collect()}
+    assert {tuple(r) for r in personal_data.redacted(df, names, b"key", bound=0).collect()} == {tuple(r) for r in personal_data.redacted(df, names, b"key").collect()}
     assert out[2].text is None and out[3].text == "" and out[1]["items"] == len(personal_data.detect(PII, personal_data.Names({"zoretea", "nyko"}, {"holovwick", "unlisted", "pryerby"})))
-    assert personal_data.found(df.limit(0), names.limit(0)).count() == 0
+    assert personal_data.found(df.limit(0), names.limit(0), b"key").count() == 0
+
+
+def test_surrogates_end_and_stay_apart():
+    names = personal_data.Names({"anna", "zoë"}, {"meier"})
+    of = lambda text, key=b"k": personal_data.replaced(text, personal_data.detect(text, names), key)[0]
+    made = of("Write to test@example.com please.")
+    assert "test@" not in made and made.endswith("@example.com please.")
+    # more short addresses than house numbers of one digit: the rest is lengthened
+    many = " and ".join(f"{n} Xy Road, and {n} Yx Road" for n in range(1, 10))
+    swapped = of(many)
+    items = [swapped[a:b] for a, b, _ in personal_data.detect(swapped, names)]
+    assert len(items) == len(set(items)) == 18 and not set(items) & {many[a:b] for a, b, _ in personal_data.detect(many, names)}
+    with pytest.raises(ValueError):
+        of("a@b.example", b"")
+    # one entity in several spellings: names in persons and addresses, initials, numbers with and without the country code
+    person, short, mail = of("Anna Meier, A. Meier, anna.meier@acme.org").split(", ")
+    given_name, family = person.split(" ")
+    assert short == f"{given_name[0]}. {family}" and mail.startswith(f"{given_name.lower()}.{family.lower()}@") and given_name.endswith("a")
+    one, two = of("+44 20 7946 0499 or 020 7946 0499").split(" or ")
+    assert one[4:] == two[1:] and one[:4] == "+44 " and one[4:] != "20 7946 0499"
+
+
+@given(st.lists(st.sampled_from("abcdeimnorst"), min_size=2, max_size=7).map("".join), st.lists(st.sampled_from("abcdeimnorst"), min_size=2, max_size=7).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_words_stay_distinct_in_any_text(one, two):
+    swap = personal_data.Surrogates(b"key", [])._word
+    assert (swap(one, 0) == swap(two, 0)) == (one == two)
+
+
+@pytest.mark.parametrize("word,low,high", [("Иван", "Ѐ", "ӿ"), ("Μαρία", "Ͱ", "Ͽ"), ("山田", "一", "龥"), ("Søren", "A", "z")])
+def test_script_and_case_are_kept(word, low, high):
+    made = personal_data.Surrogates(b"key", [])._word(word, 0)
+    assert made != word and all(low <= c <= high for c in made) and made[0].isupper() == word[0].isupper()
 
 
 @given(st.lists(st.tuples(st.integers(1, 100), st.integers(0, 100)), max_size=60), st.integers(3, 9))
