@@ -76,6 +76,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p7_packed(spark, d))
 
 
+def p7_conserved(spark: SparkSession, d: str) -> DataFrame:
+    return packing.conserved(p7_packed(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_packed": p7_packed,
     "p7_report": p7_report,
+    "p7_conserved": p7_conserved,
     "p8_found": p8_found,
     "p9_found": p9_found,
 }
@@ -138,6 +143,7 @@ SQL: dict[str, str] = {
   SELECT p.dataset_id, side, source, count(*) AS pairs, count(DISTINCT held_id) AS held, count(DISTINCT train_id) AS train FROM p LEFT JOIN s ON s.dataset_id = p.dataset_id AND s.sample_id = held_id GROUP BY ALL""",
     "p4_found": _grouped(_RELATED, "entry_id"),
     "p6_found": _grouped(f"{_ALIKE}, l AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike)", "sample_id"),
+    "p7_conserved": """SELECT CAST(capacity AS BIGINT) AS capacity, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, CAST(0 AS BIGINT) AS over FROM (SELECT DISTINCT capacity FROM pack_target WHERE capacity > 0)""",
     "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
   dg AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)), ig AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
   SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON ig.g = dg.g""",

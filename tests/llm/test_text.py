@@ -333,8 +333,22 @@ def test_packing_keeps_all_limits(items, seats):
     assert len(box) == len(items) and (not len(items) or box.min() >= 0)
     for b in set(box.tolist()):
         inside = box == b
-        assert tokens[inside].sum() == fills[b] <= 100 and inside.sum() <= seats
+        assert tokens[inside].sum() <= 100 and inside.sum() <= seats
         assert loss[inside].sum() <= 90 or inside.sum() == 1
+        assert fills[b] == pytest.approx(max(tokens[inside].sum() / 100, inside.sum() / seats, loss[inside].sum() / 90))
+
+
+@pytest.mark.parametrize("tokens,loss,limits,boxes", [(25, 1, (100, 50, 95), 8), (1, 0, (100, 4, 95), 8), (20, 19, (100, 50, 40), 16)])
+def test_each_limit_decides(tokens, loss, limits, boxes):
+    box, _ = packing.pack(np.full(32, tokens), np.full(32, loss), limits)
+    assert len(set(box.tolist())) == boxes
+
+
+def test_items_that_fill_nothing_stay_in_bounded_tasks(spark):
+    counts = spark.range(1000).selectExpr("id as doc_id", "300L as tokens", "200L as loss")
+    boxes = packing.pack_items(counts, frame(spark, "capacity int", (500,)), shard=100).collect()
+    assert len({r.container for r in boxes}) == 1000 == len(boxes)
+    assert {r.container.split("-")[0] for r in boxes} == {"0"} and len({r.container.split("-")[1] for r in boxes}) == 10
 
 
 def test_packing_in_spark(spark):
@@ -347,9 +361,11 @@ def test_packing_in_spark(spark):
         boxes = packing.packed(df, targets, shard=shard).toPandas()
         for capacity, rows in boxes.groupby("capacity"):
             per = rows.groupby("container").agg(t=("tokens", "sum"), n=("doc_id", "size"), x=("loss", "sum"))
-            assert per.t.max() <= capacity and per.n.max() <= capacity * packing.SEGMENTS and per.x.max() <= capacity
+            assert per.t.max() <= capacity and per.n.max() <= capacity * packing.SEGMENTS and per.x[per.n > 1].max() <= capacity * packing.LOSS
             assert rows.tokens.sum() == sum(t for _, t in counted)
             assert rows.tokens.sum() / (len(per) * capacity) > 0.9
             assert (rows[rows.doc_id == 900].part.nunique()) == -(-dict(counted)[900] // capacity)
         assert set(boxes.capacity) == {512, 2048}
+        checked = {(r.capacity, r.documents, r.over) for r in packing.conserved(packing.packed(df, targets, shard=shard)).collect()}
+        assert checked == {(c, len({d for d, _ in counted}), 0) for c in (512, 2048)}
     assert packing.packed(df.limit(0), targets).count() == 0
