@@ -27,17 +27,30 @@ _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 _FACTORS = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)) | np.uint64(1)
 
 
-def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Block keys (a row of ``BLOCKS`` per text) and sketches (two 64-bit words per text); keys are all 0 where there is no triple."""
+def _minwise(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts have a triple, and the ``HASHES`` minwise values of each of those, a row per hash."""
     codes, offsets = triples(texts)
     full = np.flatnonzero(np.diff(offsets))
+    least = np.empty((HASHES, len(full)), np.uint64)
+    for k in range(HASHES if len(full) else 0):
+        least[k] = np.minimum.reduceat((codes ^ _SEEDS[k]) * _FACTORS[k], offsets[full])
+    return full, mix(least)
+
+
+def symbols(texts: list[str | None]) -> list[bytes]:
+    """A byte of each minwise value: texts of similarity J differ in (1 - J) of the ``HASHES`` places; without triples all bytes are 0."""
+    full, least = _minwise(texts)
+    codes = np.zeros((len(texts), HASHES), np.uint8)
+    codes[full] = (least & np.uint64(255)).astype(np.uint8).T
+    return [row.tobytes() for row in codes]
+
+
+def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Block keys (a row of ``BLOCKS`` per text) and sketches (two 64-bit words per text); keys are all 0 where there is no triple."""
+    full, least = _minwise(texts)
     keys = np.zeros((len(texts), BLOCKS), np.uint64)
     sketch = np.zeros((len(texts), 2), np.uint64)
     if len(full):
-        least = np.empty((HASHES, len(full)), np.uint64)
-        for k in range(HASHES):
-            least[k] = np.minimum.reduceat((codes ^ _SEEDS[k]) * _FACTORS[k], offsets[full])
-        least = mix(least)
         for b in range(BLOCKS):
             key = np.full(len(full), b + 1, np.uint64)
             for row in least[b * ROWS : (b + 1) * ROWS]:
@@ -77,6 +90,35 @@ def classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select("id", "rep").distinct(), codes
 
 
+#: rows of a block that one task may get; blocks of more are spread
+SPREAD = 100_000
+
+
+def hot_blocks(codes: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """(key, parts): the blocks of codes (rep, f1, f2, keys) with more than ``spread`` members, and over how many tasks to spread each.
+
+    A block of that many has, by counting, its share of them in some task; so tasks name only the keys they see that often, and the
+    few named are counted exactly.
+    """
+    tasks = max(1, codes.rdd.getNumPartitions())
+    spread = max(spread, tasks)
+    often = -(-spread // tasks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            keys = np.concatenate([seen, batch.column(0).flatten().to_numpy()])
+            seen, at = np.unique(keys, return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, np.ones(len(keys) - len(counts), np.int64)]), len(seen)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(seen[counts >= often])], ["key"])
+
+    named = codes.select("keys").mapInArrow(run, "key bigint").distinct()
+    if not (named := cut(named)).take(1):
+        return named.withColumn("parts", F.lit(1))
+    counted = codes.select(F.explode("keys").alias("key")).join(named, "key").groupBy("key").count()
+    return cut(counted.where(F.col("count") > spread).select("key", F.ceil(F.col("count") / spread).cast("int").alias("parts")))
+
+
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []

@@ -1,13 +1,14 @@
 """Problem 6: near-duplicate records with small edits.
 
-Method: BK-trees over the bit sketches. Texts that share a code block meet in that block's shard; the shard's tree
+Method: BK-trees over codes of the texts. Texts that share a code block meet in that block's shard; the shard's tree
 holds children keyed by their integer Hamming distance to the parent, and every member follows only the edges within the
 radius. What a tree finds is verified on the whole texts and joined by distributed union-find.
 
-A crowded block is taken in two rounds. First every member is linked to the first tree node in its radius,
-against a tree of at most ``TREE`` nodes; once those links are verified and joined, the block is split into trees of at most ``TREE`` nodes,
-each of which all members visit, and only members of different groups are compared. So a block that holds a third of
-all rows is neither held in one task nor expanded into its pairs, and no link between different texts is lost.
+A crowded block is taken in two rounds. First every member is linked to the first tree node in its radius, against a tree of at most ``TREE`` nodes;
+a block of more than ``SPREAD`` members is spread over several tasks. Those links are verified and joined. A block whose members are then one group is done. In one with
+several groups all members but those of its largest group visit trees over the whole block, ``TREE`` nodes each, now by codes of one byte per hash, whose distances
+let a tree leave out whole families of texts, and are compared with members of other groups: first with the nearest of each group, and where
+that joins nothing, with all in the radius. So a family of copies and edits, were it a third of all rows, moves once per round, and no link between groups is lost.
 
 Defined results
 * Null texts are alike to nothing; equal texts, the empty text too, are alike. Texts of fewer than three words are alike only if equal.
@@ -16,52 +17,78 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.fingerprints import ALIKE, RADIUS, classes, verified
+from lodestack.llm.fingerprints import ALIKE, HASHES, RADIUS, classes, hot_blocks, symbols, verified
 from lodestack.operators.components import components
 from lodestack.session import cut
 
 CROWD = 64
 TREE = 4096
+#: places of ``HASHES`` in which texts at the threshold differ, 51 on average, and 4.5 deviations above
+SYMBOL_RADIUS = 76
+#: nearest nodes of each group that a visitor is compared with at first
+NEAREST = 4
+#: pairs that a task holds before it hands them on
+PAIRS = 100_000
+
+
+def bits_apart(a: int, b: int) -> int:
+    return (a ^ b).bit_count()
+
+
+def symbols_apart(a: int, b: int) -> int:
+    """How many of the ``HASHES`` bytes of two codes differ."""
+    return HASHES - (a ^ b).to_bytes(HASHES, "little").count(0)
 
 
 class BKTree:
-    """Codes as integers; a node's children are keyed by their Hamming distance to it."""
+    """Codes as integers; a node's children are keyed by their distance to it, equal codes share a node."""
 
-    def __init__(self) -> None:
+    def __init__(self, apart: Callable[[int, int], int] = bits_apart) -> None:
+        self.apart = apart
         self.codes: list[int] = []
+        self.numbers: list[list[int]] = []
         self.children: list[dict[int, int]] = []
+        self.size = self.visited = 0
 
     def __len__(self) -> int:
-        return len(self.codes)
+        return self.size
 
     def add(self, code: int) -> None:
-        """Add a code as node number len(self); an equal code hangs at distance 0."""
-        new, at = len(self.codes), 0
-        self.codes.append(code)
-        self.children.append({})
-        while at != new:
-            distance = (self.codes[at] ^ code).bit_count()
-            at = self.children[at].setdefault(distance, new)
+        """Add a code as number len(self)."""
+        at, distance = 0, -1
+        while at < len(self.codes) and (distance := self.apart(self.codes[at], code)):
+            at = self.children[at].setdefault(distance, len(self.codes))
+        if at == len(self.codes):
+            self.codes.append(code)
+            self.numbers.append([])
+            self.children.append({})
+        self.numbers[at].append(self.size)
+        self.size += 1
 
-    def within(self, code: int, radius: int) -> Iterator[int]:
-        """Numbers of all nodes within the radius of ``code``."""
+    def near(self, code: int, radius: int) -> Iterator[tuple[int, int]]:
+        """(distance, number) of all codes within the radius of ``code``."""
         stack = [0] if self.codes else []
         while stack:
             at = stack.pop()
-            distance = (self.codes[at] ^ code).bit_count()
+            self.visited += 1
+            distance = self.apart(self.codes[at], code)
             if distance <= radius:
-                yield at
+                for number in self.numbers[at]:
+                    yield distance, number
             for edge, child in self.children[at].items():
                 if distance - radius <= edge <= distance + radius:
                     stack.append(child)
 
+    def within(self, code: int, radius: int) -> Iterator[int]:
+        return (number for _, number in self.near(code, radius))
+
 
 def _codes(batch: pa.RecordBatch) -> list[int]:
     high, low = (batch.column(batch.schema.get_field_index(n)).to_numpy().view(np.uint64).tolist() for n in ("f1", "f2"))
@@ -76,20 +103,21 @@ def _pairs(a: list[int], b: list[int], crowded: list[int]) -> pa.RecordBatch:
 
 
 def _first_round(radius: int):
-    """Rows (key, rep, f1, f2) ordered by key -> candidate pairs; (key, null) for a crowded key."""
+    """Rows (key, rep, f1, f2, part) ordered by key and part -> candidate pairs; (key, null) for a crowded key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, ids, at, size = BKTree(), [], None, 0
         for batch in batches:
-            keys, reps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            same_before = np.concatenate([[len(keys) > 0 and at == keys[0]], keys[1:] == keys[:-1]])
-            same_after = np.append(keys[1:] == keys[:-1], True)  # the last key may go on in the next batch
+            keys, reps, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            same = (keys[1:] == keys[:-1]) & (parts[1:] == parts[:-1])
+            same_before = np.concatenate([[len(keys) > 0 and at == (keys[0], parts[0])], same])
+            same_after = np.append(same, True)  # the last block may go on in the next batch
             a, b, crowded = [], [], []
             busy = np.flatnonzero(same_before | same_after)
             part = batch.take(pa.array(busy))
-            for key, rep, code in zip(keys[busy].tolist(), reps[busy].tolist(), _codes(part)):
-                if key != at:
-                    tree, ids, at, size = BKTree(), [], key, 0
+            for key, rep, code, own in zip(keys[busy].tolist(), reps[busy].tolist(), _codes(part), parts[busy].tolist()):
+                if (key, own) != at:
+                    tree, ids, at, size = BKTree(), [], (key, own), 0
                 size += 1
                 if size == CROWD + 1:
                     crowded.append(key)
@@ -102,57 +130,127 @@ def _first_round(radius: int):
                 if len(tree) < TREE:
                     tree.add(code)
                     ids.append(rep)
+                if len(a) > PAIRS:
+                    yield _pairs(a, b, [])
+                    a, b = [], []
             yield _pairs(a, b, crowded)
 
     return run
 
 
-def _second_round(radius: int):
-    """Rows (key, part, inside, rep, label, f1, f2) ordered by key, part, inside first -> pairs of different labels."""
+def _second_round(radius: int, nearest: int | None):
+    """Rows (key, part, node, visits, rep, label, code) ordered by key, part, nodes first -> pairs of different labels.
+
+    ``nearest`` is how many nodes of each label a visitor is paired with, all in the radius if None.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, ids, labels, at = BKTree(), [], [], None
+        tree, ids, labels, at = BKTree(symbols_apart), [], [], None
         for batch in batches:
-            keys, parts, inside, reps, label = (batch.column(k).to_pylist() for k in range(5))
+            keys, parts, node, visits, reps, label, codes = (batch.column(k).to_pylist() for k in range(7))
             a, b = [], []
-            for key, part, own, rep, lab, code in zip(keys, parts, inside, reps, label, _codes(batch)):
+            for key, part, holds, goes, rep, lab, raw in zip(keys, parts, node, visits, reps, label, codes):
                 if (key, part) != at:
-                    tree, ids, labels, at = BKTree(), [], [], (key, part)
-                for node in tree.within(code, radius):
-                    if labels[node] != lab:
-                        a.append(ids[node])
-                        b.append(rep)
-                if own:
+                    tree, ids, labels, at = BKTree(symbols_apart), [], [], (key, part)
+                code = int.from_bytes(raw, "little")
+                if goes:
+                    taken: dict[int, int] = {}
+                    hits = tree.near(code, radius)
+                    for _, number in hits if nearest is None else sorted(hits):
+                        other = labels[number]
+                        if other != lab and (nearest is None or taken.setdefault(other, 0) < nearest):
+                            if nearest is not None:
+                                taken[other] += 1
+                            a.append(ids[number])
+                            b.append(rep)
+                if holds:
                     tree.add(code)
                     ids.append(rep)
                     labels.append(lab)
+                if len(a) > PAIRS:
+                    yield _pairs(a, b, [])
+                    a, b = [], []
             yield _pairs(a, b, [])
 
     return run
 
 
-def alike_groups(samples: DataFrame, least: float = ALIKE, radius: int = RADIUS) -> DataFrame:
-    """(id, group_id) of every row of (id, text) alike to another, with the least id of its group."""
+def _symbol_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(symbols(part.column(1).to_pylist()), pa.binary())], ["rep", "code"])
+
+
+def _torn(blocks: DataFrame, crowded: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, rep, label) of crowded blocks, and (key, main, members) of those with several labels."""
+    label = components(links).select(F.col("node").alias("rep"), "root")
+    busy = cut(blocks.select("key", "rep").join(crowded, "key").join(label, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("label")))
+    by = busy.groupBy("key", "label").count()
+    torn = by.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("members"), F.count("*").alias("labels"))
+    return busy, cut(torn.where("labels > 1").drop("labels"))
+
+
+def _across(blocks: DataFrame, crowded: DataFrame, links: DataFrame, samples: DataFrame, nearest: int | None) -> DataFrame | None:
+    """Candidate pairs (a, b) of different groups of the links in crowded blocks; None if there is no such block."""
+    busy, torn = _torn(blocks, crowded, links)
+    if not torn.take(1):
+        return None
+    rows = busy.join(torn, "key")
+    ids = rows.select(F.col("rep").alias("id")).distinct()
+    texts = samples.select(F.col("id").cast("bigint").alias("id"), "text").where("text is not null").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    rows = cut(rows.join(texts.mapInArrow(_symbol_rows, "rep bigint, code binary"), "rep"))
+    parts = F.ceil(F.col("members") / TREE).cast("int")
+    home = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    # members of the largest group stand in one tree each; all others visit every tree of their block
+    main = F.col("label") == F.col("main")
+    spread = rows.withColumn("home", home).withColumn("part", F.explode(F.when(main, F.array("home")).otherwise(F.sequence(F.lit(0), parts - 1))))
+    spread = spread.select("key", "part", (F.col("home") == F.col("part")).alias("node"), (~main).alias("visits"), "rep", "label", "code")
+    # nodes of the largest group first; visitors are nodes too, which those behind them meet
+    ordered = spread.repartition("key", "part").sortWithinPartitions("key", "part", "visits", F.desc("node"), "rep")
+    return cut(ordered.mapInArrow(_second_round(SYMBOL_RADIUS, nearest), "a bigint, b bigint").where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def alike_groups(samples: DataFrame, least: float = ALIKE, radius: int = RADIUS, also: DataFrame | None = None) -> DataFrame:
+    """(id, group_id) of every row of (id, text) alike to another, with the least id of its group.
+
+    ``also`` holds further links (a, b) between ids, with or without text.
+    """
     members, codes = classes(samples)
-    members = cut(members)
-    blocks = cut(codes.select(F.explode("keys").alias("key"), "rep", "f1", "f2"))
-    raw = cut(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_first_round(radius), "a bigint, b bigint"))
+    members, codes = cut(members), cut(codes)
+    blocks = codes.select(F.explode("keys").alias("key"), "rep", "f1", "f2")
+    hot = hot_blocks(codes)
+    dealt = blocks.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(0)).cast("int")).drop("parts") if hot.take(1) else blocks.withColumn("part", F.lit(0))
+    raw = cut(dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_first_round(radius), "a bigint, b bigint"))
     order = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     links = cut(verified(raw.where("b is not null").select(*order).distinct(), samples, least))
 
-    crowded = raw.where("b is null").select(F.col("a").alias("key"))
-    if crowded.limit(1).count():
-        label = components(links)
-        busy = blocks.join(crowded, "key").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
-        busy = cut(busy)
-        parts = busy.groupBy("key").agg(F.ceil(F.count("*") / TREE).cast("int").alias("parts"))
-        spread = busy.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        inside = F.pmod(F.xxhash64("rep"), F.col("parts")) == F.col("part")
-        spread = spread.select("key", "part", inside.alias("inside"), "rep", "label", "f1", "f2")
-        again = spread.repartition("key", "part").sortWithinPartitions("key", "part", F.desc("inside")).mapInArrow(_second_round(radius), "a bigint, b bigint")
-        links = links.union(verified(cut(again.select(*order).distinct()), samples, least))
+    crowded = raw.where("b is null").select(F.col("a").alias("key")).union(hot.select("key")).distinct()
+    if crowded.take(1):
+        crowded, tried = cut(crowded), None
+        for nearest in (NEAREST, None):
+            pairs = _across(blocks, crowded, links, samples, nearest)
+            if pairs is None:
+                break
+            new = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+            links, tried = cut(links.union(verified(new, samples, least))), pairs
 
+    if also is not None:
+        # ends without text stand for themselves
+        rep = members.select(F.col("id"), "rep")
+        ends = also.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a is not null and b is not null")
+        named = ends.join(rep.withColumnRenamed("id", "a").withColumnRenamed("rep", "x"), "a", "left").join(rep.withColumnRenamed("id", "b").withColumnRenamed("rep", "y"), "b", "left")
+        links = links.union(cut(named.select(F.coalesce("x", "a"), F.coalesce("y", "b"))))
+        alone = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(rep.select("id"), "id", "left_anti")
+        members = members.union(alone.select("id", F.col("id").alias("rep")))
     joined = components(links).select(F.col("node").alias("rep"), "root")
     copies = members.groupBy("rep").count().where("count > 1").select("rep")
     grouped = members.join(joined, "rep", "left").join(copies.withColumn("copied", F.lit(True)), "rep", "left")
     return grouped.where("root is not null or copied").select("id", F.coalesce("root", "rep").alias("group_id"))
+
+
+def equal_bytes(rows: DataFrame) -> DataFrame:
+    """(a, b): links between samples (id, checksum) of equal bytes, each to the least id of them."""
+    known = rows.where("id is not null and checksum is not null").select(F.col("id").cast("bigint").alias("a"), "checksum").distinct()
+    least = known.groupBy("checksum").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return known.join(least, "checksum").where("a <> b").select("a", "b")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm import encodings, new_text, packing, personal_data
 from lodestack.llm.leaks import leaks
-from lodestack.llm.near_duplicates import alike_groups
+from lodestack.llm.near_duplicates import alike_groups, equal_bytes
 from lodestack.llm.shared_spans import shared_spans
 from lodestack.llm.split_groups import assign, related
 from lodestack.llm.split_overlap import found, overlaps, report
@@ -68,6 +68,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return alike_groups(samples).withColumnRenamed("id", "sample_id")
 
 
+def p6_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """(sample_id, group_id) of samples joined by alike texts or by equal bytes under several types."""
+    samples = table(spark, d, "exported_sample").withColumnRenamed("sample_id", "id").select("id", "text")
+    return alike_groups(samples, also=equal_bytes(table(spark, d, "sample_row"))).withColumnRenamed("id", "sample_id")
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_target"))
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p6_found": p6_found,
+    "p6_grouped": p6_grouped,
     "p7_packed": p7_packed,
     "p7_report": p7_report,
     "p7_conserved": p7_conserved,
@@ -143,6 +150,7 @@ SQL: dict[str, str] = {
   SELECT p.dataset_id, side, source, count(*) AS pairs, count(DISTINCT held_id) AS held, count(DISTINCT train_id) AS train FROM p LEFT JOIN s ON s.dataset_id = p.dataset_id AND s.sample_id = held_id GROUP BY ALL""",
     "p4_found": _grouped(_RELATED, "entry_id"),
     "p6_found": _grouped(f"{_ALIKE}, l AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike)", "sample_id"),
+    "p6_grouped": _grouped(f"{_ALIKE}, same AS (SELECT x.id AS a, y.id AS b FROM sample_row x JOIN sample_row y ON x.checksum = y.checksum AND x.id <> y.id), l AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike UNION SELECT a, b FROM same)", "sample_id"),
     "p7_conserved": """SELECT CAST(capacity AS BIGINT) AS capacity, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, CAST(0 AS BIGINT) AS over FROM (SELECT DISTINCT capacity FROM pack_target WHERE capacity > 0)""",
     "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
   dg AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)), ig AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))

@@ -9,7 +9,7 @@ from conftest import frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestack.llm import near_duplicates, split_groups, split_overlap
+from lodestack.llm import fingerprints, near_duplicates, split_groups, split_overlap
 from lodestack.llm.fingerprints import ALIKE
 from lodestack.llm.rolling import WORD
 
@@ -55,9 +55,10 @@ def groups_of(rows):
     return {(i, find(i)) for i in parent if count[find(i)] > 1}
 
 
-@pytest.mark.parametrize("crowd,tree", [(64, 4096), (2, 3)])
-def test_near_duplicate_groups(spark, monkeypatch, crowd, tree):
+@pytest.mark.parametrize("crowd,tree,spread", [(64, 4096, 100_000), (2, 3, 100_000), (2, 3, 5)])
+def test_near_duplicate_groups(spark, monkeypatch, crowd, tree, spread):
     monkeypatch.setattr(near_duplicates, "CROWD", crowd)
+    monkeypatch.setattr(near_duplicates, "hot_blocks", lambda codes: fingerprints.hot_blocks(codes, spread))
     monkeypatch.setattr(near_duplicates, "TREE", tree)
     rows = families(copies=9 if crowd == 2 else 4) + [(900, "a b"), (901, "a b"), (902, ""), (903, ""), (904, "a c")]
     want = groups_of(rows)
@@ -67,6 +68,54 @@ def test_near_duplicate_groups(spark, monkeypatch, crowd, tree):
     assert got <= want and near_duplicates.alike_groups(df.limit(0)).count() == 0
 
 
+def test_a_crowded_family_moves_once(spark, monkeypatch):
+    """One block holds a tenth of all rows: what its second round moves grows with its rows, not with their square."""
+    monkeypatch.setattr(near_duplicates, "CROWD", 8)
+    monkeypatch.setattr(near_duplicates, "TREE", 16)
+    moved, across = [], near_duplicates._across
+    monkeypatch.setattr(near_duplicates, "_across", lambda *a: moved.append(across(*a)) or moved[-1])
+    rng = random.Random(8)
+    template = [f"t{n}" for n in range(120)]
+    family = [(n, " ".join(w if rng.random() > 0.004 else f"e{rng.randrange(10**6)}" for w in template)) for n in range(60)]
+    rest = [(1000 + n, " ".join(f"u{n}x{k}" for k in range(30))) for n in range(540)]
+    df = frame(spark, "id bigint, text string", *family, *rest)
+    got = {tuple(r) for r in near_duplicates.alike_groups(df).collect()}
+    assert got == {(n, 0) for n, _ in family}
+    # the block is one group after the first round, so no round over its trees is needed
+    assert moved == [None]
+
+
+def test_symbol_trees_leave_families_out():
+    rng = random.Random(5)
+    words = lambda tag: [f"{tag}{n}" for n in range(150)]
+    edited = lambda base, share: " ".join(w if rng.random() > share else f"e{rng.randrange(10**6)}" for w in base)
+    family = [edited(words("t"), 0.01) for _ in range(400)]
+    half = [" ".join(words("t")[:40] + words(f"u{n}x")[:80]) for n in range(30)]
+    of = lambda texts: [int.from_bytes(c, "little") for c in fingerprints.symbols(texts)]
+    tree = near_duplicates.BKTree(near_duplicates.symbols_apart)
+    for code in of(family):
+        tree.add(code)
+    for code in of(half):
+        assert list(tree.within(code, near_duplicates.SYMBOL_RADIUS)) == []
+    assert tree.visited < 0.05 * 400 * len(half)
+    member = of([edited(words("t"), 0.01)])[0]
+    assert len(list(tree.within(member, near_duplicates.SYMBOL_RADIUS))) == 400
+
+
+def test_equal_bytes_join_groups(spark):
+    df = frame(spark, "id bigint, text string", (1, "a b c d"), (2, "p q r s"), (3, "p q r s"), (4, None), (5, "z"))
+    rows = frame(spark, "id bigint, checksum string, text string", (1, "x", ""), (2, "x", ""), (4, "y", ""), (9, "y", ""), (5, "z", ""), (None, "z", ""), (6, None, ""), (7, None, ""), (1, "x", ""))
+    got = {tuple(r) for r in near_duplicates.alike_groups(df, also=near_duplicates.equal_bytes(rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (9, 4)}
+    assert near_duplicates.equal_bytes(rows.limit(0)).count() == 0
+
+
+def test_hot_blocks(spark):
+    df = spark.range(500).selectExpr("id as rep", "0L as f1", "0L as f2", "array(id, id % 3, -7L) as keys").repartition(7)
+    assert {(r.key, r.parts) for r in fingerprints.hot_blocks(df, 160).collect()} == {(-7, 4), (0, 2), (1, 2), (2, 2)}
+    assert fingerprints.hot_blocks(df, 1000).count() == 0 and fingerprints.hot_blocks(df.limit(0), 10).count() == 0
+
+
 @given(st.lists(st.integers(0, 2**20 - 1), max_size=60), st.integers(0, 2**20 - 1), st.integers(0, 20))
 @settings(max_examples=80, deadline=None)
 def test_bk_tree(codes, query, radius):
@@ -76,7 +125,9 @@ def test_bk_tree(codes, query, radius):
     assert sorted(tree.within(query, radius)) == [k for k, c in enumerate(codes) if (c ^ query).bit_count() <= radius]
 
 
-def test_overlaps_across_splits(spark):
+@pytest.mark.parametrize("spread", [100_000, 3])
+def test_overlaps_across_splits(spark, monkeypatch, spread):
+    monkeypatch.setattr(split_overlap, "hot_blocks", lambda codes: fingerprints.hot_blocks(codes, spread))
     rows = families(7)
     rng = random.Random(1)
     versions = frame(spark, "id bigint, given_split string", (1, '{"key":"bench","holdout":["h"],"val":["v","7"]}'), (2, None), (3, '{"key":"none","holdout":["x"],"val":[]}'))
