@@ -5,8 +5,9 @@ shard; documents are streamed against it by backward search, and intervals of at
 reported. So that no document has to visit every shard, shards are cut by content: every run of ``least``
 words holds at least one anchor, the minimal hashed ``ANCHOR``-gram of its window, and the neighbourhoods
 of one anchor meet in one shard, wherever their documents lie. Anchors that occur in a single document are dropped before
-any text moves, equal texts and equal neighbourhoods are counted once, and a hot anchor's neighbourhoods
-are spread by their content.
+any text moves, and equal texts are counted once. An anchor with more neighbourhoods than one index should hold (a footer of many documents)
+gets none: each of the few runs of ``least`` words around it is counted by its hash, pre-aggregated, so such an anchor costs in
+proportion to its neighbourhoods and lies in no one task.
 
 Defined results
 * Null and empty texts share nothing. Words are what blank, tab, LF or CR separates, compared exactly.
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,20 +121,17 @@ class Index:
         return both[: len(lo)], both[len(lo) :]
 
 
-def shared_runs(
-    pieces: np.ndarray, offsets: np.ndarray, docs: np.ndarray, copied: np.ndarray, inside: np.ndarray, least: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared_runs(pieces: np.ndarray, offsets: np.ndarray, docs: np.ndarray, copied: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which stretches of the pieces (symbols above 0, piece p at offsets[p]:offsets[p+1]) another document also holds.
 
-    ``inside`` pieces make the index, all are streamed against it. Returned are (piece, first, end) of stretches each word of which lies in a
+    All pieces make the index, and all are streamed against it. Returned are (piece, first, end) of stretches each word of which lies in a
     run of ``least`` words that a piece of another document has, or that lies in a text with copies. A window is
     read from its right end; where it stops being shared, all windows over the stop are passed over.
     """
     sizes = np.diff(offsets)
-    keep = np.repeat(inside, sizes)
-    cut_at = np.cumsum(sizes[inside])
-    text = np.insert(pieces[keep], cut_at, 0)
-    owner = np.insert(np.repeat(np.flatnonzero(inside), sizes[inside]), cut_at, -1)
+    cut_at = np.cumsum(sizes)
+    text = np.insert(pieces, cut_at, 0)
+    owner = np.insert(np.repeat(np.arange(len(sizes)), sizes), cut_at, -1)
     index = Index(text, least)
     row = owner[index.order]
     doc = np.where(row >= 0, docs[row], -1)
@@ -234,54 +231,65 @@ def _pieces(least: int, gram: int):
     return run
 
 
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all pieces of a column, and the offsets of the pieces."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = column.buffers()[2]
+    words = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(np.uint32) if data is not None else np.zeros(0, np.uint32)
+    return words.astype(np.int64), (ends - ends[0]) // 4
+
+
 def _search(least: int, most: int):
-    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
-        docs, first = table["doc_id"].to_numpy(), table["first"].to_numpy()
-        copied, inside = (table[c].to_numpy() for c in ("copied", "inside"))
+        docs, first, copied = (table[c].to_numpy() for c in ("doc_id", "first", "copied"))
         words = table["words"].combine_chunks()
-        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-        ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
-        pieces = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint32).astype(np.int64)
-        if not inside.any():
-            return None
-        piece, a, b = shared_runs(pieces, (ends - ends[0]).astype(np.int64) // 4, docs, copied, inside, least)
+        pieces, offsets = _words_of(words.chunk(0) if isinstance(words, pa.ChunkedArray) else words)
+        piece, a, b = shared_runs(pieces, offsets, docs, copied, least)
         return pa.RecordBatch.from_arrays([pa.array(docs[piece]), pa.array((first[piece] + a).astype(np.int32)), pa.array((first[piece] + b).astype(np.int32))], ["doc_id", "first", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come ordered by (part, anchor); an index takes whole anchors until it is full
+        # rows (anchor, doc_id, copied, first, words) come ordered by anchor; an index takes whole anchors until it is full
         held: list[pa.RecordBatch] = []
         words = 0
         for batch in batches:
-            part, anchor = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.flatnonzero((part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1])) + 1
-            if held:
-                p, a = held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()
-                if (p, a) != (part[0], anchor[0]):
-                    new = np.concatenate([[0], new])
+            anchor = batch.column(0).to_numpy()
+            new = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            if held and held[-1].column(0)[-1].as_py() != anchor[0]:
+                new = np.concatenate([[0], new])
             done = 0
-            size = np.diff(np.frombuffer(batch.column(6).buffers()[1], np.int32, batch.num_rows + 1, batch.column(6).offset * 4)) // 4 + 1
-            total = np.concatenate([[0], np.cumsum(size)])
+            total = np.concatenate([[0], np.cumsum(np.diff(_words_of(batch.column(4))[1]) + 1)])
             for at in new:
                 if words + total[at] - total[done] >= most:
                     if at > done:
                         held.append(batch.slice(done, at - done))
-                    if held and (out := solve(held)) is not None:
-                        yield out
+                    if held:
+                        yield solve(held)
                     held, words, done = [], 0, at
             if done < batch.num_rows:
                 held.append(batch.slice(done))
                 words += int(total[-1] - total[done])
-            # a spread anchor: its index rows came first, its visitors are answered in portions
-            if words >= 3 * most and not batch.column(5)[-1].as_py():
-                if (out := solve(held)) is not None:
-                    yield out
-                table = pa.Table.from_batches(held)
-                keep = pc.and_(pc.and_(pc.equal(table["part"], int(part[-1])), pc.equal(table["anchor"], int(anchor[-1]))), table["inside"])
-                held = table.filter(keep).combine_chunks().to_batches()
-                words = sum(int(h.column(6).nbytes) // 4 for h in held)
-        if held and (out := solve(held)) is not None:
-            yield out
+        if held:
+            yield solve(held)
+
+    return run
+
+
+def _windows(least: int):
+    """Every run of ``least`` words of a piece of (doc_id, copied, first, words): (run, doc_id, copied, first)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, copied, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            words, offsets = _words_of(batch.column(3))
+            counts = np.maximum(0, np.diff(offsets) - least + 1)
+            piece = np.repeat(np.arange(batch.num_rows), counts)
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = offsets[piece] + at
+            runs = Spans(words).hash(start, start + least)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(runs.view(np.int64)), pa.array(docs[piece]), pa.array(copied[piece]), pa.array((first[piece] + at).astype(np.int32))], ["run", "doc_id", "copied", "first"]
+            )
 
     return run
 
@@ -311,8 +319,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_spans(documents: DataFrame, least: int = LEAST, gram: int = ANCHOR, hot: int = 20_000) -> DataFrame:
     """(doc_id, first_word, last_word): the stretches of each document whose words lie in runs of ``least`` words that another document also holds.
 
-    ``gram`` (at most ``least``) sets how many anchors there are, not what is found. An anchor with more than
-    ``hot`` neighbourhoods is spread over several indexes, each of which all its neighbourhoods visit.
+    ``gram`` (at most ``least``) sets how many anchors there are, not what is found. Around an anchor with more than
+    ``hot`` neighbourhoods runs are counted by their hashes instead of searched in an index.
     """
     if not 1 <= gram <= least:
         raise ValueError("1 <= gram <= least")
@@ -329,12 +337,16 @@ def shared_spans(documents: DataFrame, least: int = LEAST, gram: int = ANCHOR, h
     hits = hits.select("doc_id", "copied", F.col("h.pos").alias("pos"), F.col("h.anchor").alias("anchor"))
     pieces = docs.join(hits, "doc_id").mapInArrow(_pieces(least, gram), "anchor bigint, doc_id bigint, copied boolean, first int, words binary")
     pieces = cut(pieces)
-    parts = pieces.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
-    spread = pieces.join(parts, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own = F.pmod(F.xxhash64("doc_id", "first"), F.col("parts")) == F.col("part")
-    spread = spread.select("part", "anchor", "doc_id", "first", "copied", own.alias("inside"), "words")
-    runs = spread.repartition("anchor", "part").sortWithinPartitions("part", "anchor", F.desc("inside")).mapInArrow(_search(least, SHARD_WORDS), "doc_id bigint, first int, end int")
+    crowded = cut(pieces.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
+    usual, extra = pieces, None
+    if crowded.take(1):
+        usual = pieces.join(crowded, "anchor", "left_anti").select(*pieces.columns)
+        spread = cut(pieces.join(crowded, "anchor", "left_semi").select("doc_id", "copied", "first", "words").mapInArrow(_windows(least), "run bigint, doc_id bigint, copied boolean, first int"))
+        held = spread.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("copied").alias("copied")).where("a < b or copied").select("run")
+        extra = spread.join(held, "run").select("doc_id", "first", (F.col("first") + least).cast("int").alias("end"))
+    runs = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search(least, SHARD_WORDS), "doc_id bigint, first int, end int")
+    if extra is not None:
+        runs = runs.union(extra)
     per_doc = runs.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     merged = per_doc.mapInArrow(_merged, "rep bigint, first_word bigint, last_word bigint")
     return members.join(merged, "rep").select("doc_id", "first_word", "last_word")

@@ -60,6 +60,21 @@ def test_shared_spans(spark, monkeypatch, gram, hot, words):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
 
 
+def test_a_footer_of_many_documents_costs_in_proportion(spark, monkeypatch):
+    moved, real = [], shared_spans.cut
+    rng = random.Random(4)
+    footer = " ".join(f"f{n}" for n in range(40))
+    for n in (60, 120):
+        rows = [(d, " ".join(f"x{rng.randrange(10**9)}" for _ in range(30)) + (f" {footer}" if d % 2 else "")) for d in range(n)]
+        spans = frame(spark, "doc_id bigint, text string", *rows)
+        counted = []
+        monkeypatch.setattr(shared_spans, "cut", lambda df: counted.append(df) or real(df))
+        got = {tuple(r) for r in shared_spans.shared_spans(spans, hot=10).collect()}
+        assert got == {(d, 31, 70) for d in range(1, n, 2)}
+        moved.append(sum(df.count() for df in counted if "run" in df.columns))
+    assert 0 < moved[1] <= 2.2 * moved[0]
+
+
 def test_index_counts_occurrences():
     rng = np.random.default_rng(2)
     text = np.append(rng.integers(1, 5, 300), 0)
