@@ -211,16 +211,16 @@ Unmarked history."""
 
 def test_forms_of_old_text():
     lines = MAIL.split("\n")
-    old = new_text.old_lines(MAIL, [], None)
+    old = new_text.old_lines(MAIL, None, None)
     new = [x for k, x in enumerate(lines, 1) if x.strip() and k not in old]
     assert new == ["Hello Ann,", "New words stay: all of them.", "From: here on, this is new."]
-    assert new_text.old_lines("", [], None) == [] and new_text.old_lines(None, [], None) == []
+    assert new_text.old_lines("", None, None) == [] and new_text.old_lines(None, None, None) == []
 
 
 def test_thread_sentences_extend_marked_stretches():
     text = "New start of mine.\n\nX wrote:\n> The first quoted sentence stands here.\nThe second sentence lost its mark in transit.\n\nMore of my own words follow now."
-    alone = new_text.old_lines(text, [], None)
-    helped = new_text.old_lines(text, ["the second sentence lost its mark in transit", "more of my own words follow now"], None)
+    alone = new_text.old_lines(text, None, None)
+    helped = new_text.old_lines(text, new_text._automaton(["the second sentence lost its mark in transit", "more of my own words follow now"]), None)
     assert alone == [3, 4] and helped == [3, 4, 5]
 
 
