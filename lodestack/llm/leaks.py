@@ -6,7 +6,8 @@ of it with at most ``edits`` character edits shares at least ``n + 1 - q (edits
 overlapping diagonal bands, bands that meet the bound are kept, and banded alignment decides.
 
 The item set is a stated query set: it is taken in blocks of at most ``BLOCK`` characters, each of which is one pass
-over the documents, so what is sent to the executors at once is bounded whatever the size of the set.
+over the documents, so what the driver holds and sends to the executors at once is bounded whatever the size of the set. With ``exact`` the
+pairs found within the edits are kept only if they hold ``words`` consecutive words without any.
 
 Defined results
 * Null and empty documents or items hold nothing; an item of fewer than ``words`` words is never found.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.rolling import Spans, normalised
+from lodestack.session import cut
 
 WORDS = 12
 BLOCK = 4_000_000
@@ -41,6 +43,7 @@ class Passages:
         self.ids = np.array([i for i, _ in kept], np.int64)
         self.texts = [_points(f" {n} ") for _, n in kept]
         self.words, self.edits = words, edits
+        self.runs: dict[int, set[tuple[str, ...]]] = {}
         blanks = [np.flatnonzero(t == 32) for t in self.texts]
         #: characters of the shortest stretch with the blanks around it
         self.least = min((int((b[words:] - b[:-words]).min()) + 1 for b in blanks), default=0)
@@ -104,6 +107,14 @@ class Passages:
                 found[t, i] = True
         return (np.array([t for t, _ in found], np.int64), np.array([i for _, i in found], np.int64)) if found else (none, none)
 
+    def exact(self, text: str | None, item: int) -> bool:
+        """Whether the text holds ``words`` consecutive words of the item as they are."""
+        if item not in self.runs:
+            words = self.texts[item].tobytes().decode("utf-32-le", "surrogatepass").split()
+            self.runs[item] = {tuple(words[k : k + self.words]) for k in range(len(words) - self.words + 1)}
+        words = normalised(text).split(" ")
+        return not self.runs[item].isdisjoint(zip(*(words[k:] for k in range(self.words))))
+
     def _aligned(self, points: np.ndarray, start: int, end: int, item: int, diagonal: int, width: int, places: np.ndarray) -> bool:
         """Whether a stretch of the item aligns with the text along diagonals ``diagonal`` .. + ``width``, within the edits.
 
@@ -138,23 +149,28 @@ class Passages:
         return False
 
 
-def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: int = 0) -> DataFrame:
+def _blocks(queries: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists of at most ``BLOCK`` characters, or of one item; one list is held at a time."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for row in queries.toLocalIterator():
+        if size + len(row.text) > BLOCK and block:
+            yield block
+            block, size = [], 0
+        block.append((row.item_id, row.text))
+        size += len(row.text)
+    yield block
+
+
+def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: int = 0, exact: bool = False) -> DataFrame:
     """(doc_id, item_id) of all documents that hold ``words`` consecutive words of an item with at most ``edits`` character edits.
 
-    Words are runs of letters and digits in any case, whatever stands between them.
+    Words are runs of letters and digits in any case, whatever stands between them. With ``exact`` a pair so found must hold the words without edits too.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     queries = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in queries.toLocalIterator():
-        if size + len(row.text) > BLOCK and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id, row.text))
-        size += len(row.text)
 
-    def scan(block: list[tuple[int, str]]):
+    def scan(block: list[tuple[int, str]]) -> DataFrame:
         held = documents.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +178,18 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: int
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
                     part = batch.slice(at, 2000)
-                    text, item = passages.search(part.column(1).to_pylist())
+                    texts = part.column(1).to_pylist()
+                    text, item = passages.search(texts)
+                    if exact and edits:
+                        keep = np.array([passages.exact(texts[t], i) for t, i in zip(text.tolist(), item.tolist())], bool)
+                        text, item = text[keep], item[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[text]), pa.array(passages.ids[item])], ["doc_id", "item_id"])
 
         return docs.mapInArrow(run, "doc_id bigint, item_id bigint")
 
-    found = scan(blocks[0])
-    for block in blocks[1:]:
-        found = found.union(scan(block))
+    found = None
+    for block in _blocks(queries):
+        if found is not None:  # of several blocks each is answered before the next is read
+            found = cut(found)
+        found = scan(block) if found is None else found.union(scan(block))
     return found.distinct()

@@ -87,7 +87,13 @@ def p7_conserved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    # searched within one edit; what counts as found has none
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), edits=1, exact=True)
+
+
+def p8_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a stretch of an item with at most two edited characters."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), edits=2)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_report": p7_report,
     "p7_conserved": p7_conserved,
     "p8_found": p8_found,
+    "p8_edited": p8_edited,
     "p9_found": p9_found,
 }
 

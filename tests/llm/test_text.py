@@ -104,7 +104,7 @@ def items_and_docs():
     return items, docs + [(50, ""), (51, None), (1, docs[1][1])]
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, monkeypatch):
     items, docs = items_and_docs()
     W = new_text.WORD
     want = set()
@@ -118,6 +118,11 @@ def test_leaks_against_brute_force(spark):
     left = frame(spark, "doc_id bigint, text string, item_id int", *[(d, t, 7) for d, t in docs])
     right = frame(spark, "item_id bigint, text string", *items)
     assert want and {tuple(r) for r in leaks.leaks(left, right).collect()} == want
+    assert {tuple(r) for r in leaks.leaks(left, right, edits=1, exact=True).collect()} == want
+    assert {tuple(r) for r in leaks.leaks(left, right, edits=2).collect()} >= want
+    monkeypatch.setattr(leaks, "BLOCK", 300)
+    assert len(list(leaks._blocks(right.where("text is not null")))) > 3
+    assert {tuple(r) for r in leaks.leaks(left, right, edits=1, exact=True).collect()} == want
     assert leaks.leaks(left, right.limit(0)).count() == 0 and leaks.leaks(left.limit(0), right).count() == 0
 
 
