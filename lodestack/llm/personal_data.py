@@ -17,11 +17,12 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,11 @@ _DOT = r"(?:\.|[ ]?[\[({]\s?dot\s?[\])}][ ]?|[ ]dot[ ])"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 # an address is looked for at its sign: the local part backwards, the domain onwards
 _SIGN = re.compile(_AT, re.I)
+_SPELLED_SIGN = re.compile(r"[ ]?[\[({]\s?at\s?[\])}][ ]?|[ ]at[ ]", re.I)
+_AROUND_SIGN = re.compile(r"\s?@\s?")
+# where numbers, and so the items that begin with one or hold one, may begin
+_RUN = re.compile(r"\d+")
+_BEGIN = re.compile(r"[+(]|\d+")
 _DOMAIN = re.compile(rf"(?:{_LABEL}{_DOT})+(?:[^\W\d_]{{2,}})(?![\w@])", re.I)
 PHONE = re.compile(
     r"(?<![\w+/.,-])(?<!\d )(?:"
@@ -64,6 +70,7 @@ _DE_STREET = r"(?:straße|strasse|str|gasse|allee|weg|platz|damm|ufer|ring|steig
 _FR_STREET = r"(?:rue|chemin|avenue|place|boulevard|impasse|allée|quai|route|cours|square|passage|sentier|ruelle)"
 _ES_STREET = r"(?:calle|avenida|plaza|camino|paseo|ronda|carrera|callejón|travesía|c/|avda\.?|pza\.?)"
 _FR_LINK = r"(?:(?:de la|de l[’']|des|du|de|d[’']|le|la|les|aux|au)\s?)*"
+_ES_STREETS = ("calle", "avenida", "plaza", "camino", "paseo", "ronda", "carrera", "callejón", "travesía", "c/", "avda", "pza")
 _ES_LINK = r"(?:(?:de las|de los|de la|del|de|la|los|las)\s)*"
 _ADDRESSES = (
     re.compile(
@@ -77,9 +84,20 @@ _ADDRESSES = (
 _STEM = re.compile(rf"(?<![\w.-])[^\W\d_]*(?i:{_DE_STREET})\.?$")
 
 
+def _matches(pattern: re.Pattern, text: str, places: Iterable[int]) -> Iterator[re.Match]:
+    """What ``finditer`` gives for a pattern that can only match at the given places, in ascending order."""
+    done = 0
+    for at in places:
+        if at >= done and (m := pattern.match(text, at)):
+            yield m
+            done = m.end()
+
+
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
-    for pattern in _ADDRESSES[:2]:
-        for m in pattern.finditer(text):
+    yield from ((m.start(), m.end()) for m in _matches(_ADDRESSES[0], text, (m.start() for m in _RUN.finditer(text))))
+    low = text.lower()
+    if any(street in low for street in _ES_STREETS):
+        for m in _ADDRESSES[1].finditer(text):
             yield m.span()
     for m in _ADDRESSES[2].finditer(text):
         if text[m.start() - 1 : m.start()].isalpha() or text[m.start() - 1 : m.start()] == ".":
@@ -108,6 +126,8 @@ SENT_NAMES = 200_000
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
@@ -127,7 +147,10 @@ def _name_words(text: str, names: Names) -> list[re.Match]:
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length
         return [m for m in _WORD.finditer(text) if (w := m.group().lower()) in names.given or w in names.family]
-    present = {w for w in _WORD.findall(low) if w in names.given or w in names.family}
+    # no word spans white space, and most of what it separates is one
+    tokens = set(low.split())
+    tokens.update(*(_WORD.findall(t) for t in tokens if not t.isalpha()))
+    present = (tokens & names.given) | (tokens & names.family)
     found = []
     for name in present:
         at = low.find(name)
@@ -169,11 +192,14 @@ def learn_names(texts: DataFrame, names: DataFrame) -> tuple[Names, DataFrame]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs, total = Counter(), Counter()
+            pairs, tokens, total = Counter(), Counter(), Counter()
             for text in batch.column(0).to_pylist():
                 if text:
                     pairs.update(beside_names(text, listed))
-                    total.update(_WORD.findall(text.lower()))
+                    tokens.update(text.lower().split())
+            for token, n in tokens.items():
+                for word in [token] if token.isalpha() else _WORD.findall(token):
+                    total[word] += n
             keys = [(w, k) for w, k in pairs] + [(w, "") for w in total]
             counts = list(pairs.values()) + list(total.values())
             yield pa.RecordBatch.from_arrays(
@@ -188,7 +214,10 @@ def learn_names(texts: DataFrame, names: DataFrame) -> tuple[Names, DataFrame]:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    for m in _SIGN.finditer(text):
+    signs = list(_AROUND_SIGN.finditer(text)) if "@" in text else []
+    if " at " in (low := text.lower()) or "at" in low and any(c in text for c in "[({"):
+        signs = sorted([*signs, *_SPELLED_SIGN.finditer(text)], key=re.Match.start)
+    for m in signs:
         domain = _DOMAIN.match(text, m.end())
         if domain is None:
             continue
@@ -215,10 +244,11 @@ def detect(text: str | None, names: Names) -> list[tuple[int, int, str]]:
 
     for start, end in _emails(text):
         take(start, end, "email")
-    for m in PHONE.finditer(text):
+    for m in _matches(PHONE, text, (m.start() for m in _BEGIN.finditer(text))):
         if not _NOT_PHONE.search(_before(text, m.start())):
             take(m.start(), m.end(), "phone")
-    for m in IDENTITY.finditer(text):
+    # a number may have up to two letters and a blank before its digits
+    for m in _matches(IDENTITY, text, sorted({p for m in _RUN.finditer(text) for p in range(max(0, m.start() - 3), m.start() + 1)})):
         before = _before(text, m.start())
         label = [x.end() for x in _IDENTITY_WORDS.finditer(before)]
         other = [x.end() for x in _OTHER_NUMBERS.finditer(before)]
@@ -269,6 +299,36 @@ _STREET_END = re.compile(rf"(?i){_DE_STREET}$")
 SALTS = 16
 
 
+def _shift(key: bytes, salt: int, kind: str, before: str) -> int:
+    data = f"{salt}\0{kind}\0{before}".encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=8).digest())
+
+
+@functools.lru_cache(maxsize=100_000)
+def _made_word(key: bytes, word: str, salt: int) -> str:
+    """A word's replacement: two letters become three that can be spoken, letters of other scripts move within their script."""
+    low = fold(word).translate(_SPELLED)
+    # the gender of a given name shows in its ending
+    ending = low[-1] if len(low) > 2 and low[-1] in "aeo" else ""
+    body, out, at = low[: len(low) - len(ending)], "", 0
+    while at < len(body):
+        a, b = body[at], body[at + 1 : at + 2]
+        if "a" <= a <= "z":
+            if "a" <= b <= "z":
+                n = (ord(a) - 97) * 26 + ord(b) - 97 + _shift(key, salt, "pair", body[:at]) % 1280
+                out += _CONSONANTS[n // 80 % 16] + _VOWELS[n // 16 % 5] + _CONSONANTS[n % 16]
+                at += 2
+                continue
+            n = ord(a) - 97 + _shift(key, salt, "one", body[:at]) % 80
+            out += _CONSONANTS[n // 5 % 16] + _VOWELS[n % 5]
+        else:
+            first, last = next((r for r in _SCRIPTS if r[0] <= ord(a) <= r[1]), (ord(a), ord(a)))
+            out += chr(first + (ord(a) - first + _shift(key, salt, "script", body[:at])) % (last - first + 1))
+        at += 1
+    out += ending
+    return out.upper() if word.isupper() and len(word) > 1 else out.capitalize() if word[:1].isupper() else out
+
+
 class Surrogates:
     """Keyed replacements of the entities of one text.
 
@@ -294,8 +354,7 @@ class Surrogates:
                         self.initials.setdefault((w[0], other), w)
 
     def _shift(self, salt: int, kind: str, before: str, size: int) -> int:
-        data = f"{salt}\0{kind}\0{before}".encode("utf-8", "surrogatepass")
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=8).digest()) % size
+        return _shift(self.key, salt, kind, before) % size
 
     def of(self, kind: str, item: str) -> str:
         """The replacement of an item: never an entity of the text, never that of another entity."""
@@ -314,26 +373,7 @@ class Surrogates:
         return self.made[kind, item]
 
     def _word(self, word: str, salt: int) -> str:
-        low = fold(word).translate(_SPELLED)
-        # the gender of a given name shows in its ending
-        ending = low[-1] if len(low) > 2 and low[-1] in "aeo" else ""
-        body, out, at = low[: len(low) - len(ending)], "", 0
-        while at < len(body):
-            a, b = body[at], body[at + 1 : at + 2]
-            if "a" <= a <= "z":
-                if "a" <= b <= "z":
-                    n = (ord(a) - 97) * 26 + ord(b) - 97 + self._shift(salt, "pair", body[:at], 1280)
-                    out += _CONSONANTS[n // 80 % 16] + _VOWELS[n // 16 % 5] + _CONSONANTS[n % 16]
-                    at += 2
-                    continue
-                n = ord(a) - 97 + self._shift(salt, "one", body[:at], 80)
-                out += _CONSONANTS[n // 5 % 16] + _VOWELS[n % 5]
-            else:
-                first, last = next((r for r in _SCRIPTS if r[0] <= ord(a) <= r[1]), (ord(a), ord(a)))
-                out += chr(first + (ord(a) - first + self._shift(salt, "script", body[:at], last - first + 1)) % (last - first + 1))
-            at += 1
-        out += ending
-        return out.upper() if word.isupper() and len(word) > 1 else out.capitalize() if word[:1].isupper() else out
+        return _made_word(self.key, word, salt)
 
     def _initial(self, letter: str, family: list[str], salt: int) -> str:
         low = fold(letter)
