@@ -96,28 +96,58 @@ def faults(value: Column, schema: Column) -> Column:
     return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(checks))
 
 
-def set_digests(rows: DataFrame, by: str, item: str) -> DataFrame:
+#: bytes of sorted items that go to the hashing task as one row
+DIGEST_BYTES = 1 << 20
+
+
+def set_digests(rows: DataFrame, by: str, item: str, unique: bool = True, order: str | None = None) -> DataFrame:
     """(by, size, digest) for each value of a bigint column: sha256 over the sorted distinct items, a line feed after each.
 
-    The digest is one chain over all items of a group, so a task hashes them in order as they stream past; none is held.
+    Items are sorted by ranges in many tasks, which join them to pieces of ``DIGEST_BYTES``. A digest is one chain over its group, so one task
+    hashes the group's pieces as they stream past; it sorts none of the items and holds one piece. ``order`` is a column to sort by instead, items then need not be
+    ``unique`` and are hashed without line feeds.
     """
-    ordered = rows.select(by, item).where(F.col(item).isNotNull()).distinct().repartition(by).sortWithinPartitions(by, item)
+    end = b"\n" if order is None else b""
+    kept = rows.select(by, F.col(item).alias("item"), *([F.col(order).alias("at")] if order else [])).where("item is not null")
+    keys = [by, "at" if order else "item"]
+    sorted_ = (kept.distinct() if unique and not order else kept).repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        at, count, size, first = None, 0, 0, None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, size, chain, out = None, 0, None, []
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([first], kind), pa.array([count], pa.int64()), pa.array([b"".join(held)], pa.binary())], [by, "first", "n", "data"])
+
+        kind = pa.int64() if order else pa.string()
+        for batch in batches:
+            for group, text, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if count and (group != at or size >= DIGEST_BYTES):
+                    yield out()
+                    held, count, size = [], 0, 0
+                if not count:
+                    at, first = group, place
+                held.append(text.encode() + end)
+                count, size = count + 1, size + len(held[-1])
+        if count:
+            yield out()
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, state, out = None, 0, None, []
         for batch in batches:
-            for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if chain is None or group != at:
-                    if chain is not None:
-                        out.append((at, size, chain.hexdigest()))
-                    at, size, chain = group, 0, hashlib.sha256()
-                size += 1
-                chain.update(text.encode() + b"\n")
-        if chain is not None:
-            out.append((at, size, chain.hexdigest()))
+            for group, n, data in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if state is None or group != at:
+                    if state is not None:
+                        out.append((at, size, state.hexdigest()))
+                    at, size, state = group, 0, hashlib.sha256()
+                size += n
+                state.update(data)
+        if state is not None:
+            out.append((at, size, state.hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], [by, "size", "digest"])
 
-    return ordered.mapInArrow(run, f"{by} bigint, size bigint, digest string")
+    cut_up = sorted_.mapInArrow(pieces, f"{by} bigint, first {'bigint' if order else 'string'}, n bigint, data binary")
+    return cut_up.repartition(by).sortWithinPartitions(by, "first").mapInArrow(chain, f"{by} bigint, size bigint, digest string")
 
 
 def set_digest(rows: DataFrame, item: str) -> tuple[str, int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,26 +14,22 @@ from pyspark.sql import DataFrame
 def remap_spans(value: str | None, old: str | None, new: str | None) -> tuple[str | None, int]:
     """The span answer for the new text, and how many of its spans are lost.
 
-    A span goes where the matching blocks of the texts put it if its text stands there, else to the nearest other place
-    with its text, else it is lost. A null value stays null.
+    A span is carried by its text: what the old text has there, or what it says itself where there is no old text. It goes to the place of that text in
+    the new one that is nearest to where the texts' matching blocks put its start, or to its old start where no block holds it; without such a place, or without
+    text, it is lost. A null value stays null, and without a new text nothing moves.
     """
-    if value is None or old is None or new is None:
+    if value is None or new is None:
         return value, 0
     answer = json.loads(value)
     if answer.get("kind") != "spans" or old == new:
         return value, 0
-    blocks = difflib.SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks()
+    blocks = difflib.SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks() if old is not None else []
     kept, lost = [], 0
     for span in answer["values"]:
-        text = old[span["start"] : span["end"]]
-        guess = span["start"]
-        for b in blocks:
-            if b.a <= span["start"]:
-                guess = b.b + span["start"] - b.a if span["start"] < b.a + b.size else b.b + b.size
-        places, at = [], new.find(text) if text else -1
-        while at >= 0:
-            places.append(at)
-            at = new.find(text, at + 1)
+        at = span["start"]
+        text = old[at : span["end"]] if old is not None else span.get("text") or ""
+        guess = next((b.b + at - b.a for b in blocks if b.a <= at < b.a + b.size), at)
+        places = [m.start() for m in re.finditer(f"(?={re.escape(text)})", new)] if text else []
         if not places:
             lost += 1
             continue

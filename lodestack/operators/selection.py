@@ -284,6 +284,15 @@ class Selection:
         total = self.candidates.agg(F.count("*").alias("n")).select(F.lit("candidates").alias("what"), F.lit("").alias("name"), "n")
         return one.select(stacked.alias("r")).select("r.*").union(total)
 
+    def by_collection(self, memberships: DataFrame, mark: Mark = Mark()) -> DataFrame:
+        """(collection, n): selected samples per collection, of a scoped selection per named one."""
+        held = upto(memberships, mark.sample_collection).select(F.col("sample_id").alias("id"), "collection").distinct()
+        if self.spec.collections is not None and list(self.spec.collections) != ["*"]:
+            named = F.explode(F.array(*map(F.lit, sorted(set(self.spec.collections)))))
+            under = held.withColumn("named", named)
+            held = under.where((F.col("collection") == F.col("named")) | F.col("collection").startswith(F.concat("named", F.lit("/")))).select("id", F.col("named").alias("collection")).distinct()
+        return held.join(self.members, "id").groupBy("collection").agg(F.count("*").alias("n"))
+
     def by_type(self) -> DataFrame:
         return self.pool.where("selected").groupBy("media", "subtype").agg(F.count("*").alias("n"))
 

@@ -9,9 +9,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodestack.functions.values import CatalogError, grouping
 from lodestack.operators.components import components
+from lodestack.session import cut
 
 
 class SplitError(CatalogError):
@@ -30,16 +32,22 @@ def split_groups(members: DataFrame) -> DataFrame:
     return components(edges).where(F.col("node") < (1 << 62)).select(F.col("node").alias("id"), F.col("root").alias("unit"))
 
 
-def draw(sizes: list[tuple[int, int]], total: int, fixed: dict[str, int], val_ratio: float, holdout_ratio: float, seed: int) -> dict[int, str]:
+#: undecided units up to which sides follow the one random stream of the seed, in a task that holds two numbers for each
+STREAM_UNITS = 10_000_000
+
+
+def draw(sizes: list[tuple[int, int]], total: int, fixed: dict[str, int], val_ratio: float, holdout_ratio: float, seed: int, units: int | None = None) -> dict[int, str]:
     """Sides of the undecided units (unit, size), in their order. ``fixed`` counts the members whose side is given or inherited.
 
+    ``units`` is how many there are with those whose side is inherited, by which it is judged whether a side must not stay empty.
+
     The units are shuffled by the seed; holdout is filled first, then val, each taking a unit if that moves it
     strictly closer to its target. A side that must not stay empty takes the unit whose size is closest to the target.
     """
     pending = list(sizes)
     random.Random(seed).shuffle(pending)
     decided: dict[int, str] = {}
-    groups = len(pending)
+    groups = len(pending) if units is None else units
     for side, ratio, forced in (("holdout", holdout_ratio, holdout_ratio > 0 and groups > 2), ("val", val_ratio, groups > 1)):
         target, have, rest = round(total * ratio), fixed.get(side, 0), []
         for unit, size in pending:
@@ -59,34 +67,77 @@ def draw(sizes: list[tuple[int, int]], total: int, fixed: dict[str, int], val_ra
 def assign_sides(members: DataFrame, val_ratio: float, holdout_ratio: float, seed: int, inherited: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
     """(id, side) for members (id, grp, checksum). ``inherited`` and ``given`` hold (id, side).
 
-    Given sides stand. A unit with one inherited side takes it, with several train. The draw is sequential over units, so
-    one task gets their sizes: one number per unit, not per member.
+    Given sides stand. A unit with one inherited side takes it, with several train. The draw is sequential over units, so up to ``STREAM_UNITS`` of them
+    one task gets their sizes: one number per unit, not per member. More are ranked by a hash of unit and seed, and the sides are cut from that order.
     """
     spark = members.sparkSession
-    total = members.count()
     none = spark.createDataFrame([], "id bigint, side string")
     fixed = (given or none).join(members.select("id"), "id", "left_semi")
-    free = members.join(fixed.select("id"), "id", "left_anti")
-    units = split_groups(free)
+    units = split_groups(members if given is None else members.join(fixed.select("id"), "id", "left_anti"))
     kept = units.join(inherited or none, "id", "left").groupBy("unit").agg(F.count("*").alias("size"), F.collect_set("side").alias("sides"))
-    kept = kept.withColumn("side", F.when(F.size("sides") == 1, F.col("sides")[0]).when(F.size("sides") > 1, F.lit("train")))
-    counts = {r.side: r.n for r in fixed.select("side").union(units.join(kept.where("side is not null"), "unit").select("side")).groupBy("side").agg(F.count("*").alias("n")).collect()}
+    kept = cut(kept.withColumn("side", F.when(F.size("sides") == 1, F.col("sides")[0]).when(F.size("sides") > 1, F.lit("train"))))
+    counts = {r.side: r.n for r in fixed.groupBy("side").agg(F.count("*").alias("n")).collect()} if given is not None else {}
+    found = {r.side: r for r in kept.groupBy("side").agg(F.sum("size").alias("n"), F.count("*").alias("units")).collect()}
+    total = sum(counts.values()) + sum(r.n for r in found.values())
+    for side, r in found.items():
+        if side is not None:
+            counts[side] = counts.get(side, 0) + r.n
+    number, pending = sum(r.units for r in found.values()), found[None].units if None in found else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        decided = draw(sizes, total, counts, val_ratio, holdout_ratio, seed)
+        decided = draw(sizes, total, counts, val_ratio, holdout_ratio, seed, number)
         yield pa.RecordBatch.from_arrays([pa.array(decided.keys(), pa.int64()), pa.array(decided.values(), pa.string())], ["unit", "drawn"])
 
     open_units = kept.where("side is null").select("unit", "size")
-    drawn = open_units.repartition(1).sortWithinPartitions("unit").mapInArrow(run, "unit bigint, drawn string")
+    if pending <= STREAM_UNITS:
+        drawn = open_units.repartition(1).sortWithinPartitions("unit").mapInArrow(run, "unit bigint, drawn string")
+    else:
+        drawn = ranked(open_units, total, counts, val_ratio, holdout_ratio, seed)
     sided = units.join(kept.select("unit", "side"), "unit").join(drawn, "unit", "left").select("id", F.coalesce("side", "drawn").alias("side"))
-    out = fixed.union(sided)
+    out = cut(fixed.union(sided))
     found = {r.side for r in out.select("side").distinct().collect()}
     if "train" not in found or "val" not in found:
         raise SplitError(f"every side but {sorted({'train', 'val'} - found)} has members")
     return out
 
 
+def ranked(units: DataFrame, total: int, fixed: dict[str, int], val_ratio: float, holdout_ratio: float, seed: int) -> DataFrame:
+    """(unit, drawn) for units (unit, size) in the order of a seeded hash: those first that fill holdout, then val, the rest on train.
+
+    The running size is taken per range of hashes and the ranges are added up, so that no task sees more than its range. A side misses its target by less than the
+    largest unit.
+    """
+    hashed = cut(units.withColumn("h", F.xxhash64(F.lit(seed), "unit")).repartitionByRange("h", "unit").withColumn("part", F.spark_partition_id()))
+    sums = hashed.groupBy("part").agg(F.sum("size").alias("n"))
+    before = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.sum("size").over(W.partitionBy("part").orderBy("h", "unit"))
+    middle = F.col("before") + F.col("upto") - F.col("size") / 2
+    holdout = max(0, round(total * holdout_ratio) - fixed.get("holdout", 0))
+    val = max(0, round(total * val_ratio) - fixed.get("val", 0))
+    placed = hashed.withColumn("upto", upto).join(F.broadcast(before), "part")
+    return placed.select("unit", F.when(middle < holdout, "holdout").when(middle < holdout + val, "val").otherwise("train").alias("drawn"))
+
+
+def given_sides(entries: DataFrame, versions: DataFrame) -> DataFrame:
+    """(dataset_id, sample_id, side) of all entries of the versions with a given split {key, holdout, val}; one scan, whatever the number of versions.
+
+    The driver reads the keys that the versions name, a handful of a fixed table.
+    """
+    given = versions.where("given_split is not null").select(
+        F.col("id").alias("dataset_id"),
+        F.get_json_object("given_split", "$.key").alias("key"),
+        F.from_json(F.get_json_object("given_split", "$.holdout"), "array<string>").alias("holdout"),
+        F.from_json(F.get_json_object("given_split", "$.val"), "array<string>").alias("val"),
+    )
+    joined = entries.select("dataset_id", "sample_id", "metadata").join(F.broadcast(given), "dataset_id")
+    group = F.lit(None).cast("string")
+    for key in sorted(r.key for r in given.select("key").where("key is not null").distinct().collect()):
+        group = F.when(F.col("key") == key, grouping(F.col("metadata"), key, F.col("sample_id"))).otherwise(group)
+    named = lambda side: F.coalesce(F.array_contains(F.transform(side, lambda v: F.concat(F.lit("g:"), v)), F.col("grp")), F.lit(False))
+    return joined.withColumn("grp", group).select("dataset_id", "sample_id", F.when(named("holdout"), "holdout").when(named("val"), "val").otherwise("train").alias("side"))
+
+
 @dataclass(frozen=True)
 class GivenSplit:
     """Sides the data came with: values of a metadata key, or lists of checksums."""
@@ -139,12 +190,15 @@ def features(members: DataFrame, declared: dict[str, tuple[str, str]], samples:
     if meta:
         picked = samples.select("id", *[F.get_json_object("metadata", f"$['{ref}']").alias(name) for name, ref in meta.items()])
         out = out.join(picked, "id", "left")
-    for name, (source, ref) in declared.items():
-        if source == "label_set":
-            rows = annotations.where("superseded_at is null and state = 'annotated'").join(F.broadcast(label_sets.where(F.col("name") == ref).select(F.col("id").alias("label_set_id"))), "label_set_id", "left_semi")
-            out = out.join(rows.groupBy(F.col("sample_id").alias("id")).agg(F.max_by("value", "id").alias(name)), "id", "left")
-        elif source != "metadata":
-            raise CatalogError(f"feature {name!r}: no source {source!r}")
+    if wrong := [name for name, (source, _) in declared.items() if source not in ("metadata", "label_set")]:
+        raise CatalogError(f"features {wrong} are of no known source")
+    refs = {name: ref for name, (source, ref) in declared.items() if source == "label_set"}
+    if refs:
+        # one pass over the answers for all label sets
+        sets = label_sets.where(F.col("name").isin(*set(refs.values()))).select(F.col("id").alias("label_set_id"), F.col("name").alias("set_name"))
+        rows = annotations.where("superseded_at is null and state = 'annotated'").join(F.broadcast(sets), "label_set_id")
+        said = rows.groupBy(F.col("sample_id").alias("id")).agg(*[F.max_by(F.when(F.col("set_name") == ref, F.col("value")), F.when(F.col("set_name") == ref, F.col("id"))).alias(name) for name, ref in refs.items()])
+        out = out.join(said, "id", "left")
     return out
 
 

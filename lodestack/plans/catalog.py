@@ -146,7 +146,17 @@ def asserted_classes(t):
     return t.annotation.select(F.col("id").alias("annotation_id"), F.explode(V.asserted(F.col("value"))).alias("class"))
 
 
-@query()
+_ASSERTED = """SELECT id, unnest(CAST(json_extract(value, '$.values') AS VARCHAR[])) AS cls FROM annotation WHERE json_extract_string(value, '$.kind') = 'choices'
+  UNION SELECT id, unnest(flatten(CAST(json_extract(value, '$.values[*].labels') AS VARCHAR[][]))) FROM annotation WHERE json_extract_string(value, '$.kind') = 'spans'
+  UNION SELECT id, unnest(json_extract_string(value, '$.values[*].label')) FROM annotation WHERE json_extract_string(value, '$.kind') = 'boxes'"""
+
+
+@query(f"""WITH r AS (SELECT a.id, a.value, json_extract_string(a.value, '$.kind') AS kind, l.label_schema AS s FROM annotation a JOIN label_set l ON l.id = a.label_set_id WHERE a.value IS NOT NULL),
+  c AS ({_ASSERTED}), p AS (SELECT id, a, lag(e) OVER (PARTITION BY id ORDER BY a, e) AS b FROM (SELECT id, unnest(CAST(json_extract(value, '$.values[*].start') AS BIGINT[])) AS a, unnest(CAST(json_extract(value, '$.values[*].end') AS BIGINT[])) AS e FROM r WHERE kind = 'spans'))
+  SELECT DISTINCT id, 'class' AS fault FROM r JOIN c USING (id) WHERE NOT list_contains(CAST(json_extract(s, '$.classes') AS VARCHAR[]), cls)
+  UNION ALL SELECT id, 'kind' FROM r WHERE NOT coalesce(kind = CASE json_extract_string(s, '$.label_type') WHEN 'classification' THEN 'choices' WHEN 'span' THEN 'spans' WHEN 'bbox' THEN 'boxes' END, false)
+  UNION ALL SELECT id, 'multiple' FROM r WHERE kind = 'choices' AND NOT coalesce(CAST(json_extract_string(s, '$.multiple') AS BOOLEAN), false) AND json_array_length(value, '$.values') > 1
+  UNION ALL SELECT DISTINCT id, 'overlap' FROM r JOIN p USING (id) WHERE NOT coalesce(CAST(json_extract_string(s, '$.overlapping') AS BOOLEAN), false) AND p.a < p.b""")
 def value_validation(t):
     rows = t.annotation.join(F.broadcast(t.label_set.select(F.col("id").alias("label_set_id"), "label_schema")), "label_set_id")
     return rows.select("id", F.explode(V.faults(F.col("value"), F.col("label_schema"))).alias("fault"))
@@ -231,8 +241,13 @@ def select_by_type(t):
     return _selected(t).by_type()
 
 
+@query(_POOL_SQL + " SELECT collection, count(DISTINCT pool.id) AS n FROM pool JOIN sample_collection c ON c.sample_id = pool.id WHERE c0 AND c1 AND c2 GROUP BY collection")
+def select_by_collection(t):
+    return _selected(t).by_collection(t.sample_collection)
+
+
 def _lists(t):
-    rows = t.manifest_sample.where("dataset_id = 1")
+    rows = t.manifest_sample
     held = rows.where("split = 'holdout'").select("checksum", F.lit(None).cast("string").alias("media"), F.lit(None).cast("string").alias("subtype"))
     typed = rows.where("split = 'val'").select("checksum", F.lit("text").alias("media"), F.lit("email").alias("subtype"))
     return {"held@1": held, "val-mail@2": typed}
@@ -240,8 +255,8 @@ def _lists(t):
 
 @query("""WITH ans AS (SELECT sample_id, label_set_id, max(id) AS id FROM annotation GROUP BY ALL), a AS (SELECT x.* FROM annotation x JOIN ans USING (id))
   SELECT s.id FROM sample_row s WHERE deleted_at IS NULL AND media = 'text' AND (subtype = 'email' OR starts_with(subtype, 'email/')) AND id IN (SELECT sample_id FROM a WHERE state = 'annotated' AND """ + _SET.format("mail_spans") + """)
-  AND NOT EXISTS (SELECT 1 FROM manifest_sample m WHERE m.dataset_id = 1 AND m.split = 'holdout' AND m.checksum = s.checksum)
-  AND NOT (subtype = 'email' AND EXISTS (SELECT 1 FROM manifest_sample m WHERE m.dataset_id = 1 AND m.split = 'val' AND m.checksum = s.checksum))""")
+  AND NOT EXISTS (SELECT 1 FROM manifest_sample m WHERE m.split = 'holdout' AND m.checksum = s.checksum)
+  AND NOT (subtype = 'email' AND EXISTS (SELECT 1 FROM manifest_sample m WHERE m.split = 'val' AND m.checksum = s.checksum))""")
 def select_lists(t):
     return _selected(t, Spec(types=("text/email",), label_set="mail_spans", exclude=("held@1", "val-mail@2")), _lists(t)).members
 
@@ -281,6 +296,44 @@ def replay_diff(t):
     return both.groupBy("label_set_id").agg(F.count_if(F.col("was").isNull()).alias("added"), F.count_if(F.col("now") != F.col("was")).alias("changed"), F.count_if(F.col("now") == F.col("was")).alias("same"))
 
 
+def _events(t):
+    """An event log made of the tables: tombstones, descriptions of what arrived otherwise, withdrawn model answers and imported history."""
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, n, kind, sample, answer, before: df.select((F.col("id") * 4 + n).alias("id"), F.lit(kind).alias("kind"), sample.alias("sample_id"), answer.alias("annotation_id"), before.alias("before"))
+    was = F.to_json(F.struct(F.lit("email").alias("subtype"), F.lit('{"lang":"en"}').alias("metadata")))
+    past = t.annotation.where("superseded_at is not null")
+    return (
+        row(t.sample_row.where("deleted_at is not null"), 0, "tombstoned", F.col("id"), none("bigint"), none("string"))
+        .union(row(t.sample_row.where(V.has_key(F.col("metadata"), "arrived_as")), 1, "described", F.col("id"), none("bigint"), was))
+        .union(row(past.where("source = 'model'"), 2, "withdrawn", none("bigint"), F.col("id"), none("string")))
+        .union(row(past.where("source = 'import'"), 3, "arrived", none("bigint"), F.col("id"), none("string")))
+    )
+
+
+_EVENT = "(SELECT 2 * max(id) FROM sample_row)"
+_REPLAYED = f"""WITH c AS (SELECT id, media, CASE WHEN d THEN 'email' ELSE subtype END AS subtype, CASE WHEN d THEN '{{"lang":"en"}}' ELSE metadata END AS metadata FROM
+    (SELECT *, coalesce(json_exists(metadata, '$.arrived_as'), false) AND id * 4 + 1 > {_EVENT} AS d FROM sample_row WHERE id <= {_AT.format('sample')} AND NOT (deleted_at IS NOT NULL AND id * 4 <= {_EVENT}))),
+  l AS (SELECT sample_id, label_set_id, max(id) AS id FROM annotation WHERE id <= {_AT.format('annotation')} AND NOT (source = 'import' AND superseded_at IS NOT NULL AND id * 4 + 3 <= {_EVENT}) GROUP BY ALL),
+  a AS (SELECT x.* FROM annotation x JOIN l USING (id) WHERE NOT (x.source = 'model' AND x.superseded_at IS NOT NULL AND x.id * 4 + 2 <= {_EVENT}))"""
+
+
+def _replay_mark(t) -> Mark:
+    at = _frozen(t)
+    return Mark(sample=at.sample, annotation=at.annotation, event=2 * t.sample_row.agg(F.max("id")).first()[0])
+
+
+@query(_REPLAYED + " SELECT sample_id, label_set_id, id, state FROM a")
+def answers_with_events(t):
+    return selection.answers_asof(t.annotation, _replay_mark(t), _events(t)).select("sample_id", "label_set_id", "id", "state")
+
+
+@query(_REPLAYED + f""" SELECT id FROM c WHERE media = 'text' AND (subtype = 'email' OR starts_with(subtype, 'email/')) AND id IN (SELECT sample_id FROM a WHERE state = 'annotated' AND {_TRIAGE})
+  AND coalesce(json_type(metadata, '$.lang') = 'VARCHAR' AND json_extract_string(metadata, '$.lang') = 'en', false)""")
+def replay_with_events(t):
+    spec = Spec(types=("text/email",), label_set="triage", where=condition({"key": "lang", "op": "==", "value": "en"}))
+    return selection.run_selection(spec, t.sample_row, t.sample_collection, t.annotation, t.label_set, None, _replay_mark(t), _events(t)).members
+
+
 # digests, types, text --------------------------------------------------------------------------------------------
 
 
@@ -380,24 +433,13 @@ def import_matching(t):
     WHEN list_contains(CAST(json_extract(d.given_split, '$.val') AS VARCHAR[]), json_extract_string(m.metadata, '$."' || (d.given_split::JSON->>'$.key') || '"')) THEN 'val' ELSE 'train' END AS side
   FROM manifest_sample m JOIN dataset_version d ON d.id = m.dataset_id WHERE d.given_split IS NOT NULL""")
 def given_sides(t):
-    out = None
-    for d in t.dataset_version.where("given_split is not null").select("id", "given_split").collect():
-        import json
-
-        g = json.loads(d.given_split)
-        split = versions.GivenSplit(g["key"], tuple(g["holdout"]), tuple(g["val"]))
-        rows = split.sides(t.manifest_sample.where(F.col("dataset_id") == d.id).select(F.col("sample_id").alias("id"), "checksum", "metadata"))
-        rows = rows.select(F.lit(d.id).cast("bigint").alias("dataset_id"), F.col("id").alias("sample_id"), "side")
-        out = rows if out is None else out.union(rows)
-    return out
+    return versions.given_sides(t.manifest_sample, t.dataset_version)
 
 
 def _split(t):
     """(dataset_id, id, grp, side) of the members of every version, by the ratios, the grouping key and the seed it records."""
     out = None
-    for d in t.dataset_version.join(t.manifest_sample, F.col("id") == F.col("dataset_id"), "left_semi").orderBy("id").collect():
-        group = F.nullif(F.lower(F.trim(F.get_json_object("metadata", f"$['{d.group_by}']"))), F.lit("")) if d.group_by else F.lit(None).cast("string")
-        members = t.manifest_sample.where(F.col("dataset_id") == d.id).select(F.col("sample_id").alias("id"), group.alias("grp"), "checksum")
+    for d, members in _units(t):
         sided = versions.assign_sides(members, d.val_ratio, d.holdout_ratio, d.seed)
         rows = sided.join(members, "id").select(F.lit(d.id).cast("bigint").alias("dataset_id"), "id", "grp", "side")
         out = rows if out is None else out.union(rows)
@@ -409,10 +451,38 @@ def split_assign(t):
     return _split(t).select("dataset_id", "id", "side")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS cut")
+@query("""SELECT dataset_id, count(*) AS members, count(DISTINCT nullif(lower(trim(json_extract_string(metadata, '$."' || group_by || '"'))), '')) AS groups, CAST(0 AS BIGINT) AS cut
+  FROM manifest_sample m JOIN dataset_version d ON d.id = m.dataset_id GROUP BY dataset_id""")
 def split_group_integrity(t):
-    # a group is one of its version
-    return versions.groups_cut(_split(t).withColumn("grp", F.concat("dataset_id", F.lit(":"), "grp")))
+    sided = _split(t)
+    by = sided.where("grp is not null").groupBy("dataset_id", "grp").agg(F.countDistinct("side").alias("sides"))
+    cut = by.groupBy("dataset_id").agg(F.count("*").alias("groups"), F.count_if(F.col("sides") > 1).alias("cut"))
+    members = sided.groupBy("dataset_id").agg(F.count("*").alias("members"))
+    return members.join(cut, "dataset_id", "left").select("dataset_id", "members", F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("cut", F.lit(0)).alias("cut"))
+
+
+def _units(t, *more):
+    """(version, members) of every version, members as (id, grp, checksum, and more) by its grouping key."""
+    for d in t.dataset_version.join(t.manifest_sample, F.col("id") == F.col("dataset_id"), "left_semi").orderBy("id").collect():
+        group = F.nullif(F.lower(F.trim(F.get_json_object("metadata", f"$['{d.group_by}']"))), F.lit("")) if d.group_by else F.lit(None).cast("string")
+        yield d, t.manifest_sample.where(F.col("dataset_id") == d.id).select(F.col("sample_id").alias("id"), group.alias("grp"), "checksum", *more)
+
+
+@query("""WITH RECURSIVE m AS (SELECT dataset_id, sample_id, checksum, split, coalesce('g:' || nullif(lower(trim(json_extract_string(metadata, '$."' || group_by || '"'))), ''), 's:' || sample_id) AS grp FROM manifest_sample JOIN dataset_version d ON d.id = dataset_id),
+  l AS (SELECT x.dataset_id, x.sample_id AS a, y.sample_id AS b FROM m x JOIN m y ON x.dataset_id = y.dataset_id AND (x.grp = y.grp OR x.checksum = y.checksum)),
+  r(dataset_id, id, other) AS (SELECT dataset_id, a, a FROM l UNION SELECT r.dataset_id, r.id, l.b FROM r JOIN l ON l.dataset_id = r.dataset_id AND l.a = r.other)
+  SELECT r.dataset_id, r.id, CASE WHEN count(DISTINCT m.split) = 1 THEN min(m.split) ELSE 'train' END AS side FROM r JOIN m ON m.dataset_id = r.dataset_id AND m.sample_id = r.other WHERE m.split IS NOT NULL GROUP BY r.dataset_id, r.id""")
+def split_inherited(t):
+    # units with a member that an earlier materialisation put on a side keep it, those torn between sides go to train
+    out = None
+    for d, members in _units(t, "split"):
+        inherited = members.where("split is not null").select("id", F.col("split").alias("side"))
+        units = versions.split_groups(members)
+        bound = units.join(inherited.select("id"), "id", "left_semi").select("unit").distinct()
+        sided = versions.assign_sides(members.drop("split"), d.val_ratio, d.holdout_ratio, d.seed, inherited)
+        rows = sided.join(units.join(bound, "unit", "left_semi").select("id"), "id", "left_semi").select(F.lit(d.id).cast("bigint").alias("dataset_id"), "id", "side")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query("""SELECT dataset_id, count(*) AS cut FROM (SELECT dataset_id, json_extract_string(metadata, '$.author') AS grp FROM manifest_sample WHERE json_extract_string(metadata, '$.author') IS NOT NULL AND split IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1) GROUP BY dataset_id""")
@@ -429,13 +499,6 @@ def split_counts(t):
 _FEATURES = {"lang": ("metadata", "lang"), "words": ("metadata", "word_count"), "tone": ("label_set", "tone")}
 
 
-@query(f"""WITH {_HELD} SELECT m.sample_id AS id, json_extract_string(s.metadata, '$.lang') AS lang, json_extract_string(s.metadata, '$.word_count') AS words, h.value AS tone
-  FROM (SELECT sample_id FROM manifest_sample WHERE dataset_id = 3) m LEFT JOIN sample_row s ON s.id = m.sample_id LEFT JOIN held h ON h.sample_id = m.sample_id AND h.state = 'annotated' AND h.{_TONE}""")
-def features_of_version(t):
-    members = t.manifest_sample.where("dataset_id = 3").select(F.col("sample_id").alias("id"))
-    return versions.features(members, _FEATURES, t.sample_row, t.annotation, t.label_set)
-
-
 @query(f"""WITH {_HELD} SELECT m.dataset_id, m.sample_id AS id, json_extract_string(s.metadata, '$.lang') AS lang, json_extract_string(s.metadata, '$.word_count') AS words, h.value AS tone
   FROM manifest_sample m LEFT JOIN sample_row s ON s.id = m.sample_id LEFT JOIN held h ON h.sample_id = m.sample_id AND h.state = 'annotated' AND h.{_TONE}""")
 def features_of_versions(t):
@@ -503,30 +566,40 @@ def repack_plan(t):
     return shard_plan(blobs, 8 << 20)
 
 
-@query()
+_INNER, _OUTER = (bytes(c ^ pad for c in b"secret".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+
+
+@query(f"""SELECT id, 'https://blobs.example/blob/' || checksum || '.txt?exp=1800000000&sig=' || substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(checksum || ':1800000000')))), 1, 32) AS url FROM sample_row""")
 def signed_url(t):
     from lodestack.functions.signing import signed_url as signed
 
     return t.sample_row.select("id", signed("https://blobs.example", b"secret", F.col("checksum"), F.lit(".txt"), 1_800_000_000).alias("url"))
 
 
-@query()
+@query("""WITH t AS (SELECT sample_id, max(text) AS old FROM exported_sample WHERE text IS NOT NULL GROUP BY sample_id),
+  r AS (SELECT a.id AS item, old, a.source = 'human' AS moved, CASE WHEN a.source = 'human' THEN 'Note.' || chr(10) || old ELSE substring(old, 1, CAST(floor(length(old) / 2) AS BIGINT)) END AS new,
+    CAST(json_extract(value, '$.values[*].start') AS BIGINT[]) AS v, CAST(json_extract(value, '$.values[*].end') AS BIGINT[]) AS e FROM annotation a JOIN t USING (sample_id) WHERE superseded_at IS NULL AND json_extract_string(value, '$.kind') = 'spans'),
+  s AS (SELECT item, new, k, v[k] + CASE WHEN moved THEN 6 ELSE 0 END AS guess, substring(old, v[k] + 1, e[k] - v[k]) AS txt FROM (SELECT *, unnest(range(1, len(v) + 1)) AS k FROM r)),
+  p AS (SELECT *, list_sort(list_transform(list_filter(range(0, length(new)), lambda x: txt <> '' AND substring(new, x + 1, length(txt)) = txt), lambda x: {'d': abs(x - guess), 'x': x}))[1].x AS place FROM s)
+  SELECT r.item, coalesce(string_agg(CASE WHEN place IS NOT NULL THEN place || '-' || (place + length(txt)) END, ',' ORDER BY k), '') AS spans, count(k) FILTER (place IS NULL) AS lost FROM r LEFT JOIN p ON p.item = r.item GROUP BY r.item""")
 def span_remap(t):
+    # answers of people meet a text with a line before it, the others the first half of their text
     from lodestack.operators.remap import remap
 
     spans = views.current(t.annotation).where("get_json_object(value, '$.kind') = 'spans'")
-    texts = t.exported_sample.groupBy("sample_id").agg(F.max("text").alias("old_text"))
-    rows = spans.join(texts, "sample_id").select(F.col("id").alias("item"), "value", "old_text", F.concat(F.lit("Note.\n"), F.col("old_text")).alias("new_text"))
-    return remap(rows)
+    texts = t.exported_sample.where("text is not null").groupBy("sample_id").agg(F.max("text").alias("old_text"))
+    half = F.substring("old_text", F.lit(1), F.floor(F.length("old_text") / 2).cast("int"))
+    new = F.when(F.col("source") == "human", F.concat(F.lit("Note.\n"), F.col("old_text"))).otherwise(half)
+    moved = remap(spans.join(texts, "sample_id").select(F.col("id").alias("item"), "value", "old_text", new.alias("new_text")))
+    places = F.from_json(F.get_json_object("value", "$.values"), "array<struct<start:bigint,end:bigint>>")
+    return moved.select("item", F.array_join(F.transform(places, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"), "lost")
 
 
 @query("SELECT a.sample_id, a.label_set_id, a.id, a.state, a.source FROM annotation a JOIN (SELECT sample_id, label_set_id, max(id) AS id FROM annotation GROUP BY ALL) m USING (id)")
 def stream_answers(t):
-    import uuid
-
     from lodestack.streaming.answers import run_to_end
 
-    return run_to_end(t.spark, t.directory, f"answers_{uuid.uuid4().hex}").select("sample_id", "label_set_id", "id", "state", "source")
+    return run_to_end(t.spark, t.directory).select("sample_id", "label_set_id", "id", "state", "source")
 
 
 @query("""SELECT checksum, count(DISTINCT media || '/' || subtype) AS types FROM sample_row WHERE deleted_at IS NULL GROUP BY checksum HAVING count(DISTINCT media || '/' || subtype) > 1""")
@@ -541,12 +614,29 @@ def run_rows(t):
     return t.annotation.where("run_id is not null").groupBy("run_id", "source").agg(F.count("*").alias("rows"), F.countDistinct("sample_id").alias("samples"), F.min("created_at").alias("first_at"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS inputs, count(*) AS produced, CAST(0 AS BIGINT) AS already, CAST(0 AS BIGINT) AS emptied, count(*) AS outputs, count(DISTINCT text) AS samples FROM (SELECT DISTINCT sha256(text) AS checksum, text FROM exported_sample)")
+@query("""WITH i AS (SELECT DISTINCT text FROM exported_sample WHERE text IS NOT NULL), done AS (SELECT DISTINCT text FROM exported_sample WHERE sample_id IN (SELECT sample_id FROM manifest_sample WHERE split = 'holdout')),
+  todo AS (SELECT text FROM i WHERE text NOT IN (SELECT text FROM done WHERE text IS NOT NULL)), o AS (SELECT text, unnest(string_split(text, chr(10) || chr(10))) AS part FROM todo WHERE length(text) >= 200), k AS (SELECT text, part FROM o WHERE part <> '')
+  SELECT (SELECT count(*) FROM i) AS inputs, (SELECT count(DISTINCT text) FROM k) AS produced, (SELECT count(*) FROM i) - (SELECT count(*) FROM todo) AS already, (SELECT count(*) FROM todo) - (SELECT count(DISTINCT text) FROM k) AS emptied,
+  (SELECT count(*) FROM k) AS outputs, (SELECT count(DISTINCT nfc_normalize(part)) FROM k) AS samples""")
 def prepare_counts(t):
     from lodestack.operators import lineage
 
-    inputs = t.exported_sample.select(F.sha2("text", 256).alias("checksum"), F.encode("text", "UTF-8").alias("content"))
-    return lineage.prepare_counts(lineage.prepare(inputs, [lambda data, meta: [(data, meta | {"bytes": len(data)})]]), 0)
+    def long_enough(data, meta):
+        if len(data.decode()) < 200:
+            raise lineage.Drop("short")
+        return [(data, meta)]
+
+    def paragraphs(data, meta):
+        return [(part.encode(), meta | {"bytes": len(part)}) for part in data.decode().split("\n\n") if part]
+
+    texts = t.exported_sample.where("text is not null")
+    inputs = texts.select(F.sha2("text", 256).alias("checksum"), F.encode("text", "UTF-8").alias("content"))
+    held = t.manifest_sample.where("split = 'holdout'").select("sample_id")
+    done = texts.join(held, "sample_id", "left_semi").select(F.sha2("text", 256).alias("checksum")).distinct()
+    outputs = lineage.prepare(inputs, [long_enough, paragraphs], done)
+    already = done.agg(F.count("*").alias("known"))
+    counts = lineage.prepare_counts(outputs, 0).join(already)
+    return counts.select((F.col("inputs") + F.col("known")).alias("inputs"), "produced", F.col("known").alias("already"), "emptied", "outputs", "samples")
 
 
 @query("SELECT DISTINCT unnest(json_keys(metadata)) AS key FROM sample_row WHERE deleted_at IS NULL AND metadata IS NOT NULL")
@@ -559,13 +649,14 @@ def default_types(t):
     return selection.default_types(t.sample_row, t.of("qc"))
 
 
-@query(f"""WITH {_HELD}, m AS (SELECT sample_id, min_by(value, entry_id) AS value, 'human' AS source FROM manifest_sample WHERE dataset_id = 4 AND value IS NOT NULL GROUP BY sample_id)
-  SELECT m.sample_id, h.value AS kept_value, m.value AS other_value FROM m JOIN held h ON h.sample_id = m.sample_id AND h.{_TRIAGE} JOIN sample_row s ON s.id = m.sample_id
+@query(f"""WITH {_HELD}, m AS (SELECT DISTINCT m.sample_id, d.label_set_id, m.value FROM manifest_sample m JOIN dataset_version d ON d.id = m.dataset_id WHERE m.value IS NOT NULL)
+  SELECT m.sample_id, m.label_set_id, h.value AS kept_value, m.value AS other_value FROM m JOIN held h ON h.sample_id = m.sample_id AND h.label_set_id = m.label_set_id JOIN sample_row s ON s.id = m.sample_id
   WHERE s.deleted_at IS NULL AND h.state = 'annotated' AND h.source = 'human' AND m.value IS DISTINCT FROM h.value""")
 def disputed(t):
-    incoming = t.manifest_sample.where("dataset_id = 4 and value is not null").groupBy("sample_id").agg(F.min_by("value", "entry_id").alias("value"))
-    target = F.broadcast(t.label_set.where("name = 'triage'").select(F.col("id").alias("label_set_id")))
-    incoming = incoming.join(target).select("sample_id", "label_set_id", F.lit("annotated").alias("state"), "value", F.lit("human").alias("source"))
+    # what the versions recorded, as answers of a person, against what stands
+    sets = F.broadcast(t.dataset_version.select(F.col("id").alias("dataset_id"), "label_set_id"))
+    incoming = t.manifest_sample.where("value is not null").join(sets, "dataset_id").select("sample_id", "label_set_id", "value").distinct()
+    incoming = incoming.select("sample_id", "label_set_id", F.lit("annotated").alias("state"), "value", F.lit("human").alias("source"))
     clashes = sync.merge_verdicts(incoming, t.annotation).where("verdict = 'conflicted'").withColumnRenamed("value", "other_value")
-    held = views.current(t.of("triage")).groupBy("sample_id").agg(F.max_by("value", "id").alias("kept_value"))
-    return sync.disputed(clashes, t.sample_row).join(held, "sample_id").select("sample_id", "kept_value", "other_value")
+    held = views.current(t.annotation).groupBy("sample_id", "label_set_id").agg(F.max_by("value", "id").alias("kept_value"))
+    return sync.disputed(clashes, t.sample_row).join(held, ["sample_id", "label_set_id"]).select("sample_id", "label_set_id", "kept_value", "other_value")

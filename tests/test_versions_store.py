@@ -70,6 +70,31 @@ def test_draw_keeps_units_whole_and_comes_near(sizes, seed, holdout, val):
     assert abs(of("val") - round(total * val)) <= max(sizes)
 
 
+def test_a_side_is_forced_by_all_units_not_given():
+    # one unit is left to draw; with two others inherited there are three, so an empty holdout takes it
+    assert versions.draw([(7, 1)], 100, {"val": 10}, 0.1, 0.001, 3) == {7: "train"}
+    assert versions.draw([(7, 1)], 100, {"val": 10}, 0.1, 0.001, 3, units=3) == {7: "holdout"}
+
+
+def test_ranked_sides(spark, monkeypatch):
+    monkeypatch.setattr(versions, "STREAM_UNITS", 10)
+    members = spark.range(2000).selectExpr("id", "concat('g', id div 2) as grp", "cast(id as string) as checksum")
+    rows = {r.id: r.side for r in versions.assign_sides(members, 0.2, 0.1, 5).collect()}
+    count = lambda side: sum(s == side for s in rows.values())
+    assert len(rows) == 2000 and abs(count("val") - 400) <= 2 and abs(count("holdout") - 200) <= 2
+    assert all(rows[n] == rows[n + 1] for n in range(0, 2000, 2))
+
+
+def test_set_digests_in_pieces(spark, monkeypatch):
+    from lodestack.functions import values
+
+    monkeypatch.setattr(values, "DIGEST_BYTES", 40)
+    rows = spark.createDataFrame([(n % 2, f"item {n * 7 % 50}") for n in range(100)] + [(2, None)], "g bigint, item string").repartition(5)
+    want = {g: sorted({f"item {n * 7 % 50}" for n in range(100) if n % 2 == g}) for g in (0, 1)}
+    got = {r.g: (r["size"], r.digest) for r in values.set_digests(rows, "g", "item").collect()}
+    assert got == {g: (len(w), hashlib.sha256("".join(f"{x}\n" for x in w).encode()).hexdigest()) for g, w in want.items()}
+
+
 def test_assign_sides(spark):
     members = spark.createDataFrame([(n, f"g{n // 3}", f"c{n}") for n in range(60)] + [(60, None, "c0"), (61, None, "c61")], "id bigint, grp string, checksum string")
     sided = versions.assign_sides(members, 0.2, 0.1, 7)
@@ -100,7 +125,7 @@ def test_every_version_is_split(spark, tmp_path):
     assert {(d, n) for d, n, _ in got} == {(d, n) for d, n, *_ in rows} and len(got) == 90
     count = lambda d, side: sum(x == d and s == side for x, _, s in got)
     assert (count(1, "val"), count(1, "holdout")) == (3, 3) and (count(2, "val"), count(2, "holdout")) == (9, 0) and (count(3, "val"), count(3, "holdout")) == (6, 6)
-    assert [r.cut for r in QUERIES["split_group_integrity"](spark, str(tmp_path)).collect()] == [0]
+    assert [(r.dataset_id, r.members, r.groups, r.cut) for r in QUERIES["split_group_integrity"](spark, str(tmp_path)).orderBy("dataset_id").collect()] == [(1, 30, 10, 0), (2, 30, 10, 0), (3, 30, 0, 0)]
     made = {(r.dataset_id, r.id): (r.lang, r.tone) for r in QUERIES["features_of_versions"](spark, str(tmp_path)).collect()}
     assert len(made) == 90 and all(v == ("fr", "warm" if n == 4 else None) for (_, n), v in made.items())
 
@@ -185,8 +210,11 @@ def test_answers_file_round_trip(spark, tmp_path):
 def test_signing():
     s = signing.sign(b"k", "ab" * 32, 7200)
     assert len(s) == 32 and signing.verify(b"k", "ab" * 32, 7200, s, 7000) and not signing.verify(b"k", "ab" * 32, 7200, s, 7300) and not signing.verify(b"q", "ab" * 32, 7200, s, 0)
+    assert signing.verify(b"k", "ab" * 32, 7200, s, 7200)
+    with pytest.raises(CatalogError):
+        signing.sign(b"", "ab" * 32, 7200)
     assert signing.window_expiry(10, 100) == 3600 and signing.window_expiry(3600, 3600) == 7200
-    assert signing.checksum_from(f"https://h/{'ab' * 32}.txt?expires=1") == "ab" * 32 and signing.checksum_from("https://h/x") is None
+    assert signing.checksum_from(f"https://h/blob/{'ab' * 32}.txt?exp=1&sig=2") == "ab" * 32 and signing.checksum_from("https://h/x") is None
 
 
 def test_span_remap():
@@ -195,6 +223,13 @@ def test_span_remap():
     assert lost == 0 and '"start":14' in moved and '"start":6' in moved
     assert remap_spans(value, "the cat sat", "dog")[1] == 2
     assert remap_spans(None, "a", "b") == (None, 0)
+    # without an old text a span is carried by its own
+    alone = '{"kind":"spans","values":[{"labels":["x"],"start":4,"end":7,"text":"cat"},{"labels":["y"],"start":0,"end":3}]}'
+    moved, lost = remap_spans(alone, None, "a big cat, one cat")
+    assert [(v["start"], v["end"]) for v in json.loads(moved)["values"]] == [(6, 9)] and lost == 1
+    # a start that no block holds: nearest to where it was, not to where another block went
+    moved, lost = remap_spans('{"kind":"spans","values":[{"labels":["x"],"start":8,"end":11}]}', "........end", "end....xend")
+    assert json.loads(moved)["values"][0]["start"] == 8 and lost == 0
 
 
 def test_lists_and_lines(spark):
