@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestack import store as S
-from lodestack.functions.values import CatalogError, content_hash, host_token, run_id, set_digest, split_type
+from lodestack.functions import values as V
+from lodestack.functions.values import CatalogError, asserted, content_hash, faults, host_token, run_id, split_type
 from lodestack.operators import history, selection, sync, versions
 from lodestack.operators.selection import Mark, Spec
 from lodestack.schema import TABLES
+from lodestack.session import cut
+from lodestack.types import Types
 
 
 def _now():
@@ -23,8 +29,8 @@ def _now():
 class Catalog:
     """A labelled-data catalog at a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.store = spark, S.Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, types: Types | None = None) -> None:
+        self.spark, self.store, self.types = spark, S.Store(spark, root), types or Types()
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, identity: str | None = None) -> Catalog:
@@ -61,7 +67,47 @@ class Catalog:
         the last by path describes it. Memberships are added once.
         """
         split_type(f"{media}/{subtype}")
-        at = self.now
+        self.types.refuse_generated(f"{media}/{subtype}", "an ingest")
+        return self._add(self.now, files, media, subtype, collections)
+
+    def ingest_files(self, root: str, type_name: str, collections: list[str], metadata: DataFrame | None = None, listed: list[str] | None = None, blobs: str | None = None) -> DataFrame:
+        """Ingest the files under a folder in the form their type is stored in; (path, id).
+
+        Metadata are the facts of the bytes, the path, and over them those of ``metadata`` (path, metadata). Where the stored form is not what the file holds, its own checksum is
+        recorded. With ``blobs`` the stored bytes are put there.
+        """
+        from lodestack.sources import blobs as B
+        from lodestack.sources import files, runs
+
+        self.types.refuse_generated(type_name, "an ingest")
+        media, subtype = split_type(type_name)
+        found = files.files_under(self.spark, root, listed)
+        stored = cut(found.join(runs.canonical_files(found, self.types, type_name), "path").withColumn("stored", F.sha2("canonical", 256)))
+        runs.refuse(stored.where("fault is not null").select(F.concat_ws(": ", "path", "fault").alias("problem")), root)
+        own = metadata.select("path", F.col("metadata").alias("given")) if metadata is not None else stored.select("path", F.lit(None).cast("string").alias("given")).limit(0)
+        source = F.to_json(F.struct(F.col("path").alias("source_path"), *[F.when(F.col("stored") != F.col("checksum"), v).alias(k) for k, v in (("canonicalised", F.lit(True)), ("source_checksum", F.col("checksum")))]))
+        rows = stored.join(own, "path", "left").withColumn("source", source)
+        rows = cut(rows.select("path", F.col("stored").alias("checksum"), F.length("canonical").cast("bigint").alias("length"), runs.merged("facts", "source", "given").alias("metadata")))
+        if blobs:
+            self.place(stored.select(F.col("stored").alias("checksum"), F.lit("").alias("ending"), F.col("canonical").alias("content")).dropDuplicates(["checksum"]), blobs)
+        return self._add(self.now, rows, media, subtype, collections)
+
+    def intake(self, root: str, type_name: str, collections: list[str], label_set: str | None = None) -> dict[str, int]:
+        """Take in a prepared corpus, its candidate answers as imported ones; what was counted."""
+        from lodestack.sources import runs
+
+        rows, said = runs.admit(self.spark, root, type_name, self.types)
+        rows = cut(rows.withColumn("checksum", F.sha2("content", 256)))
+        media, subtype = split_type(type_name)
+        ids = cut(self._add(self.now, rows.select("path", "checksum", F.length("content").cast("bigint").alias("length"), "metadata"), media, subtype, collections))
+        counts = {"samples": ids.select("id").distinct().count(), "unindexed": said["unindexed"], "answers": 0}
+        if label_set:
+            batch = rows.where("value is not null").join(ids, "path").select(F.col("id").alias("item"), F.col("id").alias("sample_id"), "value")
+            counts["answers"] = self.annotate(batch, label_set, "import", said["produced_by"]).where("verdict <> 'kept'").count()
+        return counts
+
+    def _add(self, at: S.Snapshot, files: DataFrame, media: str, subtype: str, collections: list[str] | None) -> DataFrame:
+        files = cut(files.select("path", "checksum", "length", "metadata"))
         held = S.samples(at).where((F.col("media") == media) & (F.col("subtype") == subtype)).select("checksum", F.col("id").alias("held"), F.col("metadata").alias("had"))
         one = files.groupBy("checksum").agg(F.max_by(F.struct("metadata", "length", "path"), "path").alias("f"), F.min("path").alias("first")).join(held, "checksum", "left")
         new = S.with_ids(one.where("held is null"), at.next_id("sample"), "first")
@@ -95,19 +141,46 @@ class Catalog:
         self._commit(at, {"label_set": self.spark.createDataFrame([(number, name, json.dumps(schema))], "id bigint, name string, schema string").withColumn("created_at", _now())})
         return number
 
+    def _label_set(self, at: S.Snapshot, name: str):
+        rows = at.read("label_set").where(F.col("name") == name).take(1)
+        if not rows:
+            raise CatalogError(f"no label set {name!r}")
+        return rows[0]
+
+    @staticmethod
+    def _classes(written: DataFrame) -> DataFrame:
+        """The class rows of written answers (id, value)."""
+        return written.select(F.col("id").alias("annotation_id"), F.explode(asserted(F.col("value"))).alias("class_name"))
+
     def annotate(self, batch: DataFrame, label_set: str, source: str, batch_name: str | None = None) -> DataFrame:
-        """Write (item, sample_id, value), null values as skips; the verdicts of all rows."""
-        from lodestack.session import cut
+        """Write (item, sample_id, value), null values as skips; the verdicts of all rows.
 
+        Values that the label set's schema does not allow refuse the whole batch. A schema without a label type allows any.
+        """
         at = self.now
-        rows = at.read("label_set").where(F.col("name") == label_set).select("id").take(1)
-        if not rows:
-            raise CatalogError(f"no label set {label_set!r}")
-        verdicts = cut(history.write_answers(S.annotations(at), batch.withColumn("label_set_id", F.lit(rows[0].id)), source, batch_name))
+        held = self._label_set(at, label_set)
+        if json.loads(held.schema or "{}").get("label_type"):
+            wrong = batch.select("item", F.explode(faults(F.col("value"), F.lit(held.schema))).alias("fault")).orderBy("item").take(20)
+            if wrong:
+                raise CatalogError(f"values that {label_set!r} does not allow: {[(r['item'], r.fault) for r in wrong]}")
+        verdicts = cut(history.write_answers(S.annotations(at), batch.withColumn("label_set_id", F.lit(held.id)), source, batch_name))
         written = verdicts.where("verdict <> 'kept'").withColumn("state", F.when(F.col("value").isNull(), "skipped").otherwise("annotated")).withColumn("created_at", _now())
-        self._commit(at, {"annotation": S.with_ids(written, at.next_id("annotation"), "item")})
+        numbered = cut(S.with_ids(written, at.next_id("annotation"), "item"))
+        self._commit(at, {"annotation": numbered, "annotation_class": self._classes(numbered), "annotation_conflict": self._settled(at, numbered)})
         return verdicts
 
+    def _settled(self, at: S.Snapshot, written: DataFrame) -> DataFrame:
+        """Rows that end the open conflicts of what a person has now answered."""
+        open_ = at.read("annotation_conflict").select("sample_id", "label_set_id").distinct()
+        said = written.where("source = 'human'").select("sample_id", "label_set_id").distinct()
+        return open_.join(said, ["sample_id", "label_set_id"], "left_semi").withColumn("noticed_at", _now())
+
+    def conflicts(self) -> DataFrame:
+        """The open conflicts (sample_id, label_set_id, kept_value, other_value, ..) of live samples: of each the last noticed, unless an answer of a person ended it."""
+        at = self.now
+        last = at.read("annotation_conflict").groupBy("sample_id", "label_set_id").agg(F.max_by(F.struct("kept_value", "other_value", "other_origin", "noticed_at"), F.struct("noticed_at", F.col("other_value").isNull())).alias("c"))
+        return sync.disputed(last.select("sample_id", "label_set_id", "c.*").where("other_value is not null"), S.samples(at))
+
     def unskip(self, samples: DataFrame) -> int:
         """Withdraw the current skips of (sample_id, label_set_id)."""
         at = self.now
@@ -116,37 +189,60 @@ class Catalog:
 
     def merge(self, copy: Catalog) -> DataFrame:
         """Take over a copy's current answers, matched by bytes and type; the verdicts. Conflicts are recorded, not written."""
-        from lodestack.session import cut
-
         if self.identity() != copy.identity():
             raise CatalogError("only a copy of this catalog can be merged; import the answers of another")
         at = self.now
+        lists = self._merged_lists(at, copy.now)
         mine = S.samples(at).select(F.col("id").alias("sample_id"), "checksum", "media", "subtype")
         theirs = copy.samples().select(F.col("id").alias("their_id"), "checksum", "media", "subtype")
         sets = copy.now.read("label_set").select(F.col("id").alias("label_set_id"), "name").join(at.read("label_set").select(F.col("id").alias("mine"), "name"), "name")
         rows = copy.annotations().where("superseded_at is null").withColumnRenamed("sample_id", "their_id").join(theirs, "their_id").join(mine, ["checksum", "media", "subtype"]).join(sets, "label_set_id")
         incoming = rows.select("sample_id", F.col("mine").alias("label_set_id"), "state", "value", "source")
         verdicts = cut(sync.merge_verdicts(incoming, S.annotations(at)))
-        written = S.with_ids(verdicts.where("writes"), at.next_id("annotation"), "sample_id", "label_set_id").withColumn("created_at", _now())
-        clashes = verdicts.where("verdict = 'conflicted'").select("sample_id", "label_set_id", F.col("value").alias("other_value"), _now().alias("noticed_at"))
-        self._commit(at, {"annotation": written, "annotation_conflict": clashes})
+        written = cut(S.with_ids(verdicts.where("writes"), at.next_id("annotation"), "sample_id", "label_set_id").withColumn("created_at", _now()))
+        standing = S.annotations(at).where("superseded_at is null").groupBy("sample_id", "label_set_id").agg(F.max_by("value", "id").alias("kept_value"))
+        clashes = verdicts.where("verdict = 'conflicted'").join(standing, ["sample_id", "label_set_id"], "left")
+        clashes = clashes.select("sample_id", "label_set_id", "kept_value", F.col("value").alias("other_value"), F.lit("merge").alias("other_origin"), _now().alias("noticed_at"))
+        self._commit(at, {"annotation": written, "annotation_class": self._classes(written), "annotation_conflict": clashes, **lists})
         return verdicts
 
-    def import_answers(self, exported: DataFrame, dry_run: bool = False) -> DataFrame:
+    def _merged_lists(self, at: S.Snapshot, other: S.Snapshot) -> dict[str, DataFrame]:
+        """The list versions that only a copy has, with their members; one of the same name and version with another set or type refuses the merge."""
+        mine, theirs = at.read("list_version"), other.read("list_version")
+        kind = lambda df: F.concat_ws("/", df["media"], df["subtype"])
+        both = theirs.join(mine, (theirs["name"] == mine["name"]) & (theirs["version"] == mine["version"]))
+        if clash := both.where((theirs["digest"] != mine["digest"]) | (kind(theirs) != kind(mine))).select(theirs["name"], theirs["version"]).take(20):
+            raise CatalogError(f"lists that differ: {[f'{r.name}@{r.version}' for r in clash]}")
+        new = theirs.join(mine.select("name", "version"), ["name", "version"], "left_anti").withColumnRenamed("id", "their_id")
+        if not new.take(1):
+            return {}
+        numbered = cut(S.with_ids(new, at.next_id("list_version"), "name", "version"))
+        members = other.read("list_member").withColumnRenamed("list_id", "their_id").join(numbered.select("their_id", F.col("id").alias("list_id")), "their_id")
+        return {"list_version": numbered, "list_member": members.select("list_id", "checksum")}
+
+    def import_answers(self, exported: DataFrame, dry_run: bool = False, into: str | None = None, pairs: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
         """Take over another catalog's answers (rows as of ``sources.answers``); the verdict of every current row.
 
+        ``into`` names the label set that gets them instead of the one of their own name. ``pairs`` (old, new) name checksums that stand for others here; span answers of paired
+        samples are moved to the new text, given ``texts`` (checksum, text) of both, and spans whose text is gone are left out.
+
         Samples are matched by bytes and type. Current rows are written where the verdict says so, as imported; the history of a written or already
         held answer arrives with it, marked so that it is never read as an answer. A dry run writes nothing.
         """
-        from lodestack.session import cut
-
         if exported.where(F.col("catalog_id") == self.identity()).take(1):
             raise CatalogError("these answers came from this catalog")
         at = self.now
-        items = cut(exported.withColumn("item", F.monotonically_increasing_id()))
+        items = exported.withColumn("item", F.monotonically_increasing_id()).withColumn("old", F.col("checksum"))
+        if into:
+            items = items.withColumn("label_set", F.lit(self._label_set(at, into).name))
+        if pairs is not None:
+            items = items.join(pairs.select(F.col("old").alias("checksum"), "new"), "checksum", "left").withColumn("checksum", F.coalesce("new", "checksum")).drop("new")
+        items = cut(items)
         matched = sync.match_samples(items.select("item", "checksum", "type"), S.samples(at)).where("matched = 'matched'").select("item", "sample_id")
         sets = at.read("label_set").select(F.col("id").alias("label_set_id"), F.col("name").alias("label_set"))
-        rows = items.join(matched, "item").join(sets, "label_set").select("sample_id", "label_set_id", F.explode("rows").alias("r")).select("sample_id", "label_set_id", "r.*")
+        rows = items.join(matched, "item").join(sets, "label_set").select("sample_id", "label_set_id", "old", "checksum", F.explode("rows").alias("r")).select("sample_id", "label_set_id", "old", "checksum", "r.*")
+        if pairs is not None:
+            rows = _moved(cut(rows.withColumn("row", F.monotonically_increasing_id())), texts)
         rows = cut(rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).withColumn("superseded_at", F.col("superseded_at").cast("timestamp_ntz")))
         log = S.annotations(at)
         current = rows.where("superseded_at is null").select("sample_id", "label_set_id", "state", "value", "source", "created_at")
@@ -162,7 +258,8 @@ class Catalog:
         both = past.select(*key, "batch", "superseded_at", F.lit(0).alias("stands")).unionByName(written.withColumn("superseded_at", F.lit(None).cast("timestamp_ntz")).withColumn("stands", F.lit(1)))
         numbered = cut(S.with_ids(both, at.next_id("annotation"), "stands", "sample_id", "label_set_id", "created_at"))
         arrived = numbered.where("stands = 0").select(F.lit("arrived").alias("kind"), "sample_id", F.col("id").alias("annotation_id"), _now().alias("at"))
-        self._commit(at, {"annotation": numbered, "event": S.with_ids(arrived, at.next_id("event"), "annotation_id")})
+        clashes = verdicts.where("verdict = 'conflicted'").select("sample_id", "label_set_id", F.col("value").alias("other_value"), F.lit("import").alias("other_origin"), _now().alias("noticed_at"))
+        self._commit(at, {"annotation": numbered, "annotation_class": self._classes(numbered), "annotation_conflict": clashes, "event": S.with_ids(arrived, at.next_id("event"), "annotation_id")})
         return verdicts
 
     # lists, raw files and preparation ------------------------------------------------------------------------------
@@ -215,8 +312,8 @@ class Catalog:
         continued.
         """
         from lodestack.operators import lineage
-        from lodestack.session import cut
 
+        self.types.refuse_generated(spec["output"]["type"], "a prepare run")
         at, chain = self.now, lineage.chain_identity(spec)
         media, subtype = split_type(spec["output"]["type"])
         runs = at.read("run").where("kind = 'prepare'")
@@ -270,53 +367,138 @@ class Catalog:
         return Mark(**top)
 
     def select(self, spec: Spec, mark: Mark = Mark(), lists: dict[str, DataFrame] | None = None) -> selection.Selection:
+        """Run a selection as of a mark, its lists looked up unless given. A condition on a key of another kind, or that no candidate has, is refused."""
         at = self.now
-        return selection.run_selection(spec, at.read("sample"), at.read("sample_collection"), at.read("annotation"), at.read("label_set"), lists, mark, at.read("event"))
-
-    def freeze(self, name: str, spec: Spec, val_ratio: float, holdout_ratio: float, seed: int, group_by: str | None = None) -> tuple[int, bool]:
-        """Freeze a selection as the next version of a name: (dataset id, whether an identical latest version was reused).
-
-        Sides are inherited from the latest version, so that a sample keeps its side from version to version.
+        self._label_set(at, spec.label_set)
+        lists = lists or self.lists([*spec.include, *spec.exclude])
+        chosen = selection.run_selection(spec, at.read("sample"), at.read("sample_collection"), at.read("annotation"), at.read("label_set"), lists, mark, at.read("event"))
+        if spec.where is not None:
+            selection.check_keys(spec.where, chosen.candidates, self.types.declared(list(spec.types)))
+        return chosen
+
+    def _settle(self, members: DataFrame, option: str, mark: Mark) -> tuple[DataFrame, str | None, dict[str, int]]:
+        """Members without those fine-tuning examples whose origins disagree on their input, if they are to be dropped; the option, null if there are no examples; what was counted."""
+        at = self.now
+        typed = S.samples(at).select("id", F.concat_ws("/", "media", "subtype").alias("type"), "metadata").join(members, "id")
+        inputs = {r.type: t.inputs for r in typed.select("type").distinct().collect() if (t := self.types.example(r.type)) is not None}
+        if option not in ("drop", "first"):
+            raise CatalogError(f"disagreeing inputs: drop or first, not {option!r}")
+        if not inputs:
+            return members, None, {}
+        from lodestack.sources import runs
+
+        own = typed.where(F.col("type").isin(*inputs))
+        origins = selection.upto(at.read("origin"), mark.origin).select(F.col("id").alias("origin"), F.col("sample_id").alias("id"), F.col("metadata").alias("given"))
+        seen = own.join(origins, "id", "left").withColumn("seen", runs.merged("metadata", "given"))
+        text = F.lit(None).cast("string")
+        for name, keys in inputs.items():
+            text = F.when(F.col("type") == name, F.to_json(F.array(*[F.coalesce(F.get_json_object("seen", f"$['{k}']"), F.lit("")) for k in keys]))).otherwise(text)
+        settled, kept = versions.settle_inputs(seen.select(F.coalesce("origin", F.lit(0)).alias("id"), F.col("id").alias("sample_id"), text.alias("input")), option)
+        wrong = settled.where("inputs > 1").select(F.col("sample_id").alias("id"))
+        n = wrong.count()
+        if option == "first":
+            return members, option, {"disagreeing": n, "kept_first": n}
+        return cut(members.join(wrong, "id", "left_anti")), option, {"disagreeing": n, "left_out": n}
+
+    def freeze(
+        self, name: str, spec: Spec | None = None, val_ratio: float = 0.1, holdout_ratio: float = 0.0, seed: int = 0, group_by: str | None = None, *, ids: DataFrame | None = None, label_set: str | None = None,
+        given: versions.GivenSplit | None = None, given_lists: dict[str, list[str]] | None = None, disagreeing: str = "drop", inherit: bool = True, mark: Mark | None = None,
+    ) -> tuple[int, bool]:
+        """Freeze a selection, or given samples (id), as the next version of a name: (dataset id, whether an identical latest version was reused).
+
+        Sides are inherited from the latest version, so that a sample keeps its side from version to version, unless ``inherit`` is off. ``given`` fixes the sides of the
+        samples it names, by a key or by ``given_lists`` {side: list refs}; where that contradicts an inherited side it is refused.
         """
-        from lodestack.session import cut
-
-        at, mark = self.now, self.mark()
-        members = cut(self.select(spec, mark).members)
+        if (spec is None) == (ids is None):
+            raise CatalogError("freeze either a selection or given samples")
+        if spec is not None and label_set not in (None, spec.label_set):
+            raise CatalogError(f"the selection is of label set {spec.label_set!r}, not {label_set!r}")
+        at, mark = self.now, mark or self.mark()
+        label = self._label_set(at, spec.label_set if spec is not None else label_set or "")
+        counts: dict = {}
+        if spec is not None:
+            chosen = self.select(spec, mark)
+            members = cut(chosen.members)
+            counts = {f"{r.what}:{r.name}" if r.name else r.what: r.n for r in chosen.counts().collect()}
+            if not members.take(1):
+                raise CatalogError(f"the selection chose nothing: {counts}")
+        else:
+            live = S.samples(at).where("deleted_at is null")
+            if absent := [r.id for r in ids.select("id").join(live, "id", "left_anti").orderBy("id").take(20)]:
+                raise CatalogError(f"no live samples {absent}")
+            members = cut(ids.select(F.col("id").cast("bigint").alias("id")).distinct())
+            if not members.take(1):
+                raise CatalogError("no samples were given")
+        members, option, settled = self._settle(members, disagreeing, mark)
         if not members.take(1):
-            raise CatalogError("the selection chose nothing")
-        sample = at.read("sample")
-        answers = selection.answers_asof(at.read("annotation"), mark, at.read("event")).select(F.col("sample_id").alias("sid"), "label_set_id", "state", "source", "value")
-        label_set = at.read("label_set").where(F.col("name") == spec.label_set).first().id
-        said = members.join(answers.where(F.col("label_set_id") == label_set), F.col("id") == F.col("sid")).select(F.to_json(F.array(F.col("sid").cast("string"), "state", "source", "value")).alias("said"))
-        digest, _ = set_digest(said, "said")
+            raise CatalogError(f"the inputs of every member disagree: {settled}")
+        counts |= {f"inputs:{k}": n for k, n in settled.items()}
+
+        answers = selection.answers_asof(at.read("annotation"), mark, at.read("event")).where(F.col("label_set_id") == label.id)
+        said = answers.select(F.col("sample_id").alias("id"), "state", "source", "value").join(members, "id")
+        made = V.set_digests(said.select(F.lit(0).cast("bigint").alias("g"), "id", _answer_text("id", "state", "source", "value").alias("said")), "g", "said", order="id").take(1)
+        digest = made[0].digest if made else hashlib.sha256(b"").hexdigest()
+        record = json.dumps((given.record() if given else {}) | ({"lists": given_lists} if given_lists else {})) if given or given_lists else None
         past = at.read("dataset").where(F.col("name") == name).orderBy(F.desc("version")).take(1)
         inherited = None
         if past:
             sides = at.read("dataset_member").where(F.col("dataset_id") == past[0].id).select(F.col("sample_id").alias("id"), "side")
-            same = (past[0].spec_hash, past[0].annotation_digest, past[0].val_ratio, past[0].holdout_ratio, past[0].group_by) == (spec.hash(), digest, val_ratio, holdout_ratio, group_by)
-            if same and not sides.select("id").exceptAll(members).take(1) and not members.exceptAll(sides.select("id")).take(1):
+            was = (past[0].spec_hash, past[0].annotation_digest, past[0].val_ratio, past[0].holdout_ratio, past[0].group_by, past[0].given_split, past[0].disagreeing_inputs)
+            now = (spec.hash() if spec is not None else None, digest, val_ratio, holdout_ratio, group_by, record, option)
+            drawn = inherit or (past[0].sides_from_version == past[0].version and past[0].seed == seed)
+            if was == now and drawn and not sides.select("id").exceptAll(members).take(1) and not members.exceptAll(sides.select("id")).take(1):
                 return past[0].id, True
-            inherited = sides
+            inherited = sides if inherit else None
+        known = members.join(S.samples(at).select("id", "checksum", "metadata"), "id")
+        fixed = None
+        if given or given_lists:
+            lists = None
+            for side, refs in sorted((given_lists or {}).items()):
+                for ref, rows in self.lists(refs).items():
+                    one = rows.select("checksum", F.lit(side).alias("side"))
+                    lists = one if lists is None else lists.union(one)
+            fixed = cut((given or versions.GivenSplit()).named(known, lists))
+            if inherited is not None and (moved := fixed.join(inherited.select("id", F.col("side").alias("was")), "id").where("side <> was").count()):
+                raise CatalogError(f"the given split moves {moved} samples off the side of the version before; freeze without inheriting to draw afresh")
         grp = F.get_json_object("metadata", f"$['{group_by}']") if group_by else F.lit(None).cast("string")
-        sided = cut(versions.assign_sides(members.join(sample, "id").select("id", grp.alias("grp"), "checksum"), val_ratio, holdout_ratio, seed, inherited))
-        counts = {r.side: r.n for r in sided.groupBy("side").agg(F.count("*").alias("n")).collect()}
-        total, number = sum(counts.values()), at.next_id("dataset")
-        row = (number, name, past[0].version + 1 if past else 1, label_set, json.dumps(spec.canonical()), spec.hash(), json.dumps(mark.__dict__), digest, val_ratio, counts.get("val", 0) / total, holdout_ratio, counts.get("holdout", 0) / total, group_by, seed)
-        header = self.spark.createDataFrame([row], "id bigint, name string, version int, label_set_id bigint, spec string, spec_hash string, watermark string, annotation_digest string, val_ratio double, val_achieved double, holdout_ratio double, holdout_achieved double, group_by string, seed bigint")
-        self._commit(at, {"dataset": header.withColumn("created_at", _now()), "dataset_member": sided.select(F.lit(number).alias("dataset_id"), F.col("id").alias("sample_id"), "side")})
+        sided = cut(versions.assign_sides(known.select("id", grp.alias("grp"), "checksum"), val_ratio, holdout_ratio, seed, inherited, fixed))
+        by = {r.side: r.n for r in sided.groupBy("side").agg(F.count("*").alias("n")).collect()}
+        total, number, version = sum(by.values()), at.next_id("dataset"), past[0].version + 1 if past else 1
+        start = past[0].sides_from_version if past and inherit else version
+        row = {
+            "id": number, "name": name, "version": version, "label_set_id": label.id, "spec": json.dumps(spec.canonical()) if spec is not None else None, "spec_hash": spec.hash() if spec is not None else None,
+            "watermark": json.dumps(mark.__dict__) if spec is not None else None, "selection": json.dumps(counts), "annotation_digest": digest, "val_ratio": float(val_ratio), "val_achieved": by.get("val", 0) / total,
+            "holdout_ratio": float(holdout_ratio), "holdout_achieved": by.get("holdout", 0) / total, "group_by": group_by, "sides_from_version": start, "seed": seed, "given_split": record, "disagreeing_inputs": option, "created_at": None,
+        }
+        header = self.spark.createDataFrame([row], TABLES["dataset"]).withColumn("created_at", _now())
+        self._commit(at, {"dataset": header, "dataset_member": sided.select(F.lit(number).alias("dataset_id"), F.col("id").alias("sample_id"), "side")})
         return number, False
 
+    def dataset(self, number: int):
+        rows = self.now.read("dataset").where(F.col("id") == number).take(1)
+        if not rows:
+            raise CatalogError(f"no version {number}")
+        return rows[0]
+
     def verify_dataset(self, dataset: int) -> list[str]:
-        """Replay a version's spec at its mark: what of its members differs."""
-        at = self.now
-        rows = at.read("dataset").where(F.col("id") == dataset).take(1)
-        if not rows or not rows[0].spec:
-            raise CatalogError(f"no version {dataset} with a spec")
-        tree = json.loads(rows[0].spec)["select"]
-        spec = Spec(tuple(tree["types"]), tree["label_set"], tuple(tree["collections"]) if "collections" in tree else None, tuple(tree.get("sources", ())), selection.condition(_conditions(tree["where"])) if "where" in tree else None)
-        said = [] if content_hash({"select": tree}) == rows[0].spec_hash else ["the spec does not hash to what was recorded"]
-        members = self.select(spec, Mark(**json.loads(rows[0].watermark))).members
-        frozen = at.read("dataset_member").where(F.col("dataset_id") == dataset).select(F.col("sample_id").alias("id"))
+        """Replay a version's spec at its mark, its lists and settled inputs too: what of its members and counts differs."""
+        held = self.dataset(dataset)
+        if not held.spec:
+            raise CatalogError(f"version {dataset} was frozen without a spec")
+        tree = json.loads(held.spec)["select"]
+        lists = tree.get("lists", {})
+        spec = Spec(tuple(tree["types"]), tree["label_set"], tuple(tree["collections"]) if "collections" in tree else None, tuple(tree.get("sources", ())),
+                    selection.condition(_conditions(tree["where"])) if "where" in tree else None, tuple(lists.get("include", ())), tuple(lists.get("exclude", ())))
+        said = [] if content_hash({"select": tree}) == held.spec_hash else ["the spec does not hash to what was recorded"]
+        mark = Mark(**json.loads(held.watermark))
+        chosen = self.select(spec, mark)
+        members = cut(chosen.members)
+        counts = {f"{r.what}:{r.name}" if r.name else r.what: r.n for r in chosen.counts().collect()}
+        recorded = json.loads(held.selection or "{}")
+        said += [f"{what} was {recorded[what]} and is {n}" for what, n in sorted(counts.items()) if what in recorded and recorded[what] != n]
+        if held.disagreeing_inputs:
+            members, _, _ = self._settle(members, held.disagreeing_inputs, mark)
+        frozen = self.now.read("dataset_member").where(F.col("dataset_id") == dataset).select(F.col("sample_id").alias("id"))
         for what, extra in (("no longer selected", frozen.exceptAll(members)), ("selected but not frozen", members.exceptAll(frozen))):
             if n := extra.count():
                 said.append(f"{n} {what}")
@@ -346,6 +528,33 @@ class Catalog:
         return number
 
 
+@F.pandas_udf(StringType())
+def _answer_text(sample: pd.Series, state: pd.Series, source: pd.Series, value: pd.Series) -> pd.Series:
+    """Answers as they enter a version's digest."""
+
+    def one(sample: int, state: str, source: str, value: str | None) -> str:
+        try:
+            said = json.loads(value) if value is not None else None
+        except ValueError:
+            said = value
+        return json.dumps([int(sample), state, source, said])
+
+    return pd.Series([one(*x) for x in zip(sample, state, source, value)], dtype=object)
+
+
+def _moved(rows: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """Rows (row, old, checksum, value, ..) with the span answers of paired samples moved to the new text."""
+    from lodestack.operators.remap import remap
+
+    paired = rows.where("old <> checksum and get_json_object(value, '$.kind') = 'spans'")
+    if texts is None:
+        return rows
+    text = lambda key, name: texts.select(F.col("checksum").alias(key), F.col("text").alias(name))
+    both = paired.join(text("old", "old_text"), "old", "left").join(text("checksum", "new_text"), "checksum", "left")
+    made = remap(both.select(F.col("row").alias("item"), "value", "old_text", "new_text")).select(F.col("item").alias("row"), F.col("value").alias("moved"))
+    return rows.join(made, "row", "left").withColumn("value", F.coalesce("moved", "value")).drop("moved", "row", "old", "checksum")
+
+
 def _conditions(tree: dict) -> dict:
     """A stored condition with the values of ``in`` as they were."""
     if isinstance(tree, dict):

@@ -158,6 +158,21 @@ class GivenSplit:
         side = F.when(group.isin([f"g:{v}" for v in self.holdout]), "holdout").when(group.isin([f"g:{v}" for v in self.val]), "val").otherwise("train")
         return members.select("id", side.alias("side"))
 
+    def named(self, members: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+        """(id, side) of those members (id, checksum, metadata) only that the key or a list (checksum, side) puts on holdout or val, and of all with their bytes.
+
+        Bytes that would come to stand on two sides are refused.
+        """
+        sided = self.with_lists(members, lists) if lists is not None else self.sides(members)
+        held = sided.where("side <> 'train'").join(members.select("id", "checksum"), "id").select("checksum", "side").distinct()
+        if torn := [r.checksum for r in torn_bytes(held).orderBy("checksum").take(20)]:
+            raise CatalogError(f"bytes on two sides: {torn}")
+        return members.select("id", "checksum").join(held, "checksum").select("id", "side")
+
+    def record(self) -> dict:
+        """How a version records the split."""
+        return {"key": self.key, "holdout": sorted(self.holdout), "val": sorted(self.val)}
+
     def with_lists(self, members: DataFrame, lists: DataFrame) -> DataFrame:
         """(id, side) as ``sides``, but the bytes that ``lists`` (checksum, side) names take the side named there, whatever their type.
 

@@ -1,12 +1,7 @@
-"""Files, blobs and tar shards."""
+"""Files, raw intake and the layout of tar shards."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,7 +12,10 @@ SHARD_BYTES = 512 << 20
 
 
 def files_under(spark: SparkSession, root: str, listed: list[str] | None = None) -> DataFrame:
-    """(path, length, checksum, content) of the files under a folder, paths relative to it, or of a listed subset; a listed path that leaves the folder or is absent refuses the whole."""
+    """(path, length, checksum, content) of the files under a folder, paths relative to it, or of a listed subset; a listed path that leaves the folder or is absent refuses the whole.
+
+    The content is a row's value here, so files of more than 2 GB need ``blobs.hash_files``.
+    """
     root = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     plain = F.regexp_replace("path", "^file:/+", "/")
@@ -71,70 +69,6 @@ def shard_plan(blobs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return placed.join(first, "shard").select("checksum", "length", "shard", (F.col("at") - F.col("from") + 512).alias("offset"))
 
 
-def write_shards(planned: DataFrame, root: str) -> DataFrame:
-    """Write rows (shard, offset, checksum, content) as one tar per shard under a shared folder; (container, checksum, offset, length) of every member.
-
-    A shard is written under a task's own name and renamed, so a task that runs again leaves one whole file.
-    """
-    import os
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tar = part = shard = None
-        rows: list[tuple] = []
-
-        def close() -> None:
-            tar.close()
-            os.replace(part, f"{root}/shard-{shard:08d}.tar")
-
-        for batch in batches:
-            for s, checksum, content in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if s != shard:
-                    if tar is not None:
-                        close()
-                    os.makedirs(root, exist_ok=True)
-                    shard, part = s, f"{root}/.shard-{s:08d}-{os.getpid()}.partial"
-                    tar = tarfile.open(part, "w", format=tarfile.USTAR_FORMAT)
-                info = tarfile.TarInfo(checksum)
-                info.size = len(content)
-                at = tar.offset + 512
-                tar.addfile(info, io.BytesIO(content))
-                rows.append((f"shard-{s:08d}.tar", checksum, at, len(content)))
-        if tar is not None:
-            close()
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["container", "checksum", "offset", "length"])
-
-    ordered = planned.select("shard", "offset", "checksum", "content").repartition("shard").sortWithinPartitions("shard", "offset")
-    return ordered.mapInArrow(run, "container string, checksum string, offset bigint, length bigint")
-
-
-def fetch(located: DataFrame, root: str) -> DataFrame:
-    """(checksum, content) of rows (container, offset, length, checksum): each container is opened once by the task that has its rows, bytes that do not hash are refused."""
-    import hashlib
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, name = None, None
-        for batch in batches:
-            sums, data = [], []
-            for container, offset, length, checksum in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if container != name:
-                    if file:
-                        file.close()
-                    file, name = open(f"{root}/{container}", "rb"), container
-                file.seek(offset)
-                content = file.read(length)
-                if hashlib.sha256(content).hexdigest() != checksum:
-                    raise CatalogError(f"{container} at {offset} is not {checksum}")
-                sums.append(checksum)
-                data.append(content)
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array(data, pa.binary())], ["checksum", "content"])
-        if file:
-            file.close()
-
-    rows = located.select("container", "offset", "length", "checksum").repartition("container").sortWithinPartitions("container", "offset")
-    return rows.mapInArrow(run, "checksum string, content binary")
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(item): the lines of a text file, one checksum or name each; blank ones left out, repeated ones once."""
     return spark.read.text(path).select(F.trim("value").alias("item")).where("item <> ''").distinct()

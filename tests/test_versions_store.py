@@ -14,7 +14,7 @@ from lodestack.functions.values import CatalogError
 from lodestack.operators import lineage, versions
 from lodestack.operators.components import components
 from lodestack.operators.remap import remap_spans
-from lodestack.sources import answers, files
+from lodestack.sources import answers, blobs, files
 
 
 def test_components_against_union_find(spark):
@@ -183,16 +183,16 @@ def test_files_raw_ingest_and_shards(spark, tmp_path):
         files.raw_ingest(found, raw.selectExpr("collection", "path", "'0' as checksum"), "col")
 
     content = [(n, bytes([n % 251]) * (n * 37 % 1500)) for n in range(40)]
-    blobs = spark.createDataFrame([(hashlib.sha256(c + bytes([n])).hexdigest(), n, c + bytes([n])) for n, c in content], "checksum string, first_id bigint, content binary").selectExpr("*", "length(content) as length")
-    plan = files.shard_plan(blobs.select("checksum", "length", "first_id"), 8192)
+    stock = spark.createDataFrame([(hashlib.sha256(c + bytes([n])).hexdigest(), n, c + bytes([n])) for n, c in content], "checksum string, first_id bigint, content binary").selectExpr("*", "length(content) as length")
+    plan = files.shard_plan(stock.select("checksum", "length", "first_id"), 8192)
     rows = sorted((r.shard, r.offset, r.length) for r in plan.collect())
     assert len(rows) == 40 and len({r[0] for r in rows}) > 3 and all(b[0] > a[0] or b[1] >= a[1] + a[2] for a, b in zip(rows, rows[1:]))
     root = f"{tmp_path}/shards"
-    located = files.write_shards(plan.join(blobs.select("checksum", "content"), "checksum"), root)
+    located = blobs.write_shards(plan.join(stock.select("checksum", "content"), "checksum"), root)
     made = spark.createDataFrame(located.collect(), located.schema)
     planned = {r.checksum: r.offset for r in plan.collect()}
     assert {r.checksum: r.offset for r in made.collect()} == planned
-    assert {(r.checksum, bytes(r.content)) for r in files.fetch(made, root).collect()} == {(r.checksum, bytes(r.content)) for r in blobs.collect()}
+    assert {(r.checksum, bytes(r.content)) for r in blobs.fetch(made, root).collect()} == {(r.checksum, bytes(r.content)) for r in stock.collect()}
     with tarfile.open(fileobj=io.BytesIO(open(f"{root}/{made.first().container}", "rb").read())) as tar:
         assert tar.getnames()
 
