@@ -6,11 +6,12 @@ import datetime
 import hashlib
 import json
 import os
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lodestack import store as S
 from lodestack.functions import values as V
@@ -187,8 +188,8 @@ class Catalog:
         rows = history.unskip(S.annotations(at), samples).select(F.lit("withdrawn").alias("kind"), "sample_id", F.col("id").alias("annotation_id"), _now().alias("at"))
         return self._commit(at, {"event": S.with_ids(rows, at.next_id("event"), "sample_id", "annotation_id")})
 
-    def merge(self, copy: Catalog) -> DataFrame:
-        """Take over a copy's current answers, matched by bytes and type; the verdicts. Conflicts are recorded, not written."""
+    def merge(self, copy: Catalog, dry_run: bool = False) -> DataFrame:
+        """Take over a copy's current answers, matched by bytes and type, and its lists; the verdicts. Conflicts are recorded, not written. A dry run writes nothing."""
         if self.identity() != copy.identity():
             raise CatalogError("only a copy of this catalog can be merged; import the answers of another")
         at = self.now
@@ -199,6 +200,8 @@ class Catalog:
         rows = copy.annotations().where("superseded_at is null").withColumnRenamed("sample_id", "their_id").join(theirs, "their_id").join(mine, ["checksum", "media", "subtype"]).join(sets, "label_set_id")
         incoming = rows.select("sample_id", F.col("mine").alias("label_set_id"), "state", "value", "source")
         verdicts = cut(sync.merge_verdicts(incoming, S.annotations(at)))
+        if dry_run:
+            return verdicts
         written = cut(S.with_ids(verdicts.where("writes"), at.next_id("annotation"), "sample_id", "label_set_id").withColumn("created_at", _now()))
         standing = S.annotations(at).where("superseded_at is null").groupBy("sample_id", "label_set_id").agg(F.max_by("value", "id").alias("kept_value"))
         clashes = verdicts.where("verdict = 'conflicted'").join(standing, ["sample_id", "label_set_id"], "left")
@@ -342,8 +345,78 @@ class Catalog:
         })
         return counts | {"run": number}
 
-    def verify_run(self, number: str) -> list[str]:
-        """What of a run's recorded counts does not meet its tables."""
+    def commit_directory(self, root: str) -> dict[str, int]:
+        """Commit the derive or generate run of a folder."""
+        from lodestack.sources import runs
+
+        run, outputs = runs.read_directory(self.spark, root)
+        return self.commit_run(run, outputs)
+
+    def commit_run(self, run, outputs: DataFrame, blobs: str | None = None) -> dict[str, int]:
+        """Check a derive or generate run (``sources.runs.Run``) and its outputs (file, origins, generation, content) whole, then write it as one commit; its counts.
+
+        A sample's metadata are the facts of its bytes, then those of its origins, of each key the first; new samples take them, live ones are described by them, tombstoned ones stay as they are.
+        """
+        from lodestack.sources import runs
+
+        run.check(self.types)
+        at = self.now
+        outputs = cut(outputs.select("file", "origins", "generation", "content"))
+        if not run.left_out and not outputs.take(1):
+            raise CatalogError("the run has no outputs and counts nothing it left out")
+        stored = runs.canonical_files(outputs.where("content is not null").select(F.col("file").alias("path"), "content"), self.types, run.type)
+        stored = cut(stored.select(F.col("path").alias("file"), "facts", "fault", "canonical", F.sha2("canonical", 256).alias("checksum")))
+        runs.refuse(runs.output_problems(run, outputs, stored, self.types), f"the outputs of the {run.kind} run")
+        samples = S.samples(at).withColumn("type", F.concat_ws("/", "media", "subtype"))
+        live = samples.where("deleted_at is null").select("checksum", "type", F.col("metadata").alias("held"))
+        named = outputs.select("file", F.posexplode_outer("origins").alias("place", "o")).where("o is not null")
+        inputs = named.select("o.checksum", "o.type").distinct()
+        copied = outputs.select(F.explode("generation.copied_from").alias("c")).select("c.checksum", "c.type", "c.field").distinct()
+        unknown = inputs.join(live, ["checksum", "type"], "left_anti").union(copied.select("checksum", "type").distinct().join(live, ["checksum", "type"], "left_anti"))
+        fields = copied.join(live, ["checksum", "type"]).where(~F.coalesce(F.array_contains(F.json_object_keys("held"), F.col("field")), F.lit(False)))
+        runs.refuse(unknown.select(F.concat_ws(" ", F.lit("no live sample"), "type", "checksum").alias("problem")).union(fields.select(F.concat_ws(" ", "type", "checksum", F.lit("has no"), "field").alias("problem"))), "what the run names")
+
+        media, subtype = split_type(run.type)
+        number = run_id(datetime.datetime.now(datetime.UTC), os.uname().nodename)
+        held = samples.where((F.col("media") == media) & (F.col("subtype") == subtype)).select("checksum", F.col("id").alias("held"), F.col("metadata").alias("had"), F.col("deleted_at").alias("gone"))
+        one = stored.groupBy("checksum").agg(F.min_by("facts", "file").alias("facts"), F.max(F.length("canonical")).alias("length")).join(held, "checksum", "left")
+        new = cut(S.with_ids(one.where("held is null"), at.next_id("sample"), "checksum"))
+        ids = cut(new.select("checksum", "id").union(one.where("held is not null").select("checksum", F.col("held").alias("id"))))
+        made = stored.select("file", "checksum").join(ids, "checksum").select("file", F.col("id").alias("sample_id"))
+        rows = made.join(named, "file").select("sample_id", F.lit("sample").alias("input_kind"), F.col("o.checksum").alias("input"), F.col("o.type").alias("input_type"), F.col("o.role").alias("role"), F.col("o.position").alias("position"), F.col("o.metadata").alias("metadata"), "file", "place")
+        first = rows.groupBy("sample_id", "input_kind", "input", "input_type", "role").agg(F.min_by(F.struct("position", "metadata", "file", "place"), F.struct("file", "place")).alias("f"))
+        origins = cut(S.with_ids(first.select("sample_id", "input_kind", "input", "input_type", "role", "f.*"), at.next_id("origin"), "file", "place", "sample_id"))
+        said = made.join(outputs.where("generation is not null").select("file", "generation"), "file").select("sample_id", "generation.*").withColumn("copied_from", F.to_json("copied_from")).distinct()
+        generations = cut(S.with_ids(said, at.next_id("generation"), "sample_id"))
+
+        # facts first, then all recorded origins in their order
+        pairs = one.join(ids, "checksum").select(F.col("id").alias("sample_id"), F.lit(0).cast("bigint").alias("at"), F.col("facts").alias("metadata"))
+        past = at.read("origin").select("sample_id", F.col("id").alias("at"), "metadata").join(ids.select(F.col("id").alias("sample_id")), "sample_id", "left_semi")
+        pairs = pairs.union(past).union(origins.select("sample_id", F.col("id").alias("at"), "metadata"))
+        merged = cut(combined(pairs))
+        known = one.where("held is not null and gone is null").join(merged.withColumnRenamed("sample_id", "held"), "held", "left").where("not (had <=> metadata)")
+        described = known.select(F.lit("described").alias("kind"), F.col("held").alias("sample_id"), F.to_json(F.struct(F.lit(subtype).alias("subtype"), F.col("had").alias("metadata"))).alias("before"), F.to_json(F.struct("metadata")).alias("after"), _now().alias("at"))
+        wanted = ids.select(F.col("id").alias("sample_id"), F.explode(F.array(*map(F.lit, sorted(set(run.collections))))).alias("collection"))
+        fresh = wanted.join(at.read("sample_collection").select("sample_id", "collection"), ["sample_id", "collection"], "left_anti")
+        counts = {
+            "outputs": outputs.count(), "samples": ids.count(), "new_samples": new.count(), "inputs": inputs.count(), "origins": origins.count(), "generations": generations.count(), "left_out": dict(sorted(run.left_out.items())),
+        }
+        header = [(number, run.kind, run.producer, json.dumps(run.code) if run.code else None, json.dumps(run.spec), content_hash(run.spec), json.dumps(counts))]
+        self._commit(at, {
+            "run": self.spark.createDataFrame(header, "id string, kind string, producer string, code string, spec string, spec_hash string, counts string").withColumn("started_at", _now()).withColumn("finished_at", _now()),
+            "run_input": inputs.select(F.lit(number).alias("run_id"), "checksum").distinct(),
+            "sample": new.join(merged.withColumnRenamed("sample_id", "id"), "id", "left").select("id", "checksum", F.lit(media).alias("media"), F.lit(subtype).alias("subtype"), "metadata", "length", _now().alias("ingested_at")),
+            "sample_collection": S.with_ids(fresh, at.next_id("sample_collection"), "sample_id", "collection").withColumn("added_at", _now()),
+            "origin": origins.withColumn("run_id", F.lit(number)).withColumn("recorded_at", _now()),
+            "generation": generations.withColumn("run_id", F.lit(number)).withColumn("recorded_at", _now()),
+            "event": S.with_ids(described, at.next_id("event"), "sample_id"),
+        })
+        if blobs:
+            self.place(stored.select("checksum", F.lit("").alias("ending"), F.col("canonical").alias("content")).dropDuplicates(["checksum"]), blobs)
+        return counts | {"run": number}
+
+    def verify_run(self, number: str, blobs: str | None = None) -> list[str]:
+        """What of a run's recorded counts does not meet its tables; with ``blobs`` the bytes of all its samples are read and hashed too."""
         from lodestack.operators.lineage import verify_counts
 
         at = self.now
@@ -352,12 +425,148 @@ class Catalog:
             raise CatalogError(f"no run {number}")
         counts = json.loads(rows[0].counts or "{}")
         mine = lambda table: at.read(table).where(F.col("run_id") == number)
+        made = mine("origin").select("sample_id").union(mine("generation").select("sample_id")).distinct()
+        alive = S.samples(at).where("deleted_at is null")
+        live = alive.join(made.select(F.col("sample_id").alias("id")), "id", "left_semi")
         if rows[0].kind == "ingest":
             counts |= {"inputs_recorded": mine("run_input").count(), "rows": mine("raw").count()}
-        elif rows[0].kind == "prepare":
-            alive = S.samples(at).where("deleted_at is null").select(F.col("id").alias("sample_id"))
-            counts |= {"live_samples": mine("origin").select("sample_id").distinct().join(alive, "sample_id", "left_semi").count()}
-        return verify_counts(rows[0].kind, counts)
+        elif rows[0].kind == "import":
+            counts |= {"carried": at.read("annotation").where(F.col("run_id") == number).count()}
+        else:
+            counts |= {"origins_recorded": mine("origin").count(), "generations_recorded": mine("generation").count(), "live_samples": live.count()}
+        said = verify_counts(rows[0].kind, counts)
+        if blobs:
+            from lodestack.sources.blobs import fetch
+
+            wanted = live.select("checksum").distinct()
+            located = self.locations().join(wanted, "checksum", "left_semi")
+            if lost := wanted.join(located.select("checksum"), "checksum", "left_anti").count():
+                said.append(f"{lost} blobs are nowhere")
+            try:
+                fetch(located, blobs).select("checksum").write.format("noop").mode("overwrite").save()
+            except Exception as bad:
+                said.append(f"blobs that do not read back: {str(bad).splitlines()[0]}")
+        return said
+
+    # blobs ---------------------------------------------------------------------------------------------------------
+
+    def locations(self) -> DataFrame:
+        """(checksum, container, offset, length): where each blob was placed last."""
+        last = self.now.read("location").groupBy("checksum").agg(F.max_by(F.struct("container", "offset", "length"), F.struct("placed_at", "container")).alias("l"))
+        return last.select("checksum", "l.*")
+
+    def place(self, content: DataFrame, root: str) -> int:
+        """Store blobs (checksum, ending, content) under a folder and record where; one that has a place already keeps it."""
+        from lodestack.sources.blobs import put
+
+        fresh = content.join(self.locations().select("checksum"), "checksum", "left_anti")
+        placed = cut(put(fresh, root)).withColumn("placed_at", _now())
+        return self._commit(self.now, {"location": placed})
+
+    def repack(self, source: str, target: str, shard_bytes: int | None = None, dry_run: bool = False, verify: int = 64, seed: int = 0, batch: int = 64) -> dict[str, int]:
+        """Move all single blobs into tar shards, in the order of their first samples; what was moved.
+
+        Every ``batch`` shards are written, a seeded sample of them with every shard in it is read back and hashed, and their places are committed, so a repack that was stopped goes on with what is left.
+        """
+        from lodestack.sources import blobs as B
+        from lodestack.sources.files import SHARD_BYTES, shard_plan
+
+        shard_bytes = shard_bytes or SHARD_BYTES
+        if shard_bytes > (1 << 31) - 1:
+            raise CatalogError(f"a shard of {shard_bytes} bytes is beyond 32-bit offsets")
+        at, held = self.now, cut(self.locations())
+        order = at.read("sample").select("checksum", F.struct(F.lit(0).alias("kind"), "id").alias("o")).union(at.read("raw").select("checksum", F.struct(F.lit(1).alias("kind"), "id").alias("o")))
+        pending = held.where("container not like 'shard-%'").join(order.groupBy("checksum").agg(F.min("o").alias("o")), "checksum", "left")
+        ranked = pending.withColumn("first_id", F.coalesce(F.col("o.kind") * F.lit(1 << 40) + F.col("o.id"), F.lit((1 << 62)))).select("checksum", "container", "offset", "length", "first_id")
+        plan = cut(shard_plan(ranked.select("checksum", "length", "first_id"), shard_bytes))
+        total = plan.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.countDistinct("shard").alias("shards"), F.max("shard").alias("last")).first()
+        counts = {"blobs": total.blobs, "bytes": total.bytes, "shards": total.shards, "verified": 0}
+        if dry_run or not total.blobs:
+            return counts
+        first = held.where("container like 'shard-%'").agg(F.max(F.regexp_extract("container", r"shard-(\d+)", 1).cast("bigint"))).first()[0]
+        first = 0 if first is None else first + 1
+        for start in range(0, total.last + 1, batch):
+            part = plan.where((F.col("shard") >= start) & (F.col("shard") < start + batch))
+            content = B.fetch(ranked.join(part.select("checksum"), "checksum", "left_semi"), source)
+            packed = cut(B.write_shards(part.withColumn("shard", F.col("shard") + first).join(content, "checksum"), target))
+            checked = B.fetch(B.sampled(packed, verify, seed), target).count()
+            self._commit(self.now, {"location": packed.withColumn("placed_at", _now())})
+            counts["verified"] += checked
+        return counts
+
+    def ensure_cached(self, checksums: DataFrame, blobs: str, cache: str) -> DataFrame:
+        """(checksum, path) in the cache of those checksums that a live sample has; unknown ones are absent."""
+        from lodestack.sources.blobs import ensure_cached
+
+        live = self.samples().where("deleted_at is null").select("checksum")
+        return ensure_cached(self.locations().join(checksums.select("checksum"), "checksum", "left_semi").join(live, "checksum", "left_semi"), blobs, cache)
+
+    # look-ups --------------------------------------------------------------------------------------------------------
+
+    def find(self, checksum: str, type_name: str) -> int | None:
+        """The sample of bytes and type, tombstoned or not."""
+        media, subtype = split_type(type_name)
+        rows = self.now.read("sample").where((F.col("checksum") == checksum) & (F.col("media") == media) & (F.col("subtype") == subtype)).select("id").take(1)
+        return rows[0].id if rows else None
+
+    def by_checksum(self, checksum: str, type_name: str | None = None):
+        """The live sample of these bytes; under several types one must be named."""
+        rows = self.samples().where((F.col("deleted_at").isNull()) & (F.col("checksum") == checksum)).take(100)
+        rows = [r for r in rows if type_name in (None, f"{r.media}/{r.subtype}")]
+        if len(rows) > 1:
+            raise CatalogError(f"{checksum} is held as {sorted(f'{r.media}/{r.subtype}' for r in rows)}; name one")
+        return rows[0] if rows else None
+
+    def identities(self, ids: DataFrame) -> DataFrame:
+        """(id, checksum, type, metadata, container, offset, length) of samples (id)."""
+        rows = self.samples().join(ids.select("id"), "id", "left_semi")
+        return rows.select("id", "checksum", F.concat_ws("/", "media", "subtype").alias("type"), "metadata").join(self.locations(), "checksum", "left")
+
+    def values_of(self, ids: DataFrame, label_set: str) -> DataFrame:
+        """(id, value, source, batch): the current answers of samples (id); skips are none."""
+        number = self._label_set(self.now, label_set).id
+        rows = self.annotations().where((F.col("superseded_at").isNull()) & (F.col("state") == "annotated") & (F.col("label_set_id") == number))
+        said = rows.groupBy(F.col("sample_id").alias("id")).agg(F.max_by(F.struct("value", "source", "batch"), "id").alias("a"))
+        return said.join(ids.select("id"), "id", "left_semi").select("id", "a.*")
+
+    def disputed_members(self, dataset: int, features: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+        """(id): members of a version whose own label set, or that of a feature, has an open conflict over them."""
+        sets = [ref for source, ref in (features or {}).values() if source == "label_set"]
+        named = self.now.read("label_set").where(F.col("name").isin(*sets) if sets else F.lit(False)).select(F.col("id").alias("label_set_id"))
+        named = named.union(self.spark.createDataFrame([(self.dataset(dataset).label_set_id,)], "label_set_id bigint")).distinct()
+        members = self.now.read("dataset_member").where(F.col("dataset_id") == dataset).select(F.col("sample_id").alias("id"))
+        return members.join(self.conflicts().join(F.broadcast(named), "label_set_id", "left_semi").select(F.col("sample_id").alias("id")), "id", "left_semi")
+
+    def probe(self, blobs: str | None = None) -> dict:
+        """Counts, and whether the first live sample reads back as what it is."""
+        live = self.samples().where("deleted_at is null")
+        said = {"identity": self.identity(), "commit": self.now.version, "samples": live.count()}
+        if blobs:
+            from lodestack.sources.blobs import get
+
+            rows = live.join(self.locations().withColumnRenamed("container", "at_container").withColumnRenamed("offset", "at_offset").withColumnRenamed("length", "at_length"), "checksum").orderBy("id").take(1)
+            said["reads_back"] = bool(rows) and hashlib.sha256(get(blobs, rows[0].at_container, rows[0].at_offset, rows[0].at_length)).hexdigest() == rows[0].checksum
+        return said
+
+    def remove(self, collections: list[str] | None = None, where=None, checksums: list[str] | None = None, type_name: str | None = None) -> int:
+        """Tombstone the live samples that meet all that is named; nothing named, or bytes under several types without a type, is refused."""
+        if not (collections or where is not None or checksums):
+            raise CatalogError("remove what? name collections, conditions or checksums")
+        from lodestack.operators.lineage import torn_checksums
+        from lodestack.operators.views import scoped
+
+        gone = self.samples().where("deleted_at is null")
+        if type_name:
+            gone = gone.where(V.type_covers(F.col("media"), F.col("subtype"), type_name))
+        if checksums:
+            gone = gone.where(F.col("checksum").isin(*checksums))
+            if not type_name and (torn := [r.checksum for r in torn_checksums(gone).take(20)]):
+                raise CatalogError(f"held under several types: {torn}")
+        if where is not None:
+            gone = gone.where(selection.compile_condition(where, F.col("metadata")))
+        if collections:
+            gone = scoped(gone, self.now.read("sample_collection"), collections)
+        return self.tombstone(cut(gone.select("id")))
 
     # versions --------------------------------------------------------------------------------------------------
 
@@ -504,22 +713,45 @@ class Catalog:
                 said.append(f"{n} {what}")
         return said
 
-    def materialise(self, dataset: int, path: str, features: dict[str, tuple[str, str]] | None = None) -> None:
-        """Write a version's members with sides, current answers and features as Parquet, and a manifest header beside it."""
-        at = self.now
-        header = at.read("dataset").where(F.col("id") == dataset).take(1)
-        if not header:
-            raise CatalogError(f"no version {dataset}")
-        held = S.annotations(at).where((F.col("superseded_at").isNull()) & (F.col("label_set_id") == header[0].label_set_id))
-        held = held.groupBy(F.col("sample_id").alias("id")).agg(F.max_by(F.struct("state", "source", "value", "batch"), "id").alias("a"))
+    def materialise(self, dataset: int, path: str, features: dict[str, tuple[str, str]] | None = None, blobs: str | None = None, cache: str | None = None) -> bool:
+        """Write a version's members with sides, current answers and features as Parquet, a manifest beside them, and with ``blobs`` their files; whether it was there already.
+
+        A folder with the manifest of this catalog, version and features is left as it is. Else all is written beside it and moved there. Members with an open conflict over an answer are
+        left out. Of an example its first input's fields stand among its metadata.
+        """
+        at, held = self.now, self.dataset(dataset)
+        features = features or {}
+        if inputs := {k for t in self.types.held.values() for k in t.inputs} & set(features):
+            raise CatalogError(f"features named like an input: {sorted(inputs)}")
+        declared = {k: list(v) for k, v in sorted(features.items())}
+        was = json.loads(self.store.text(f"{path}/manifest.json") or "{}")
+        if (was.get("catalog"), was.get("dataset"), was.get("features")) == (self.identity(), dataset, declared):
+            return True
+        said = S.annotations(at).where((F.col("superseded_at").isNull()) & (F.col("label_set_id") == held.label_set_id))
+        said = said.groupBy(F.col("sample_id").alias("id")).agg(F.max_by(F.struct("state", "source", "value", "batch"), "id").alias("a"))
         members = at.read("dataset_member").where(F.col("dataset_id") == dataset).select(F.col("sample_id").alias("id"), F.col("side").alias("split"))
-        rows = members.join(S.samples(at).select("id", "checksum", "media", "subtype", "metadata"), "id").join(held, "id", "left")
+        members = members.join(self.disputed_members(dataset, features), "id", "left_anti")
+        rows = members.join(S.samples(at).select("id", "checksum", "media", "subtype", "metadata"), "id").join(said, "id", "left")
         answered = F.col("a.state") == "annotated"
-        rows = rows.select("id", "split", "checksum", F.concat_ws("/", "media", "subtype").alias("type"), "metadata", F.when(answered, F.col("a.value")).alias("value"), F.when(answered, F.col("a.source") == "human").alias("reviewed"), "a.source", "a.batch")
+        name = F.concat("checksum", F.coalesce(V.suffix(F.get_json_object("metadata", "$.source_path")), F.lit("")))
+        rows = rows.select("id", "split", "checksum", F.concat_ws("/", "media", "subtype").alias("type"), "metadata", F.when(answered, F.col("a.value")).alias("value"), F.when(answered, F.col("a.source") == "human").alias("reviewed"), "a.source", "a.batch", name.alias("file"))
+        # one file per checksum: that of its least sample
+        rows = rows.join(rows.groupBy("checksum").agg(F.min_by("file", "id").alias("path")), "checksum").drop("file")
         if features:
             rows = versions.features(rows, features, S.samples(at), S.annotations(at), at.read("label_set"))
-        rows.write.parquet(f"{path}/members")
-        self.spark.createDataFrame([(json.dumps({"catalog": self.identity(), "dataset": dataset, "name": header[0].name, "version": header[0].version, "features": features or {}}),)], "value string").coalesce(1).write.text(f"{path}/manifest")
+        staging = f"{path}.pending-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{staging}/members")
+        if blobs:
+            from lodestack.sources.blobs import write_out
+
+            written = self.spark.read.parquet(f"{staging}/members").select("checksum", F.col("path").alias("name")).distinct()
+            write_out(self.locations().join(written, "checksum"), blobs, f"{staging}/files", cache).write.format("noop").mode("overwrite").save()
+        counts = {r.split: r.n for r in self.spark.read.parquet(f"{staging}/members").groupBy("split").agg(F.count("*").alias("n")).collect()}
+        manifest = {"catalog": self.identity(), "dataset": dataset, "name": held.name, "version": held.version, "label_set_id": held.label_set_id, "spec_hash": held.spec_hash, "seed": held.seed, "group_by": held.group_by, "val_ratio": held.val_ratio,
+                    "val_ratio_achieved": held.val_achieved, "holdout_ratio": held.holdout_ratio, "holdout_ratio_achieved": held.holdout_achieved, "given_split": held.given_split, "disagreeing_inputs": held.disagreeing_inputs, "features": declared, "counts": counts}
+        self.store.write_text(f"{staging}/manifest.json", json.dumps(manifest, indent=1))
+        self.store.move(staging, path)
+        return False
 
     def start_run(self, kind: str, producer: str) -> str:
         at = self.now
@@ -542,6 +774,20 @@ def _answer_text(sample: pd.Series, state: pd.Series, source: pd.Series, value:
     return pd.Series([one(*x) for x in zip(sample, state, source, value)], dtype=object)
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("key", StringType()), StructField("value", StringType())])))
+def _pairs(metadata: pd.Series) -> pd.Series:
+    """The keys of JSON objects with their values as JSON."""
+    return metadata.map(lambda m: [(k, json.dumps(v, sort_keys=True)) for k, v in json.loads(m).items()] if m else [])
+
+
+def combined(rows: DataFrame) -> DataFrame:
+    """(sample_id, metadata): objects of (sample_id, at, metadata) folded key by key, of each the first by ``at``; values keep their kinds."""
+    pairs = rows.where("metadata is not null").select("sample_id", "at", F.explode(_pairs("metadata")).alias("p"))
+    first = pairs.groupBy("sample_id", F.col("p.key").alias("key")).agg(F.min_by("p.value", "at").alias("value"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda p: F.concat(F.to_json(F.array(p["key"])).substr(F.lit(2), F.length(F.to_json(F.array(p["key"]))) - 2), F.lit(": "), p["value"]))
+    return first.groupBy("sample_id").agg(F.concat(F.lit("{"), F.array_join(text, ", "), F.lit("}")).alias("metadata"))
+
+
 def _moved(rows: DataFrame, texts: DataFrame | None) -> DataFrame:
     """Rows (row, old, checksum, value, ..) with the span answers of paired samples moved to the new text."""
     from lodestack.operators.remap import remap

@@ -19,6 +19,7 @@ TABLES = {
     "run_input": "run_id string, checksum string",
     "raw": "id bigint, collection string, path string, checksum string, container string, offset bigint, length bigint, run_id string, ingested_at timestamp_ntz",
     "sample": "id bigint, container string, offset bigint, length bigint, checksum string, media string, subtype string, metadata string, ingested_at timestamp_ntz, deleted_at timestamp_ntz",
+    "location": "checksum string, container string, offset bigint, length bigint, placed_at timestamp_ntz",
     "sample_collection": "id bigint, sample_id bigint, collection string, added_at timestamp_ntz",
     "origin": "id bigint, sample_id bigint, run_id string, input_kind string, input string, input_type string, role string, position int, metadata string, recorded_at timestamp_ntz",
     "generation": "id bigint, sample_id bigint, run_id string, model_host string, model_run string, checkpoint string, checkpoint_digest string, template_digest string, system_digest string, settings_digest string, values string, copied_from string, seed bigint, recorded_at timestamp_ntz",

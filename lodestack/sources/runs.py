@@ -42,7 +42,7 @@ def _text(spark: SparkSession, path: str) -> str:
 # prepared corpora ------------------------------------------------------------------------------------------------
 
 
-def _checked(types: Types, name: str, form: bool):
+def _checked(types: Types, name: str):
     """(path, content, value..) -> the same with ``canonical`` bytes, ``facts`` and ``fault``."""
     t = types.resolve(name)
 
@@ -66,7 +66,7 @@ def _checked(types: Types, name: str, form: bool):
 
 def canonical_files(files: DataFrame, types: Types, name: str) -> DataFrame:
     """(path, canonical, facts, fault) of files (path, content) as a type stores them; ``fault`` says why one cannot be."""
-    return files.select("path", "content").mapInArrow(_checked(types, name, True), "path string, canonical binary, facts string, fault string")
+    return files.select("path", "content").mapInArrow(_checked(types, name), "path string, canonical binary, facts string, fault string")
 
 
 def kind_of(value: Column) -> Column:
@@ -98,8 +98,8 @@ def admit(spark: SparkSession, root: str, type_name: str, types: Types) -> tuple
     try:
         index = json.loads(_text(spark, f"{root}/{PREPARED}"))
         said = {k: index[k] for k in ("version", "type", "produced_by")}
-        samples = index["samples"]
-    except (ValueError, KeyError, TypeError) as bad:
+        samples = dict(index["samples"].items())
+    except (ValueError, KeyError, TypeError, AttributeError) as bad:
         raise CatalogError(f"{root}/{PREPARED} is not a prepared index: {bad}") from bad
     if said["type"] != type_name:
         raise CatalogError(f"{root} was prepared as {said['type']}, not as {type_name}")

@@ -105,6 +105,34 @@ class Store:
         out.close()
         return number
 
+    def text(self, path: str) -> str | None:
+        """A small file of the catalog's filesystem, or nothing."""
+        target = self._path(path)
+        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(target):
+            return None
+        stream = fs.open(target)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write_text(self, path: str, text: str) -> None:
+        target = self._path(path)
+        out = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def move(self, source: str, target: str) -> None:
+        """Put a folder in the place of another."""
+        a, b = self._path(source), self._path(target)
+        fs = a.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(b, True)
+        if b.getParent() is not None:
+            fs.mkdirs(b.getParent())
+        if not fs.rename(a, b):
+            raise CatalogError(f"{source} cannot be moved to {target}")
+
     def create(self, identity: str) -> int:
         if self.exists():
             raise CatalogError(f"{self.root} holds a catalog already")
