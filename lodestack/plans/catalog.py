@@ -660,3 +660,123 @@ def disputed(t):
     clashes = sync.merge_verdicts(incoming, t.annotation).where("verdict = 'conflicted'").withColumnRenamed("value", "other_value")
     held = views.current(t.annotation).groupBy("sample_id", "label_set_id").agg(F.max_by("value", "id").alias("kept_value"))
     return sync.disputed(clashes, t.sample_row).join(held, ["sample_id", "label_set_id"]).select("sample_id", "label_set_id", "kept_value", "other_value")
+
+
+# migrations and runs -----------------------------------------------------------------------------------------
+
+
+@query("SELECT entry_id, CASE WHEN split = 'val' THEN 'val' ELSE 'train' END AS side FROM manifest_sample")
+def migrate_sides(t):
+    from lodestack.migrations import sides_of
+
+    return sides_of(t.manifest_sample.select("entry_id", (F.col("split") == "val").alias("val")))
+
+
+@query("""WITH s AS (SELECT id, unnest(range(1, len(CAST(json_extract(value, '$.values[*].start') AS BIGINT[])) + 1)) AS k, value FROM annotation WHERE json_extract_string(value, '$.kind') = 'spans')
+  SELECT id, k - 1 AS place, CAST(json_extract(value, '$.values[' || (k - 1) || '].labels') AS VARCHAR[])[1] AS label, CAST(json_extract(value, '$.values[' || (k - 1) || '].start') AS BIGINT) AS start FROM s""")
+def migrate_span_labels(t):
+    # there and back: spans with one label as an older catalog had them, and as they are now
+    from lodestack import migrations as M
+
+    spans = "array<struct<labels:array<string>,label:string,start:bigint,end:bigint,text:string>>"
+    rows = t.annotation.where("get_json_object(value, '$.kind') = 'spans'").select("id", "value")
+    one = F.transform(F.from_json(F.get_json_object("value", "$.values"), spans), lambda s: F.struct(F.slice(s["labels"], 1, 1).alias("labels"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
+    old = M.single_labels(rows.select("id", F.to_json(F.struct(F.lit("spans").alias("kind"), one.alias("values"))).alias("value")))
+    new = old.select("id", M.label_lists(F.col("value")).alias("value"))
+    return new.select("id", F.posexplode(F.from_json(F.get_json_object("value", "$.values"), spans)).alias("place", "s")).select("id", F.col("place").cast("bigint").alias("place"), F.col("s.labels")[0].alias("label"), "s.start")
+
+
+@query("""SELECT id, CASE split_part(subtype, '/', 1) WHEN 'frames' THEN 'video' WHEN 'email' THEN 'thread' ELSE 'group' END AS key, container AS value, coalesce(len(json_keys(metadata)), 0) + 1 AS keys FROM sample_row WHERE container IS NOT NULL""")
+def migrate_group_key(t):
+    from lodestack.migrations import group_key
+
+    made = group_key(t.sample_row.where("container is not null").select("id", "subtype", "metadata", F.col("container").alias("group_id")))
+    kind = F.split("subtype", "/")[0]
+    key = F.when(kind == "frames", "video").when(kind == "email", "thread").otherwise("group")
+    value = F.coalesce(F.get_json_object("metadata", "$.video"), F.get_json_object("metadata", "$.thread"), F.get_json_object("metadata", "$.group"))
+    return made.select("id", key.alias("key"), value.alias("value"), F.size(F.json_object_keys("metadata")).cast("bigint").alias("keys"))
+
+
+@query("""WITH c AS (SELECT sample_id, label_set_id, max(created_at) AS updated_at FROM annotation WHERE created_at IS NOT NULL GROUP BY ALL)
+  SELECT row_number() OVER (ORDER BY updated_at, sample_id, label_set_id) AS id, sample_id, label_set_id, updated_at AS created_at FROM c""")
+def migrate_history(t):
+    from lodestack.migrations import history as rows_of
+
+    cells = t.annotation.where("created_at is not null").groupBy("sample_id", "label_set_id").agg(F.max("created_at").alias("updated_at"))
+    return rows_of(cells).select("id", "sample_id", "label_set_id", "created_at")
+
+
+@query("SELECT id, json_extract_string(label_schema, '$.label_type') AS label_type FROM label_set")
+def migrate_label_type(t):
+    from lodestack.migrations import label_type
+
+    old = F.regexp_replace("label_schema", '"label_type"', '"task"')
+    return t.label_set.select("id", F.get_json_object(label_type(old), "$.label_type").alias("label_type"))
+
+
+@query(f"SELECT c.id AS annotation_id, c.cls AS class_name FROM ({_ASSERTED}) c JOIN annotation a ON a.id = c.id WHERE a.state = 'annotated'")
+def migrate_class_index(t):
+    from lodestack.migrations import class_index
+
+    return class_index(t.annotation, t.label_set)
+
+
+@query("SELECT row_number() OVER (ORDER BY sample_id, collection, added_at NULLS FIRST) AS id, sample_id, collection FROM sample_collection")
+def migrate_membership_ids(t):
+    from lodestack.migrations import membership_ids
+
+    return membership_ids(t.sample_collection).select("id", "sample_id", "collection")
+
+
+@query("""WITH l AS (SELECT m.dataset_id AS list_id, s.media, s.subtype FROM manifest_sample m LEFT JOIN sample_row s ON s.checksum = m.checksum)
+  SELECT list_id, CASE WHEN count(DISTINCT media || '/' || subtype) = 1 THEN min(media) END AS media, CASE WHEN count(DISTINCT media || '/' || subtype) = 1 THEN min(subtype) END AS subtype FROM l GROUP BY list_id""")
+def migrate_list_types(t):
+    from lodestack.migrations import list_types
+
+    return list_types(t.manifest_sample.select(F.col("dataset_id").alias("list_id"), "checksum"), t.sample_row)
+
+
+_ORIGIN = "SELECT e.sample_id, e.text, s.checksum, s.media || '/' || s.subtype AS type FROM (SELECT sample_id, max(text) AS text FROM exported_sample GROUP BY sample_id) e LEFT JOIN sample_row s ON s.id = e.sample_id"
+
+
+@query(f"""WITH o AS ({_ORIGIN}) SELECT 'cannot be read' AS problem, count(*) AS n FROM o WHERE text IS NULL HAVING count(*) > 0
+  UNION ALL SELECT 'names no input', count(*) FROM o WHERE type = 'text/email' HAVING count(*) > 0
+  UNION ALL SELECT 'gives an input a role or position', count(*) FROM o WHERE type <> 'text/email' AND length(text) > 500 HAVING count(*) > 0""")
+def derive_problems(t):
+    # a derive run of all exported texts, in which e-mails name no input and long notes give theirs a role
+    from lodestack.sources import runs
+    from lodestack.types import Types
+
+    rows = t.exported_sample.groupBy("sample_id").agg(F.max("text").alias("text")).join(t.sample_row.select(F.col("id").alias("sample_id"), "checksum", F.concat_ws("/", "media", "subtype").alias("type")), "sample_id", "left")
+    role = F.when(F.length("text") > 500, "part")
+    origin = F.struct("checksum", "type", role.alias("role"), F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("metadata"))
+    origins = F.when(F.col("type") == "text/email", F.array().cast(runs.ORIGINS)).otherwise(F.array(origin))
+    outputs = rows.select(F.col("sample_id").cast("string").alias("file"), origins.alias("origins"), F.lit(None).cast(runs.GENERATION).alias("generation"), F.encode("text", "UTF-8").alias("content"))
+    run = runs.Run("derive", "text/note", ("notes",), "query", {"all": True})
+    stored = runs.canonical_files(outputs.where("content is not null").select(F.col("file").alias("path"), "content"), Types(), run.type).withColumnRenamed("path", "file")
+    problems = runs.output_problems(run, outputs, stored, Types())
+    return problems.groupBy(F.regexp_replace("problem", "^[^:]*: ", "").alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT id, metadata FROM sample_row WHERE metadata IS NOT NULL)
+  SELECT CAST(id AS VARCHAR) AS name, 'fold is not a number' AS problem FROM m WHERE json_exists(metadata, '$.fold') AND json_type(metadata, '$.fold') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'NULL')
+  UNION ALL SELECT CAST(id AS VARCHAR), 'entity is not a string' FROM m WHERE json_exists(metadata, '$.entity') AND json_type(metadata, '$.entity') NOT IN ('VARCHAR', 'NULL')""")
+def declared_key_faults(t):
+    from lodestack.sources.runs import key_faults
+
+    return key_faults(t.sample_row.select(F.col("id").cast("string").alias("name"), "metadata"), {"fold": "number", "entity": "string"})
+
+
+@query("""WITH k AS (SELECT checksum, id, unnest(json_keys(metadata)) AS key, metadata FROM sample_row WHERE metadata IS NOT NULL),
+  v AS (SELECT checksum, key, json_extract(metadata, '$."' || key || '"') AS value, row_number() OVER (PARTITION BY checksum, key ORDER BY id) AS n FROM k)
+  SELECT checksum, key, json_type(value) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS number, CASE WHEN json_type(value) <> 'NULL' THEN CASE WHEN json_type(value) = 'VARCHAR' THEN value->>'$' END END AS text FROM v WHERE n = 1""")
+def combined_origins(t):
+    from lodestack.catalog import combined
+
+    first = t.sample_row.groupBy("checksum").agg(F.min("id").alias("sample_id"))
+    folded = combined(t.sample_row.join(first, "checksum").select("sample_id", F.col("id").alias("at"), "metadata")).join(first, "sample_id")
+    keys = folded.select("checksum", "metadata", F.explode(F.json_object_keys("metadata")).alias("key"))
+    value = F.call_function("get_json_object", F.col("metadata"), F.concat(F.lit("$['"), F.col("key"), F.lit("']")))
+    raw = F.from_json("metadata", "map<string,variant>")[F.col("key")]
+    kind = F.schema_of_variant(raw)
+    return keys.select("checksum", "key", kind.rlike("^(BIGINT|DOUBLE|DECIMAL)").alias("number"), F.when(kind == "STRING", value).alias("text"))
