@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -327,6 +328,12 @@ class Catalog:
         done = given.where(F.col("chain") == chain).select("checksum").distinct()
         outputs = cut(lineage.prepare(inputs, stages, done))
         counts = lineage.prepare_counts(outputs, done.count()).first().asDict()
+        if line:
+            # samples that the runs continued made of the inputs that are prepared anew, and those of them that a person has answered
+            again = inputs.select(F.col("checksum").alias("input")).distinct().join(done.withColumnRenamed("checksum", "input"), "input", "left_anti")
+            old = at.read("origin").where(F.col("run_id").isin(*line)).join(again, "input", "left_semi").select("sample_id").distinct()
+            human = S.annotations(at).where("superseded_at is null and state = 'annotated' and source = 'human'").select("sample_id")
+            counts |= {"superseded": old.count(), "superseded_answered": old.join(human, "sample_id", "left_semi").count()}
         number = run_id(datetime.datetime.now(datetime.UTC), os.uname().nodename)
         made = outputs.where("checksum is not null")
         held = S.samples(at).where((F.col("media") == media) & (F.col("subtype") == subtype)).select("checksum", F.col("id").alias("held"))
@@ -463,7 +470,7 @@ class Catalog:
         placed = cut(put(fresh, root)).withColumn("placed_at", _now())
         return self._commit(self.now, {"location": placed})
 
-    def repack(self, source: str, target: str, shard_bytes: int | None = None, dry_run: bool = False, verify: int = 64, seed: int = 0, batch: int = 64) -> dict[str, int]:
+    def repack(self, source: str, target: str, shard_bytes: int | None = None, dry_run: bool = False, verify: int = 64, seed: int = 0, batch: int = 64, on_progress: Callable[[int, int], None] | None = None) -> dict[str, int]:
         """Move all single blobs into tar shards, in the order of their first samples; what was moved.
 
         Every ``batch`` shards are written, a seeded sample of them with every shard in it is read back and hashed, and their places are committed, so a repack that was stopped goes on with what is left.
@@ -492,6 +499,8 @@ class Catalog:
             checked = B.fetch(B.sampled(packed, verify, seed), target).count()
             self._commit(self.now, {"location": packed.withColumn("placed_at", _now())})
             counts["verified"] += checked
+            if on_progress:
+                on_progress(min(start + batch, total.shards), total.shards)
         return counts
 
     def ensure_cached(self, checksums: DataFrame, blobs: str, cache: str) -> DataFrame:

@@ -102,6 +102,54 @@ def assign_sides(members: DataFrame, val_ratio: float, holdout_ratio: float, see
     return out
 
 
+#: bits of a sample's id beside the version it is a member of
+ID_BITS = 44
+
+
+def assign_many(members: DataFrame, settings: dict[int, tuple[float, float, int]]) -> DataFrame:
+    """(dataset_id, id, side) for members (dataset_id, id, grp, checksum) of several versions at once, each as ``assign_sides`` draws it with nothing inherited or given.
+
+    ``settings`` holds (val_ratio, holdout_ratio, seed) of every version. Units are found for all versions together; one task draws a version.
+    """
+    known = members.where(F.col("dataset_id").isin(*settings)) if settings else members.limit(0)
+    fits = F.col("id").between(0, (1 << ID_BITS) - 1) & F.col("dataset_id").between(0, (1 << (62 - ID_BITS)) - 1)
+    key = F.when(fits, F.shiftleft(F.col("dataset_id").cast("bigint"), ID_BITS) + F.col("id")).otherwise(F.raise_error(F.lit(f"ids beyond {ID_BITS} bits")).cast("bigint"))
+    tag = lambda c: F.concat("dataset_id", F.lit(":"), c)
+    units = split_groups(known.select(key.alias("id"), tag("grp").alias("grp"), tag("checksum").alias("checksum")))
+    version = F.shiftright("unit", ID_BITS).alias("dataset_id")
+    sizes = cut(units.groupBy("unit").agg(F.count("*").alias("size")).select(version, "unit", "size"))
+    found = {r.dataset_id: r for r in sizes.groupBy("dataset_id").agg(F.sum("size").alias("total"), F.count("*").alias("units")).collect()}
+    totals, large = {d: r.total for d, r in found.items()}, [d for d, r in found.items() if r.units > STREAM_UNITS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def solve() -> pa.RecordBatch:
+            val, holdout, seed = settings[at]
+            decided = draw(held, totals[at], {}, val, holdout, seed)
+            return pa.RecordBatch.from_arrays([pa.array(decided.keys(), pa.int64()), pa.array(decided.values(), pa.string())], ["unit", "side"])
+
+        for batch in batches:
+            for dataset, unit, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if dataset != at:
+                    if held:
+                        yield solve()
+                    at, held = dataset, []
+                held.append((unit, size))
+        if held:
+            yield solve()
+
+    streamed = sizes.where(~F.col("dataset_id").isin(*large)) if large else sizes
+    drawn = streamed.repartition("dataset_id").sortWithinPartitions("dataset_id", "unit").mapInArrow(run, "unit bigint, side string")
+    for d in large:
+        drawn = drawn.union(ranked(sizes.where(F.col("dataset_id") == d), totals[d], {}, *settings[d]).withColumnRenamed("drawn", "side"))
+    sided = cut(units.join(drawn, "unit").select(version, F.col("id").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("id"), "side"))
+    for r in sided.groupBy("dataset_id").agg(F.collect_set("side").alias("sides")).collect():
+        if lacks := {"train", "val"} - set(r.sides):
+            raise SplitError(f"version {r.dataset_id}: nothing on {sorted(lacks)}")
+    return sided
+
+
 def ranked(units: DataFrame, total: int, fixed: dict[str, int], val_ratio: float, holdout_ratio: float, seed: int) -> DataFrame:
     """(unit, drawn) for units (unit, size) in the order of a seeded hash: those first that fill holdout, then val, the rest on train.
 

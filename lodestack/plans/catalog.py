@@ -11,6 +11,7 @@ from lodestack.functions import values as V
 from lodestack.operators import history, selection, sync, versions, views
 from lodestack.operators.selection import Mark, Spec, condition
 from lodestack.sources.tables import table
+from lodestack.types import Types
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -349,7 +350,7 @@ def same_bytes_two_types(t):
 
 @query("""SELECT DISTINCT media, subtype, CASE WHEN subtype = 'email' OR starts_with(subtype, 'email/') THEN 'text/email' WHEN media = 'text' THEN 'text/plain' ELSE media || '/plain' END AS nearest FROM sample_row""")
 def type_nearest(t):
-    installed = t.spark.createDataFrame([("text/email",), ("text/plain",), ("image/plain",)], "installed string")
+    installed = t.spark.createDataFrame([(name,) for name in Types().held], "installed string")
     kinds = t.sample_row.select("media", "subtype").distinct()
     under = kinds.withColumn("name", F.explode(F.array_append(F.transform(V.ancestors(F.col("subtype")), lambda s: F.concat_ws("/", F.col("media"), s)), F.concat(F.col("media"), F.lit("/plain")))))
     hit = under.join(F.broadcast(installed), F.col("name") == F.col("installed"))
@@ -438,12 +439,14 @@ def given_sides(t):
 
 def _split(t):
     """(dataset_id, id, grp, side) of the members of every version, by the ratios, the grouping key and the seed it records."""
-    out = None
-    for d, members in _units(t):
-        sided = versions.assign_sides(members, d.val_ratio, d.holdout_ratio, d.seed)
-        rows = sided.join(members, "id").select(F.lit(d.id).cast("bigint").alias("dataset_id"), "id", "grp", "side")
-        out = rows if out is None else out.union(rows)
-    return out
+    held = t.dataset_version.select("id", "val_ratio", "holdout_ratio", "seed", "group_by").collect()
+    group = F.lit(None).cast("string")
+    for key in sorted({d.group_by for d in held if d.group_by}):
+        group = F.when(F.col("group_by") == key, F.nullif(F.lower(F.trim(F.get_json_object("metadata", f"$['{key}']"))), F.lit(""))).otherwise(group)
+    rows = t.manifest_sample.join(F.broadcast(t.dataset_version.select(F.col("id").alias("dataset_id"), "group_by")), "dataset_id")
+    members = rows.select("dataset_id", F.col("sample_id").alias("id"), group.alias("grp"), "checksum")
+    sided = versions.assign_many(members, {d.id: (d.val_ratio, d.holdout_ratio, d.seed) for d in held})
+    return sided.join(members.select("dataset_id", "id", "grp"), ["dataset_id", "id"])
 
 
 @query()
@@ -745,7 +748,6 @@ _ORIGIN = "SELECT e.sample_id, e.text, s.checksum, s.media || '/' || s.subtype A
 def derive_problems(t):
     # a derive run of all exported texts, in which e-mails name no input and long notes give theirs a role
     from lodestack.sources import runs
-    from lodestack.types import Types
 
     rows = t.exported_sample.groupBy("sample_id").agg(F.max("text").alias("text")).join(t.sample_row.select(F.col("id").alias("sample_id"), "checksum", F.concat_ws("/", "media", "subtype").alias("type")), "sample_id", "left")
     role = F.when(F.length("text") > 500, "part")

@@ -48,9 +48,23 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def clear_cuts(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` has written in this process, once the results that read them are written; how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return done
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor, wherever the driver was started."""
     import zipfile
@@ -61,6 +75,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="lodestack-")) / "lodestack.zip"
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)  # the driver serves it as long as it runs
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))

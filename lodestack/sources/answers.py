@@ -31,3 +31,11 @@ def read_answers(spark, path: str) -> DataFrame:
     """The file's samples; lines that do not parse, or of another format, end the read."""
     rows = spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
     return rows.withColumn("format", F.when(F.col("format") == FORMAT, F.col("format")).otherwise(F.raise_error(F.lit("not an answers file of format 1")).cast("int")))
+
+
+def read_document(spark, path: str) -> DataFrame:
+    """The samples of an answers file in one JSON document {format, catalog_id, label_set, samples: [{checksum, type, rows}]}, as ``read_answers`` gives them; another format ends the read."""
+    shape = f"format int, catalog_id string, label_set string, samples array<struct<checksum:string,type:string,rows:array<{_ROW}>>>"
+    document = spark.read.schema(shape).option("mode", "FAILFAST").option("multiLine", "true").json(path)
+    right = F.when(F.col("format") == FORMAT, F.col("format")).otherwise(F.raise_error(F.lit("not an answers file of format 1")).cast("int"))
+    return document.select(right.alias("format"), "catalog_id", "label_set", F.explode("samples").alias("s")).select("format", "catalog_id", "label_set", "s.checksum", "s.type", "s.rows")

@@ -85,6 +85,41 @@ def test_ranked_sides(spark, monkeypatch):
     assert all(rows[n] == rows[n + 1] for n in range(0, 2000, 2))
 
 
+def test_versions_drawn_together(spark, monkeypatch):
+    members = spark.createDataFrame([(d, n, f"g{n // 3}", f"c{n}") for d in (1, 2) for n in range(90)], "dataset_id bigint, id bigint, grp string, checksum string")
+    got = {(r.dataset_id, r.id): r.side for r in versions.assign_many(members, {1: (0.2, 0.1, 7), 2: (0.3, 0.0, 8)}).collect()}
+    for d, (val, holdout, seed) in {1: (0.2, 0.1, 7), 2: (0.3, 0.0, 8)}.items():
+        alone = versions.assign_sides(members.where(f"dataset_id = {d}").drop("dataset_id"), val, holdout, seed)
+        assert {(d, r.id): r.side for r in alone.collect()} == {k: v for k, v in got.items() if k[0] == d}
+    with pytest.raises(versions.SplitError):
+        versions.assign_many(members.where("id < 2"), {1: (0.0, 0.0, 1)})
+    monkeypatch.setattr(versions, "STREAM_UNITS", 5)
+    assert versions.assign_many(members, {1: (0.2, 0.1, 7), 2: (0.3, 0.0, 8)}).count() == 180
+    assert versions.assign_many(members, {}).count() == 0
+
+
+def test_span_labels_go_back_only_if_single(spark):
+    from lodestack import migrations
+
+    one = '{"kind":"spans","values":[{"labels":["a"],"start":0,"end":1,"text":"x"}]}'
+    rows = frame(spark, "id bigint, value string", (1, one), (2, None), (3, '{"kind":"choices","values":["a"]}'))
+    old = {r.id: r.value for r in migrations.single_labels(rows).collect()}
+    assert json.loads(old[1])["values"][0]["label"] == "a" and old[2] is None and old[3] == '{"kind":"choices","values":["a"]}'
+    back = spark.createDataFrame(list(old.items()), "id bigint, value string").select("id", migrations.label_lists(ST.F.col("value")).alias("value"))
+    assert json.loads({r.id: r.value for r in back.collect()}[1]) == json.loads(one)
+    with pytest.raises(CatalogError):
+        migrations.single_labels(frame(spark, "value string", (one.replace('["a"]', '["a","b"]'),)))
+
+
+def test_answers_document(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps({"format": 1, "catalog_id": "c", "label_set": "x", "samples": [{"checksum": "a", "rows": [{"state": "skipped"}]}, {"checksum": "b", "type": "text/plain", "rows": []}]}, indent=1))
+    assert [(r.checksum, r.type, len(r.rows)) for r in answers.read_document(spark, str(path)).orderBy("checksum").collect()] == [("a", None, 1), ("b", "text/plain", 0)]
+    path.write_text('{"format": 2, "samples": [{"checksum": "a"}]}')
+    with pytest.raises(Exception, match="format 1"):
+        answers.read_document(spark, str(path)).collect()
+
+
 def test_set_digests_in_pieces(spark, monkeypatch):
     from lodestack.functions import values
 
