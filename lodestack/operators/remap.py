@@ -23,17 +23,21 @@ def remap_spans(value: str | None, old: str | None, new: str | None) -> tuple[st
     answer = json.loads(value)
     if answer.get("kind") != "spans" or old == new:
         return value, 0
-    blocks = difflib.SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks() if old is not None else []
+    blocks: list | None = [] if old is None else None
     kept, lost = [], 0
     for span in answer["values"]:
         at = span["start"]
         text = old[at : span["end"]] if old is not None else span.get("text") or ""
-        guess = next((b.b + at - b.a for b in blocks if b.a <= at < b.a + b.size), at)
         places = [m.start() for m in re.finditer(f"(?={re.escape(text)})", new)] if text else []
         if not places:
             lost += 1
             continue
-        start = min(places, key=lambda p: (abs(p - guess), p))
+        if len(places) > 1:  # which of them takes the blocks, the costly part
+            if blocks is None:
+                blocks = difflib.SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks()
+            guess = next((b.b + at - b.a for b in blocks if b.a <= at < b.a + b.size), at)
+            places.sort(key=lambda p: (abs(p - guess), p))
+        start = places[0]
         kept.append(span | {"start": start, "end": start + len(text), "text": text})
     return json.dumps(answer | {"values": kept}, ensure_ascii=False, separators=(",", ":")), lost
 
