@@ -6,9 +6,10 @@ radius. What a tree finds is verified on the whole texts and joined by distribut
 
 A crowded block is taken in two rounds. First every member is linked to the first tree node in its radius, against a tree of at most ``TREE`` nodes;
 a block of more than ``SPREAD`` members is spread over several tasks. Those links are verified and joined. A block whose members are then one group is done. In one with
-several groups all members but those of its largest group visit trees over the whole block, ``TREE`` nodes each, now by codes of one byte per hash, whose distances
-let a tree leave out whole families of texts, and are compared with members of other groups: first with the nearest of each group, and where
-that joins nothing, with all in the radius. So a family of copies and edits, were it a third of all rows, moves once per round, and no link between groups is lost.
+several groups the members of its largest stand in trees of ``TREE`` nodes, now by codes of one byte per hash, whose distances let a tree leave out a whole family of texts.
+The others visit them unless they are too far from the whole group, and meet each other in finer blocks, of one or two more code blocks that they share; what is
+crowded even there meets in trees again. A visitor is first compared with the nearest of each group, and where that joins nothing, with all in the radius. So a family of copies and edits, or a passage
+that many different texts share, were it in a third of all rows, costs in proportion to its rows, and no link between groups is lost.
 
 Defined results
 * Null texts are alike to nothing; equal texts, the empty text too, are alike. Texts of fewer than three words are alike only if equal.
@@ -20,9 +21,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lodestack.llm.fingerprints import ALIKE, HASHES, RADIUS, classes, hot_blocks, symbols, verified
 from lodestack.operators.components import components
@@ -34,6 +37,8 @@ TREE = 4096
 SYMBOL_RADIUS = 76
 #: nearest nodes of each group that a visitor is compared with at first
 NEAREST = 4
+#: further code blocks by which crowded blocks are made finer before trees take the rest
+FINER = 2
 #: pairs that a task holds before it hands them on
 PAIRS = 100_000
 
@@ -182,33 +187,76 @@ def _symbol_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(symbols(part.column(1).to_pylist()), pa.binary())], ["rep", "code"])
 
 
-def _torn(blocks: DataFrame, crowded: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (key, rep, label) of crowded blocks, and (key, main, members) of those with several labels."""
-    label = components(links).select(F.col("node").alias("rep"), "root")
-    busy = cut(blocks.select("key", "rep").join(crowded, "key").join(label, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("label")))
-    by = busy.groupBy("key", "label").count()
-    torn = by.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("members"), F.count("*").alias("labels"))
-    return busy, cut(torn.where("labels > 1").drop("labels"))
+@F.pandas_udf(IntegerType())
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([symbols_apart(int.from_bytes(x, "little"), int.from_bytes(y, "little")) for x, y in zip(a, b)], dtype="int32")
 
 
-def _across(blocks: DataFrame, crowded: DataFrame, links: DataFrame, samples: DataFrame, nearest: int | None) -> DataFrame | None:
-    """Candidate pairs (a, b) of different groups of the links in crowded blocks; None if there is no such block."""
-    busy, torn = _torn(blocks, crowded, links)
-    if not torn.take(1):
-        return None
-    rows = busy.join(torn, "key")
-    ids = rows.select(F.col("rep").alias("id")).distinct()
-    texts = samples.select(F.col("id").cast("bigint").alias("id"), "text").where("text is not null").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    rows = cut(rows.join(texts.mapInArrow(_symbol_rows, "rep bigint, code binary"), "rep"))
-    parts = F.ceil(F.col("members") / TREE).cast("int")
+def _torn(rows: DataFrame) -> DataFrame:
+    """Members (key, rep, label) of those blocks that have several labels, with the label of most (main) and how many have it."""
+    by = rows.groupBy("key", "label").count()
+    torn = by.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("held"), F.sum("count").alias("members"), F.count("*").alias("labels"))
+    return rows.join(torn.where("labels > 1").drop("labels"), "key")
+
+
+def _walk(rows: DataFrame, nearest: int | None, nodes: str) -> DataFrame:
+    """Pairs of different labels that trees find for rows (key, rep, label, main, code): all but those of the main label visit every tree of their block.
+
+    ``nodes`` is the column that counts a block's nodes: with ``held`` members of the main label alone, with ``members`` all.
+    """
+    parts = F.ceil(F.col(nodes) / TREE).cast("int")
     home = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    # members of the largest group stand in one tree each; all others visit every tree of their block
     main = F.col("label") == F.col("main")
     spread = rows.withColumn("home", home).withColumn("part", F.explode(F.when(main, F.array("home")).otherwise(F.sequence(F.lit(0), parts - 1))))
-    spread = spread.select("key", "part", (F.col("home") == F.col("part")).alias("node"), (~main).alias("visits"), "rep", "label", "code")
-    # nodes of the largest group first; visitors are nodes too, which those behind them meet
+    node = (F.col("home") == F.col("part")) & (main | F.lit(nodes == "members"))
+    spread = spread.select("key", "part", node.alias("node"), (~main).alias("visits"), "rep", "label", "code")
+    # nodes of the main label first; visitors that are nodes too meet those behind them
     ordered = spread.repartition("key", "part").sortWithinPartitions("key", "part", "visits", F.desc("node"), "rep")
-    return cut(ordered.mapInArrow(_second_round(SYMBOL_RADIUS, nearest), "a bigint, b bigint").where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return ordered.mapInArrow(_second_round(SYMBOL_RADIUS, nearest), "a bigint, b bigint").where("b is not null")
+
+
+def _across(codes: DataFrame, crowded: DataFrame, links: DataFrame, samples: DataFrame, radius: int, nearest: int | None, rest: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Candidate pairs (a, b) of different groups of the links in crowded blocks (key), None if every such block is one group; and what is crowded in finer blocks too.
+
+    With all in the radius (``nearest`` None) the finer blocks are left out, as they have been paired in full, but for that ``rest`` (key, rep) of them.
+    """
+    label = cut(components(links).select(F.col("node").alias("rep"), "root"))
+    members = codes.select(F.explode("keys").alias("key"), "rep").join(crowded, "key").join(label, "rep", "left")
+    rows = cut(_torn(cut(members.select("key", "rep", F.coalesce("root", "rep").alias("label")))))
+    if not rows.take(1):
+        return None, None
+    ids = rows.select(F.col("rep").alias("id")).distinct()
+    texts = samples.select(F.col("id").cast("bigint").alias("id"), "text").where("text is not null").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    coded = cut(texts.mapInArrow(_symbol_rows, "rep bigint, code binary"))
+
+    # the largest group of a block against all others: who is further from its first member than the radius and the group's own reach visits no tree
+    placed = rows.join(coded, "rep")
+    pivot = placed.where("label = main").groupBy("key").agg(F.min_by("code", "rep").alias("pivot"))
+    placed = cut(placed.join(pivot, "key").withColumn("far", _apart("code", "pivot")).drop("pivot"))
+    reach = placed.where("label = main").groupBy("key").agg(F.max("far").alias("reach"))
+    near = placed.join(reach, "key").where((F.col("label") == F.col("main")) | (F.col("far") - F.col("reach") <= SYMBOL_RADIUS))
+    found = [_walk(near, nearest, "held")]
+
+    # all others among themselves: in finer blocks, of one or two code blocks more that they share
+    finer = rows.where("label <> main").select("key", "rep", "label", F.array("key").alias("used"))
+    for _ in range(FINER if nearest is not None else 0):
+        more = finer.join(codes.select("rep", "keys", "f1", "f2"), "rep").withColumn("next", F.explode(F.array_except("keys", "used")))
+        more = more.select(F.xxhash64("key", "next").alias("key"), "rep", "label", F.concat("used", F.array("next")).alias("used"), "f1", "f2")
+        more = cut(more.join(more.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n"), "key"))
+        usual = more.where(F.col("n") <= CROWD).select("key", "rep", "f1", "f2", F.lit(0).alias("part"))
+        found.append(usual.repartition("key").sortWithinPartitions("key").mapInArrow(_first_round(radius), "a bigint, b bigint").where("b is not null"))
+        finer = more.where(F.col("n") > CROWD).select("key", "rep", "label", "used")
+        if not finer.take(1):
+            break
+    else:
+        rest = finer.select("key", "rep") if nearest is not None else rest
+    if rest is not None:
+        again = rest.join(label, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("label"))
+        found.append(_walk(_torn(again).join(coded, "rep"), nearest, "members"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), rest
 
 
 def alike_groups(samples: DataFrame, least: float = ALIKE, radius: int = RADIUS, also: DataFrame | None = None) -> DataFrame:
@@ -227,9 +275,9 @@ def alike_groups(samples: DataFrame, least: float = ALIKE, radius: int = RADIUS,
 
     crowded = raw.where("b is null").select(F.col("a").alias("key")).union(hot.select("key")).distinct()
     if crowded.take(1):
-        crowded, tried = cut(crowded), None
+        crowded, tried, rest = cut(crowded), None, None
         for nearest in (NEAREST, None):
-            pairs = _across(blocks, crowded, links, samples, nearest)
+            pairs, rest = _across(codes, crowded, links, samples, radius, nearest, rest)
             if pairs is None:
                 break
             new = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")

@@ -82,7 +82,24 @@ def test_a_crowded_family_moves_once(spark, monkeypatch):
     got = {tuple(r) for r in near_duplicates.alike_groups(df).collect()}
     assert got == {(n, 0) for n, _ in family}
     # the block is one group after the first round, so no round over its trees is needed
-    assert moved == [None]
+    assert moved == [(None, None)]
+
+
+def test_a_passage_that_many_share_costs_in_proportion(spark, monkeypatch):
+    """Texts that differ but for one passage share blocks: no tree has to hold them, and the pairs looked at grow with the rows."""
+    monkeypatch.setattr(near_duplicates, "CROWD", 8)
+    monkeypatch.setattr(near_duplicates, "TREE", 16)
+    walked, seen, across, walk = [], [], near_duplicates._across, near_duplicates._walk
+    monkeypatch.setattr(near_duplicates, "_walk", lambda rows, nearest, nodes: walked.append(nodes) or walk(rows, nearest, nodes))
+    monkeypatch.setattr(near_duplicates, "_across", lambda *a: seen.append(across(*a)) or seen[-1])
+    footer = " ".join(f"f{n}" for n in range(40))
+    for n in (60, 120):
+        rows = [(k, " ".join(f"u{k}x{j}" for j in range(50)) + " " + footer) for k in range(n)]
+        rows += [(1000 + k, rows[k][1].replace(f"u{k}x3 ", "edited ")) for k in range(5)]
+        got = {tuple(r) for r in near_duplicates.alike_groups(frame(spark, "id bigint, text string", *rows)).collect()}
+        assert got == {(i, k) for k in range(5) for i in (k, 1000 + k)}
+    assert set(walked) == {"held"} and len(seen) == 4
+    assert all(pairs.count() <= 250 and rest is None for pairs, rest in seen)
 
 
 def test_symbol_trees_leave_families_out():
