@@ -144,7 +144,7 @@ def test_bk_tree(codes, query, radius):
 
 @pytest.mark.parametrize("spread", [100_000, 3])
 def test_overlaps_across_splits(spark, monkeypatch, spread):
-    monkeypatch.setattr(split_overlap, "hot_blocks", lambda codes: fingerprints.hot_blocks(codes, spread))
+    monkeypatch.setattr(split_overlap, "SPREAD", spread)
     rows = families(7)
     rng = random.Random(1)
     versions = frame(spark, "id bigint, given_split string", (1, '{"key":"bench","holdout":["h"],"val":["v","7"]}'), (2, None), (3, '{"key":"none","holdout":["x"],"val":[]}'))
