@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestack.llm import encodings, new_text, packing, personal_data
 from lodestack.llm.leaks import leaks
@@ -51,6 +52,12 @@ def p4_sides(spark: SparkSession, d: str) -> DataFrame:
     return assign(table(spark, d, "manifest_sample"), table(spark, d, "dataset_version"))
 
 
+def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(dataset_id, size, side, groups): how many groups of each size ``p4_sides`` put on each side."""
+    by = p4_sides(spark, d).groupBy("dataset_id", "group_id", "side").agg(F.count("*").alias("size"))
+    return by.groupBy("dataset_id", "size", "side").agg(F.count("*").alias("groups"))
+
+
 #: the key of the registered queries only; users pass a secret of their own
 QUERY_KEY = b"registered queries"
 
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_sides": p4_sides,
+    "p4_sizes": p4_sizes,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p6_found": p6_found,
@@ -156,6 +164,14 @@ SQL: dict[str, str] = {
     "p3_report": f"""WITH {_PAIRS}, s AS (SELECT dataset_id, sample_id, min(json_extract_string(metadata, '$.collection')) AS source FROM manifest_sample GROUP BY ALL)
   SELECT p.dataset_id, side, source, count(*) AS pairs, count(DISTINCT held_id) AS held, count(DISTINCT train_id) AS train FROM p LEFT JOIN s ON s.dataset_id = p.dataset_id AND s.sample_id = held_id GROUP BY ALL""",
     "p4_found": _grouped(_RELATED, "entry_id"),
+    "p4_sizes": f"""WITH RECURSIVE {_RELATED}, r(id, other) AS (SELECT a, a FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other),
+  j AS (SELECT entry_id, dataset_id, coalesce((SELECT min(other) FROM r WHERE r.id = entry_id), entry_id) AS grp FROM (SELECT DISTINCT entry_id, dataset_id FROM manifest_sample)),
+  z AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY size DESC, grp) AS n FROM (SELECT dataset_id, grp, count(*) AS size FROM j GROUP BY ALL)),
+  t AS (SELECT j.dataset_id, count(*) AS total, coalesce(greatest(0.0, max(val_ratio)), 0.0) AS val, coalesce(greatest(0.0, max(holdout_ratio)), 0.0) AS hold FROM j LEFT JOIN dataset_version v ON v.id = j.dataset_id GROUP BY ALL),
+  deal(dataset_id, n, size, side, a, b, c) AS (SELECT dataset_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), -1, CAST(total * greatest(0.0, 1 - val - hold) AS DOUBLE), CAST(total * val AS DOUBLE), CAST(total * hold AS DOUBLE) FROM t
+    UNION ALL SELECT dataset_id, n, size, side, CASE WHEN side = 0 THEN a - size ELSE a END, CASE WHEN side = 1 THEN b - size ELSE b END, CASE WHEN side = 2 THEN c - size ELSE c END
+    FROM (SELECT d.dataset_id, z.n, z.size, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS side, a, b, c FROM deal d JOIN z ON z.dataset_id = d.dataset_id AND z.n = d.n + 1))
+  SELECT dataset_id, size, CASE side WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'holdout' END AS side, count(*) AS groups FROM deal WHERE n > 0 GROUP BY ALL""",
     "p6_found": _grouped(f"{_ALIKE}, l AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike)", "sample_id"),
     "p6_grouped": _grouped(f"{_ALIKE}, same AS (SELECT x.id AS a, y.id AS b FROM sample_row x JOIN sample_row y ON x.checksum = y.checksum AND x.id <> y.id), l AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike UNION SELECT a, b FROM same)", "sample_id"),
     "p7_conserved": """SELECT CAST(capacity AS BIGINT) AS capacity, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, CAST(0 AS BIGINT) AS over FROM (SELECT DISTINCT capacity FROM pack_target WHERE capacity > 0)""",
