@@ -8,8 +8,10 @@ they cover are subtracted. Sentences of the thread and closing lines of the send
 that two versions of one message do not erase each other.
 
 Nothing is collected per thread or per sender: a message meets the sentences and lines it shares by joins on their hashes, the same joins
-at every size. The thread of a message is what it quotes: of each sentence that it quotes, the earliest ``HOLDERS`` different texts that hold it as their own. The recurring closing sentences are those in at least ``LEAST_SUPPORT`` messages that begin differently. The ``NOTICES``
-most frequent are broadcast and matched anywhere; the rarer ones meet, by their hashes, the messages that hold them as a sentence.
+at every size. The thread of a message is what it quotes: every other text that holds a sentence it quotes as its own. So that a sentence that many quote and many hold does not
+pair them all, a message is not joined with its thread: first the sentences are found that stand anywhere in its lines next to marked ones, then for each of these, once per pair of sentences, whether some
+other text holds it together with one that the message quotes. The recurring closing sentences are those in at least ``LEAST_SUPPORT`` messages that begin differently. The ``NOTICES``
+most frequent are broadcast; the rarer ones are found in the messages by the hashes of runs of words. Both match anywhere.
 
 Defined results
 * Null and empty texts have no lines. Lines of white space are no case. Repeated exports of a sample count once.
@@ -22,21 +24,22 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from lodestack.llm.rolling import WORD
+from lodestack.llm.rolling import WORD, Spans
 from lodestack.session import cut
 
 #: differently beginning messages in which a closing sentence recurs, however many messages there are
 LEAST_SUPPORT = 6
 #: recurring sentences sent to every executor, the most frequent; rarer ones move to the messages that hold them
 NOTICES = 5_000
-#: texts through which a quoted sentence leads to a thread, the earliest that hold it; a sentence in more of them recurs and marks no thread
-HOLDERS = LEAST_SUPPORT - 1
+#: bits, as a power of two, of the largest sieve through which runs of words go before they are joined with sentences
+SIEVE = 27
 #: shortest pattern of an automaton, in letters and digits
 LEAST_PATTERN = 12
 
@@ -169,7 +172,7 @@ def _hash(*words: str) -> int:
 
 #: roles of a message's pieces: sentences of its own, quoted ones, those of its last paragraph and below rules, closing lines, lines of the last paragraph
 OWN, QUOTED, LAST, CLOSING, TAIL = range(5)
-_PIECES = "sample_id bigint, role int, h bigint, words string, context bigint, t bigint, at bigint"
+_PIECES = "sample_id bigint, role int, h bigint, words string, context bigint, t bigint"
 
 
 def _tail_lines(lines: list[str], own: list[int], tail: int) -> list[str]:
@@ -177,14 +180,14 @@ def _tail_lines(lines: list[str], own: list[int], tail: int) -> list[str]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of each message (sample_id, author, text, t, at), by their hashes.
+    """The pieces of each message (sample_id, author, text, t), by their hashes.
 
-    ``context`` is how the message begins, a greeting apart, of its last sentences; ``t`` names the text and ``at`` its time, of own and last sentences. The words
+    ``context`` is how the message begins, a greeting apart, of its last sentences; ``t`` names the text, of own, quoted and last sentences. The words
     themselves stand once, with own sentences and those last ones that are not own. Lines of a sender are hashed with the sender.
     """
     for batch in batches:
-        columns: list[list] = [[] for _ in range(7)]
-        for i, author, text, t, at in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        columns: list[list] = [[] for _ in range(6)]
+        for i, author, text, t in zip(*(batch.column(k).to_pylist() for k in range(4))):
             lines, old, closing = marked(text)
             own = [k for k, o in enumerate(old) if not o]
             tail = _tail(lines, old)
@@ -195,18 +198,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(sentences) > 1 and _GREETING.match(first) and _words(first) == context:
                 context = sentences[1]
             begins, mine = _hash(context), dict.fromkeys(sentences)
-            rows = [(OWN, _hash(w), w, None, t, at) for w in mine]
-            rows += [(QUOTED, _hash(w), None, None, None, None) for w in dict.fromkeys(_sentences(lines, [k for k, (o, c) in enumerate(zip(old, closing)) if o and not c]))]
+            rows = [(OWN, _hash(w), w, None, t) for w in mine]
+            rows += [(QUOTED, _hash(w), None, None, t) for w in dict.fromkeys(_sentences(lines, [k for k, (o, c) in enumerate(zip(old, closing)) if o and not c]))]
             last = dict.fromkeys(_sentences(lines, [k for k in own if k >= tail]) + _sentences(lines, ruled))
-            rows += [(LAST, _hash(w), None if w in mine else w, begins, t, None) for w in last]
+            rows += [(LAST, _hash(w), None if w in mine else w, begins, t) for w in last]
             if author:
-                rows += [(CLOSING, _hash(author, w), None, None, None, None) for w in dict.fromkeys(_words(lines[k]) for k, c in enumerate(closing) if c == 1) if len(w) >= LEAST_PATTERN]
-                rows += [(TAIL, _hash(author, w), None, None, None, None) for w in dict.fromkeys(_tail_lines(lines, own, tail))]
+                rows += [(CLOSING, _hash(author, w), None, None, None) for w in dict.fromkeys(_words(lines[k]) for k, c in enumerate(closing) if c == 1) if len(w) >= LEAST_PATTERN]
+                rows += [(TAIL, _hash(author, w), None, None, None) for w in dict.fromkeys(_tail_lines(lines, own, tail))]
             columns[0] += [i] * len(rows)
             for column, values in zip(columns[1:], zip(*rows)):
                 column += values
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["sample_id", "role", "h", "words", "context", "t", "at"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["sample_id", "role", "h", "words", "context", "t"])
 
 
 def _automaton(patterns: list[str]) -> ahocorasick.Automaton | None:
@@ -219,17 +222,23 @@ def _automaton(patterns: list[str]) -> ahocorasick.Automaton | None:
     return made
 
 
+def _bodies(lines: list[str]) -> list[str]:
+    """The words of each line, without quote marks."""
+    bodies = []
+    for body in lines:
+        while m := _QUOTE.match(body) or _COLON.match(body):
+            body = body[m.end() :]
+        bodies.append(_words(body))
+    return bodies
+
+
 def _covered(lines: list[str], *automata: ahocorasick.Automaton | None) -> list[float]:
     """The share of each line's words that lie in merged matches of the automata, over the message as one run of words."""
     share = [0.0] * len(lines)
     if not any(automata):
         return share
     text, spans = " ", []
-    for line in lines:
-        body = line
-        while m := _QUOTE.match(body) or _COLON.match(body):
-            body = body[m.end() :]
-        words = _words(body)
+    for words in _bodies(lines):
         spans.append((len(text), len(text) + len(words)))
         text += words + " " if words else ""
     hit = bytearray(len(text))
@@ -242,19 +251,9 @@ def _covered(lines: list[str], *automata: ahocorasick.Automaton | None) -> list[
     return share
 
 
-def old_lines(text: str | None, thread: ahocorasick.Automaton | None, notices: ahocorasick.Automaton | None, rare: set[int] | None = None, author: str | None = None, closings: set[int] | None = None) -> list[int]:
-    """Numbers (from 1) of the lines that are not new: by form, by the recurring notices and by the sentences of the thread.
-
-    ``rare`` holds the hashes of recurring sentences of this message that are not among the notices, ``closings`` those of lines that close messages of its author.
-    """
-    if not text:
-        return []
-    lines, old, closing = marked(text)
-    n = len(lines)
-    own = [k for k, o in enumerate(old) if not o]
-    known = [w for w in _sentences(lines, own) + _sentences(lines, [k for k, c in enumerate(closing) if c == 2]) if _hash(w) in rare] if rare else []
-    notice = _covered(lines, notices, _automaton(known))
-    sender = _automaton([w for w in _tail_lines(lines, own, _tail(lines, old)) if _hash(author, w) in closings]) if closings and author else None
+def _note(lines: list[str], old: list[bool], *notices: ahocorasick.Automaton | None) -> None:
+    """Mark the lines that recurring notices cover."""
+    n, notice = len(lines), _covered(lines, *notices)
     start = 0
     while start < n:
         if old[start] or not lines[start].strip():
@@ -281,6 +280,20 @@ def old_lines(text: str | None, thread: ahocorasick.Automaton | None, notices: a
                     old[k] = True
                     k -= 1
         start = end
+
+
+def old_lines(text: str | None, thread: ahocorasick.Automaton | None, notices: ahocorasick.Automaton | None, rare: list[str] | None = None, author: str | None = None, closings: set[int] | None = None) -> list[int]:
+    """Numbers (from 1) of the lines that are not new: by form, by the recurring notices and by the sentences of the thread.
+
+    ``rare`` holds the recurring sentences of this message that are not among the notices, ``closings`` the hashes of lines that close messages of its author.
+    """
+    if not text:
+        return []
+    lines, old, closing = marked(text)
+    n = len(lines)
+    own = [k for k, o in enumerate(old) if not o]
+    sender = _automaton([w for w in _tail_lines(lines, own, _tail(lines, old)) if _hash(author, w) in closings]) if closings and author else None
+    _note(lines, old, notices, _automaton(rare) if rare else None)
     if thread or sender:
         share = _covered(lines, thread, sender)
         for order in (range(1, n), range(n - 2, -1, -1)):
@@ -291,23 +304,107 @@ def old_lines(text: str | None, thread: ahocorasick.Automaton | None, notices: a
     return [k + 1 for k in range(n) if old[k] and lines[k].strip()]
 
 
+def _reached(lines: list[str], old: list[bool]) -> list[bool]:
+    """Which unmarked lines a marked stretch may go on into: those of paragraphs that touch one."""
+    n, reached, start = len(lines), [False] * len(lines), 0
+    while start < n:
+        end = start
+        while end < n and not old[end] and lines[end].strip():
+            end += 1
+        if end > start and (start > 0 and old[start - 1] or end < n and old[end]):
+            reached[start:end] = [True] * (end - start)
+        start = end + 1
+    return reached
+
+
+def _spans(words: list[str]) -> Spans:
+    return Spans(np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences (h, words) with the hash of all their words (key) and of their first two (head), and how many words they have (n)."""
+    for batch in batches:
+        rows = []
+        for words in batch.column(1).to_pylist():
+            n = words.count(" ") + 1
+            key, head = _spans(words.split(" ")).hash(np.zeros(2, np.int64), np.array([n, min(n, 2)])).view(np.int64).tolist()
+            rows.append((key, head, n))
+        made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["h", "words", "key", "head", "n"])
+
+
+def _passes(sieve: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - bits)
+    return (sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _places(lines: list[str], wanted: list[bool], lengths: list[int], sieve: np.ndarray, bits: int) -> np.ndarray:
+    """The hashes of those runs of words, of the given lengths, that overlap a wanted line and pass the sieve."""
+    bodies = [b.split(" ") if b else [] for b in _bodies(lines)]
+    words = [w for b in bodies for w in b]
+    n, spans = len(words), _spans(words)
+    inside = np.concatenate([[0], np.cumsum(np.repeat(wanted, [len(b) for b in bodies]))]).astype(np.int64)
+    pairs = np.arange(max(0, n - 1))
+    pairs = pairs[_passes(sieve, bits, spans.hash(pairs, pairs + 2))]
+    kept = [np.zeros(0, np.uint64)]
+    for length in lengths:
+        at = np.arange(n) if length == 1 else pairs
+        at = at[at + length <= n]
+        at = at[inside[at + length] > inside[at]]
+        keys = spans.hash(at, at + length)
+        kept.append(keys[_passes(sieve, bits, keys)])
+    return np.unique(np.concatenate(kept))
+
+
+def _standing(texts: DataFrame, sentences: DataFrame, notices: Broadcast | None) -> DataFrame:
+    """(t, h, words): the sentences (h, words) that stand, anywhere and across lines, in unmarked lines of the texts (t, text, rare).
+
+    With ``notices`` only in those lines that a marked stretch may go on into. Runs of words meet the sentences by their hashes, in one join; a sieve of bounded size, sent to every
+    task, keeps nearly all other runs from moving and loses none.
+    """
+    keyed = cut(sentences.mapInArrow(_keys, "h bigint, words string, key bigint, head bigint, n int"))
+    lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
+    bits = min(SIEVE, max(10, (16 * keyed.count()).bit_length()))
+    set_bits = keyed.select(F.explode(F.array("key", "head")).alias("x")).select(F.shiftrightunsigned("x", 64 - bits).alias("at"))
+    words = set_bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    sieve = np.zeros(1 << bits - 6, np.uint64)
+    sieve[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    held = texts.sparkSession.sparkContext.broadcast((lengths, sieve))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, sieve = held.value
+        common = _automaton(notices.value) if notices else None
+        for batch in batches:
+            names, keys = [], [np.zeros(0, np.uint64)]
+            for t, text, rare in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                lines, old, _ = marked(text)
+                if notices:
+                    _note(lines, old, common, _automaton(rare) if rare else None)
+                wanted = _reached(lines, old) if notices else [not o for o in old]
+                if any(wanted):
+                    keys.append(_places(lines, wanted, lengths, sieve, bits))
+                    names += [t] * len(keys[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], ["t", "key"])
+
+    return texts.select("t", "text", "rare").mapInArrow(run, "t bigint, key bigint").join(keyed, "key").select("t", "h", "words")
+
+
 def emails(exported: DataFrame, samples: DataFrame) -> DataFrame:
-    """(sample_id, author, text, at) of the exported e-mail samples; ``at`` is when the sample came, in microseconds, the largest number if that is unknown."""
+    """(sample_id, author, text) of the exported e-mail samples."""
     rows = exported.select(F.col("sample_id").cast("bigint").alias("sample_id"), "type", "text").where("sample_id is not null and text is not null and text <> ''")
-    came = F.unix_micros(F.col("ingested_at").cast("timestamp")) if "ingested_at" in samples.columns else F.lit(None).cast("bigint")
     known = samples.where("id is not null").select(
-        F.col("id").cast("bigint").alias("sample_id"), F.concat_ws("/", "media", "subtype").alias("kind"), F.lower(F.trim(F.get_json_object("metadata", "$.author"))).alias("author"), came.alias("at")
+        F.col("id").cast("bigint").alias("sample_id"), F.concat_ws("/", "media", "subtype").alias("kind"), F.lower(F.trim(F.get_json_object("metadata", "$.author"))).alias("author")
     )
-    joined = rows.join(known.groupBy("sample_id").agg(F.min("kind").alias("kind"), F.min("author").alias("author"), F.min("at").alias("at")), "sample_id", "left")
+    joined = rows.join(known.groupBy("sample_id").agg(F.min("kind").alias("kind"), F.min("author").alias("author")), "sample_id", "left")
     kind = F.coalesce("type", "kind")
-    return joined.where((kind == "text/email") | kind.startswith("text/email/")).select("sample_id", "author", "text", F.coalesce("at", F.lit((1 << 63) - 1)).alias("at"))
+    return joined.where((kind == "text/email") | kind.startswith("text/email/")).select("sample_id", "author", "text")
 
 
 def evidence(exported: DataFrame, samples: DataFrame) -> tuple[DataFrame, list[str]]:
     """Messages (sample_id, author, text, thread, rare, closings) with what of their thread and sender they are scanned for, and the notices all are scanned for."""
-    messages = cut(emails(exported, samples).distinct())
+    messages = cut(emails(exported, samples).distinct().withColumn("t", F.xxhash64("text")))
     # sentences meet by their hashes; the words themselves move only where they are needed
-    pieces = cut(messages.select("sample_id", "author", "text", F.xxhash64("text"), "at").mapInArrow(_pieces, _PIECES))
+    pieces = cut(messages.select("sample_id", "author", "text", "t").mapInArrow(_pieces, _PIECES))
     of = lambda *roles: pieces.where(F.col("role").isin(*roles))
 
     # closing sentences that recur in messages that begin differently, and nearly always where messages close; equal texts count as one
@@ -316,22 +413,40 @@ def evidence(exported: DataFrame, samples: DataFrame) -> tuple[DataFrame, list[s
     where = texts.groupBy("h").agg(n(LAST).alias("last"), n(OWN).alias("own"), F.countDistinct(F.when(F.col("role") == LAST, F.col("context"))).alias("contexts"))
     recurring = cut(where.where((F.col("contexts") >= LEAST_SUPPORT) & (F.col("last") >= 0.8 * F.col("own"))).select("h", "last"))
     frequent = cut(recurring.orderBy(F.desc("last"), "h").limit(NOTICES).select("h"))
-    notices = [r.words for r in of(OWN, LAST).where("words is not null").join(F.broadcast(frequent), "h").groupBy("h").agg(F.min("words").alias("words")).toLocalIterator()]
+    worded = of(OWN, LAST).where("words is not null").select("h", "words")
+    notices = [r.words for r in worded.join(F.broadcast(frequent), "h").groupBy("h").agg(F.min("words").alias("words")).toLocalIterator()]
     rest = recurring.join(F.broadcast(frequent), "h", "left_anti").select("h")
-    rare = of(OWN, LAST).select("sample_id", "h").join(rest, "h").select("sample_id", "h")
-
-    # the thread of a message: those that hold a sentence it quotes, of each sentence the earliest HOLDERS texts, then all sentences of those
-    first = F.min(F.struct("at", "sample_id")).alias("first")
-    earliest = F.row_number().over(W.partitionBy("h").orderBy("first"))
-    holders = of(OWN).groupBy("h", "t").agg(first).withColumn("n", earliest).where(F.col("n") <= HOLDERS).select("h", F.col("first.sample_id").alias("source"))
-    edges = cut(of(QUOTED).select("sample_id", "h").join(holders, "h").where("sample_id <> source").select("sample_id", "source").distinct())
-    thread = of(OWN).select(F.col("sample_id").alias("source"), "words").join(edges, "source").groupBy("sample_id").agg(F.collect_set("words").alias("thread"))
+    known = messages.groupBy("t").agg(F.min("text").alias("text"))
+    rare = messages.select("t", F.lit(None).cast("array<string>").alias("rare")).limit(0)
+    if rest.take(1):
+        all_rare = worded.join(rest, "h").groupBy("h").agg(F.min("words").alias("words"))
+        rare = cut(_standing(known.withColumn("rare", F.lit(None).cast("array<string>")), all_rare, None).groupBy("t").agg(F.collect_set("words").alias("rare")))
+
+    # the thread of a message: the other texts that hold a sentence it quotes. Equal texts count as one, and a text is no thread of its own
+    other = (F.col("low") != F.col("t")) | (F.col("high") != F.col("t"))
+    held = of(OWN).groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    asked = cut(of(QUOTED).select("t", "h").distinct().join(held, "h").where(other).select("t", F.col("h").alias("quoted")))
+    thread = messages.select("t", F.lit(None).cast("array<string>").alias("thread")).limit(0)
+    if asked.take(1):
+        sources = of(OWN).join(asked.select(F.col("quoted").alias("h")), "h", "left_semi").select("t").distinct()
+        owned = cut(of(OWN).join(sources, "t", "left_semi").groupBy("h", "t").agg(F.min("words").alias("words")))
+        asking = known.join(asked, "t", "left_semi").join(rare, "t", "left")
+        standing = cut(_standing(asking, owned.groupBy("h").agg(F.min("words").alias("words")), messages.sparkSession.sparkContext.broadcast(notices)))
+        # whether a sentence stands in a text together with a quoted one is asked once per pair of them, of the holders of the rarer one
+        both = cut(standing.select("t", F.col("h").alias("stands")).join(asked, "t"))
+        many = owned.groupBy("h").count()
+        pairs = both.select("quoted", "stands").distinct()
+        pairs = pairs.join(many.select(F.col("h").alias("quoted"), F.col("count").alias("x")), "quoted").join(many.select(F.col("h").alias("stands"), F.col("count").alias("y")), "stands")
+        first = F.col("x") <= F.col("y")
+        pairs = pairs.select("quoted", "stands", F.when(first, F.col("quoted")).otherwise(F.col("stands")).alias("h"), F.when(first, F.col("stands")).otherwise(F.col("quoted")).alias("with"))
+        holders = pairs.join(owned.select("h", "t"), "h").select("quoted", "stands", F.col("with").alias("h"), "t")
+        meet = holders.join(owned.select("h", "t"), ["h", "t"]).groupBy("quoted", "stands").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+        shown = both.join(meet, ["quoted", "stands"]).where(other).select("t", F.col("stands").alias("h")).distinct()
+        thread = standing.join(shown, ["t", "h"]).groupBy("t").agg(F.collect_set("words").alias("thread"))
     # closing lines of the same sender
     closings = of(TAIL).select("sample_id", "h").join(of(CLOSING).select("h").distinct(), "h", "left_semi")
-    own = rare.withColumn("kind", F.lit(0)).union(closings.withColumn("kind", F.lit(1))).groupBy("sample_id").agg(
-        F.collect_set(F.when(F.col("kind") == 0, F.col("h"))).alias("rare"), F.collect_set(F.when(F.col("kind") == 1, F.col("h"))).alias("closings")
-    )
-    joined = messages.select("sample_id", "author", "text").join(thread, "sample_id", "left").join(own, "sample_id", "left")
+    closings = closings.groupBy("sample_id").agg(F.collect_set("h").alias("closings"))
+    joined = messages.join(thread, "t", "left").join(rare, "t", "left").join(closings, "sample_id", "left")
     return joined.select("sample_id", "author", "text", "thread", "rare", "closings"), notices
 
 
@@ -348,7 +463,7 @@ def found(exported: DataFrame, samples: DataFrame) -> DataFrame:
             for i, author, text, patterns, few, ends in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 if patterns and patterns != built[0]:
                     built = patterns, _automaton(patterns)
-                rows += [(i, k) for k in old_lines(text, built[1] if patterns else None, common, set(few or ()), author, set(ends or ()))]
+                rows += [(i, k) for k in old_lines(text, built[1] if patterns else None, common, few, author, set(ends or ()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["sample_id", "line_no"])
 
     return messages.mapInArrow(run, "sample_id bigint, line_no bigint").distinct()
@@ -356,7 +471,7 @@ def found(exported: DataFrame, samples: DataFrame) -> DataFrame:
 
 def reduced(exported: DataFrame, samples: DataFrame) -> DataFrame:
     """(sample_id, text): each e-mail with only the lines its sender newly wrote, runs of blank lines and blank ends taken off."""
-    messages = emails(exported, samples).dropDuplicates(["sample_id"]).drop("at")
+    messages = emails(exported, samples).dropDuplicates(["sample_id"])
     old = found(exported, samples).groupBy("sample_id").agg(F.collect_set("line_no").alias("old"))
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda line, k: ~F.array_contains(F.coalesce("old", F.array().cast("array<bigint>")), (k + 1).cast("bigint")))

@@ -270,6 +270,61 @@ def test_rare_notices_do_not_depend_on_size(spark, monkeypatch, sent):
     assert got == {(n, 5) for n in range(18)}
 
 
+@pytest.mark.parametrize("sent", [5_000, 0])
+def test_rare_notices_match_anywhere(spark, monkeypatch, sent):
+    monkeypatch.setattr(new_text, "NOTICES", sent)
+    notice = "Kindly shred this page after a single reading today."
+    texts = [(n, f"Opening number {n} is {n * 7}.\n\nBody {n} goes on.\n\n{notice}") for n in range(8)]
+    # no sentence of its own: the line before it has no stop, and it is broken over two lines
+    inside = (50, "Another opening stands here.\n\nThis line goes on without a stop and says some further things of its own\nKindly shred this page after\na single reading today.")
+    samples = frame(spark, "id bigint, media string, subtype string, metadata string", (0, "text", "email", None))
+    got = {tuple(r) for r in new_text.found(exports(spark, *texts, inside), samples).collect()}
+    assert got == {(n, 5) for n in range(8)} | {(50, 4), (50, 5)}
+
+
+def test_threads_through_every_holder(spark):
+    opening = lambda n, more: f"Dear all.\n\nWe meet at the old harbour gate. {more}\n\nUntil then, number {n} of {n * 7}."
+    texts = [(n, opening(n, f"Bring {n} ropes along with you.")) for n in range(12)] + [(12, opening(12, "The boat leaves on the ninth of march."))]
+    quoting = "My own first words.\n\nX wrote:\n> Dear all.\n> We meet at the old harbour gate.\nThe boat leaves on the ninth of march."
+    # a text is no thread of its copy
+    alone = "The ferry waits for nobody here.\nMore of my own words follow.\n> The ferry waits for nobody here."
+    samples = frame(spark, "id bigint, media string, subtype string, metadata string", (0, "text", "email", None))
+    got = {tuple(r) for r in new_text.found(exports(spark, *texts, (20, quoting), (21, quoting), (30, alone), (31, alone)), samples).collect()}
+    assert got == {(i, k) for i in (20, 21) for k in (3, 4, 5, 6)} | {(30, 3), (31, 3)}
+
+
+def test_threads_against_all_holders(spark, monkeypatch):
+    monkeypatch.setattr(new_text, "LEAST_SUPPORT", 10**6)
+    rng = random.Random(3)
+    pool = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(4, 9))) for _ in range(25)]
+
+    def message():
+        lines = ["Head line of this one."]
+        for _ in range(rng.randrange(1, 4)):
+            # sentences that begin in a quoted line and go on below it without a mark
+            lines += ["", *("> " + rng.choice(pool) + "." for _ in range(rng.randrange(2)))]
+            words = (". ".join(rng.choice(pool) for _ in range(rng.randrange(1, 4))) + rng.choice([".", ""])).split(" ")
+            at = sorted(rng.sample(range(1, len(words)), min(2, len(words) - 1)))
+            parts = [" ".join(words[a:b]) for a, b in zip([0, *at], [*at, len(words)])]
+            lines += ["> " + parts[0], *parts[1:]] if rng.random() < 0.5 else parts
+        return "\n".join(lines)
+
+    texts = list(enumerate(message() for _ in range(60)))
+    own, quoted = {}, {}
+    for i, text in texts:
+        lines, old, closing = new_text.marked(text)
+        own[i] = set(new_text._sentences(lines, [k for k, o in enumerate(old) if not o]))
+        quoted[i] = set(new_text._sentences(lines, [k for k, (o, c) in enumerate(zip(old, closing)) if o and not c]))
+    want = set()
+    for i, text in texts:
+        thread = {w for j, other in texts if other != text and own[j] & quoted[i] for w in own[j]}
+        want |= {(i, k) for k in new_text.old_lines(text, new_text._automaton(sorted(thread)), None)}
+    form = {(i, k) for i, text in texts for k in new_text.old_lines(text, None, None)}
+    samples = frame(spark, "id bigint, media string, subtype string, metadata string", (0, "text", "email", None))
+    assert len(want - form) > 20
+    assert {tuple(r) for r in new_text.found(exports(spark, *texts), samples).collect()} == want
+
+
 PII = "Ask Zoretea B. Pryerby or N. Holovwick; write z.p@mail.example or z [at] mail [dot] example, call +44 20 7946 0499. Passport RX1234567, invoice RX7654321, ticket (302) 7478. PRYERBY, ZORETEA lives at 12 Mill Road."
 
 
