@@ -2,7 +2,9 @@
 
 Method: similarity-hash bit fingerprints. Each text's minwise code is segmented into blocks; blocks are joined across the
 splits of a version, pairs within the Hamming radius of the sketch are kept and verified on the whole texts. Equal texts are one code, so copies do not multiply
-the join. In a block with more than ``SPREAD`` texts those meet that share a further block, and where that is as crowded, train and held-out rows meet in a grid of tasks.
+the join. Texts of a block with more than ``SPREAD`` of them meet by their rarest triples instead: ordered from rare to frequent, two alike texts of n triples share one of the first
+n - ceil(0.6 n) + 1 of either, so what many texts share brings none together unless it is most of a text, and no alike pair is lost. Triples that stay as crowded are joined where a text has
+several, and train and held-out rows that share them meet once, in a grid of tasks.
 
 Defined results
 * The side of an entry is that of its metadata value at the version's key, as a string, compared exactly; missing and null are train.
@@ -13,10 +15,16 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.fingerprints import ALIKE, RADIUS, SPREAD, classes, hot_blocks, verified
+from lodestack.llm.rolling import triples
+from lodestack.operators.components import components
 from lodestack.session import cut
 
 
@@ -37,6 +45,30 @@ def sides(entries: DataFrame, versions: DataFrame) -> DataFrame:
     return at.select("dataset_id", F.col("sample_id").cast("bigint").alias("sample_id"), F.coalesce(side, F.lit("train")).alias("side"))
 
 
+def _triple_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, t, train, held, text) -> (rep, t, train, held, triple, n) per distinct triple of the n of a text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            codes, offsets = triples(part.column(4).to_pylist())
+            sizes = np.diff(offsets)
+            row = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+            made = [pa.array(codes.view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(4)), *made], ["rep", "t", "train", "held", "triple", "n"])
+
+
+def _rarest(crowd: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(key, rep): those triples of the texts (id, text) of a crowd (rep, train, held) by which every alike pair of a train and a held-out text meets."""
+    known = texts.where("text is not null").withColumn("t", F.xxhash64("text")).dropDuplicates(["id", "t"])
+    rows = known.join(crowd, known.id == crowd.rep).select("rep", "t", "train", "held", "text")
+    rows = cut(rows.mapInArrow(_triple_rows, "rep bigint, t bigint, train boolean, held boolean, triple bigint, n int"))
+    # a triple of one text or of one side joins none: it stands before all others in the order
+    met = rows.groupBy("triple").agg(F.count("*").alias("c"), F.max("train").alias("train"), F.max("held").alias("held")).where("c > 1 and train and held").select("triple", "c")
+    ordered = rows.join(met, "triple").groupBy("rep", "t").agg(F.sort_array(F.collect_list(F.struct("c", "triple"))).alias("met"), F.first("n").alias("n"))
+    first = F.size("met") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int") + 1
+    return ordered.withColumn("first", first).where("first > 0").select(F.explode(F.slice("met", F.lit(1), F.col("first"))["triple"]).alias("key"), "rep").distinct()
+
+
 def overlaps(entries: DataFrame, versions: DataFrame, exported: DataFrame, least: float = ALIKE, radius: int = RADIUS) -> DataFrame:
     """(dataset_id, train_id, held_id, side): every pair of alike samples of a version, one on train and one held out."""
     placed = cut(sides(entries, versions).where("sample_id is not null").distinct())
@@ -52,16 +84,23 @@ def overlaps(entries: DataFrame, versions: DataFrame, exported: DataFrame, least
         F.collect_set(F.when(F.col("side") == "train", F.col("dataset_id"))).alias("train"), F.collect_set(F.when(F.col("side") != "train", F.col("dataset_id"))).alias("held")
     )
     placed_codes = cut(codes.join(where, "rep"))
-    blocks = placed_codes.select(F.explode("keys").alias("key"), "keys", "rep", "f1", "f2", "train", "held")
+    blocks = placed_codes.select(F.explode("keys").alias("key"), "rep", "f1", "f2", "train", "held")
     hot = hot_blocks(codes, SPREAD)
     grid = None
     if hot.take(1):
-        # what many texts share is no likeness: in a crowded block those meet that share one block more; where that is crowded too, in a grid of tasks
-        crowded = blocks.join(hot.select("key"), "key").withColumn("next", F.explode(F.array_except("keys", F.array("key"))))
-        finer = cut(crowded.withColumn("key", F.xxhash64("key", "next")).drop("next"))
-        many = finer.groupBy("key").count().where(F.col("count") > SPREAD)
-        grid = cut(many.select("key", F.ceil(F.col("count") / SPREAD).cast("int").alias("parts")))
-        blocks = blocks.join(hot.select("key"), "key", "left_anti").unionByName(finer)
+        crowd = blocks.join(hot.select("key"), "key", "left_semi").groupBy("rep").agg(F.max(F.size("train") > 0).alias("train"), F.max(F.size("held") > 0).alias("held"))
+        keys = cut(_rarest(crowd, texts, least))
+        many = keys.groupBy("key").count().where(F.col("count") > SPREAD).select("key")
+        crowded = cut(keys.join(many, "key", "left_semi"))
+        if crowded.take(1):
+            # a text goes to one grid: crowded triples that it has together count as one
+            least_of = crowded.groupBy("rep").agg(F.min("key").alias("a"))
+            links = cut(crowded.join(least_of, "rep").where("a <> key").select("a", F.col("key").alias("b")).distinct())
+            root = components(links).select(F.col("node").alias("key"), "root")
+            one = crowded.join(root, "key", "left").select(F.coalesce("root", "key").alias("key"), "rep").distinct()
+            keys = cut(keys.join(crowded.select("key").distinct(), "key", "left_anti").unionByName(one))
+            grid = cut(keys.groupBy("key").count().where(F.col("count") > SPREAD).select("key", F.ceil(F.col("count") / SPREAD).cast("int").alias("parts")))
+        blocks = blocks.join(hot.select("key"), "key", "left_anti").unionByName(keys.join(placed_codes, "rep").select(*blocks.columns))
     train = blocks.where(F.size("train") > 0).select("key", F.col("rep").alias("a"), F.col("f1").alias("a1"), F.col("f2").alias("a2"), "train")
     held = blocks.where(F.size("held") > 0).select("key", F.col("rep").alias("b"), F.col("f1").alias("b1"), F.col("f2").alias("b2"), "held")
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))

@@ -169,6 +169,42 @@ def test_overlaps_across_splits(spark, monkeypatch, spread):
         assert split_overlap.overlaps(*empty).count() == 0
 
 
+def test_a_pair_that_shares_only_a_crowded_block(spark, monkeypatch):
+    monkeypatch.setattr(split_overlap, "SPREAD", 3)
+    rng = random.Random(11)
+    base = [f"t{n}" for n in range(90)]
+    edited = [list(base) for _ in range(20_000)]
+    for words in edited:
+        for k in rng.sample(range(90), 8):
+            words[k] = f"e{rng.randrange(10**6)}"
+    edited = [t for w in edited if alike(t := " ".join(w), " ".join(base)) and len(triple_set(t) & triple_set(" ".join(base))) < 70]
+    keys = [set(k.tolist()) for k in fingerprints.fingerprints([" ".join(base), *edited])[0]]
+    far, shared = next((t, keys[0] & k) for t, k in zip(edited, keys[1:]) if len(keys[0] & k) == 1)
+    near = [" ".join([*base, f"u{n}"]) for n in range(60)]
+    near = [t for t, k in zip(near, fingerprints.fingerprints(near)[0]) if shared <= set(k.tolist())]
+    assert len(near) > 30
+    rows = list(enumerate([" ".join(base), far, *near]))
+    versions = frame(spark, "id bigint, given_split string", (1, '{"key":"bench","holdout":["h"],"val":[]}'))
+    manifest = frame(spark, "dataset_id bigint, sample_id bigint, metadata string", *[(1, i, '{"bench":"h"}' if i == 1 else None) for i, _ in rows])
+    exported = frame(spark, "sample_id bigint, text string", *rows)
+    got = {tuple(r) for r in split_overlap.found(split_overlap.overlaps(manifest, versions, exported)).collect()}
+    assert got == {(1, min(i, 1), max(i, 1)) for i, t in rows if i != 1 and alike(t, far)} and (1, 0, 1) in got
+
+
+def test_alike_texts_meet_by_their_rarest_triples(spark):
+    footer = " ".join(f"f{n}" for n in range(20))
+    rows = families(9) + [(1000 + n, " ".join(f"u{n}x{k}" for k in range(40)) + " " + footer) for n in range(100)]
+    rows = [(i, t) for i, t in rows if triple_set(t)]
+    crowd = frame(spark, "rep bigint, train boolean, held boolean", *[(i, i % 2 == 0, i % 2 == 1 or i % 6 == 0) for i, _ in rows])
+    keys = defaultdict(set)
+    for r in split_overlap._rarest(crowd, frame(spark, "id bigint, text string", *rows), ALIKE).collect():
+        keys[r.rep].add(r.key)
+    pairs = [(i, j) for i, s in rows for j, t in rows if i != j and i % 2 == 0 and (j % 2 == 1 or j % 6 == 0) and alike(s, t) and s != t]
+    assert pairs and all(keys[i] & keys[j] for i, j in pairs)
+    # a footer that different texts share brings none of them together
+    assert not any(keys[i] for i, _ in rows if i >= 1000)
+
+
 def entry_groups(rows):
     parent, seen = {}, {}
 
